@@ -41,7 +41,10 @@ def find_all(c: Column | str, pattern: str, group: int = 0) -> Column:
 
 
 def string_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """A constant array; written as one split text to keep plans small."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
 
 
 def strip(c: Column | str) -> Column:
@@ -79,10 +82,7 @@ def like_any(c: Column, likes: Sequence[str]) -> Column:
 
 
 LETTER_RANGES = [(0x80, 0x530), (0x1E00, 0x2000), (0x2070, 0x20A0), (0xFF01, 0xFF5F)]
-FOLD_LONGER = {
-    "…": "...", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4",
-    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ĳ": "ij", "ŉ": "ʼn",
-}
+FOLD_LONGER = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
 def _folding() -> tuple[str, str]:
@@ -113,14 +113,10 @@ FOLD_FROM, FOLD_TO = _folding()
 def fold(c: Column | str) -> Column:
     """Lower case without accents; texts that are plain ASCII skip the letter map."""
     low = F.lower(text_or_empty(c))
-    longer = low
+    spelled = low
     for char, plain in FOLD_LONGER.items():
-        longer = F.replace(longer, F.lit(char), F.lit(plain))
-    return (
-        F.when(~low.rlike("[^\\x00-\\x7F]"), low)
-        .when(low.rlike("[" + "".join(FOLD_LONGER) + "]"), F.translate(longer, FOLD_FROM, FOLD_TO))
-        .otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
-    )
+        spelled = F.replace(spelled, F.lit(char), F.lit(plain))
+    return F.when(~low.rlike("[^\\x00-\\x7F]"), low).otherwise(F.translate(spelled, FOLD_FROM, FOLD_TO))
 
 
 def folded_words(folded: Column) -> Column:

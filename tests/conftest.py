@@ -10,7 +10,7 @@ def spark():
         **{
             "spark.master": "local[8]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
             "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
-            "spark.default.parallelism": "4",
+            "spark.default.parallelism": "4", "spark.sql.codegen.wholeStage": "false",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
