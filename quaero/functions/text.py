@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -60,18 +61,21 @@ def lines(c: Column | str) -> Column:
     return F.split(text_or_empty(c), LINE_ENDS)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _any_of(texts: Sequence[str]) -> str:
+    return "(?:" + "|".join(re.escape(t) for t in texts) + ")"
+
+
 def contains_any(c: Column, needles: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for needle in needles:
-        found = found | c.contains(needle)
-    return found
+    return c.rlike(_any_of(needles))
 
 
 def ends_with_any(c: Column, suffixes: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for suffix in suffixes:
-        found = found | c.endswith(suffix)
-    return found
+    return c.rlike(_any_of(suffixes) + r"\z")
 
 
 def like_any(c: Column, likes: Sequence[str]) -> Column:

@@ -35,9 +35,18 @@ def _first_late(c: Column) -> Column:
 
 def cut_after_end(c: Column | str) -> Column:
     """The text before the first line that ends the page's own content."""
-    text = T.text_or_empty(c)
-    cut = F.least(_first_of(text, patterns.EARLY_END_LINES), _first_late(text))
-    return T.strip(F.when(cut.isNotNull(), F.substring(text, F.lit(1), cut - 1)).otherwise(text))
+
+    def cut(text: Column) -> Column:
+        return T.let(
+            F.least(_first_of(text, patterns.EARLY_END_LINES), _first_late(text)),
+            lambda at: T.strip(F.when(at.isNotNull(), F.substring(text, F.lit(1), at - 1)).otherwise(text)),
+        )
+
+    return T.let(T.text_or_empty(c), cut)
+
+
+def _matches_any(s: Column, line_patterns: list[str]) -> Column:
+    return s.rlike(T.uni("|".join(f"(?:{p})" for p in line_patterns)))
 
 
 def normalize_page_text(c: Column | str) -> Column:
@@ -47,14 +56,7 @@ def normalize_page_text(c: Column | str) -> Column:
     for placeholder in patterns.PLACEHOLDERS:
         text = F.regexp_replace(text, T.uni(placeholder), "")
     dropped = [patterns.READ_MORE_LINE, patterns.SHARE_LINE, patterns.DOWNLOAD_LINE, patterns.FILE_SIZE_LINE]
-
-    def drop(s: Column) -> Column:
-        found = F.lit(False)
-        for pattern in dropped:
-            found = found | s.rlike(T.uni(pattern))
-        return found
-
-    return cut_after_end(T.strip(_keep_lines(text, drop)))
+    return cut_after_end(T.strip(_keep_lines(text, lambda s: _matches_any(s, dropped))))
 
 
 def scrub(c: Column | str) -> Column:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaero.functions import text as T
 from quaero.functions.urls import is_document, is_pagination_hint, normalize_url, raw_path
 from quaero.operators import cleaning
 from quaero.values import words
@@ -243,24 +244,18 @@ def _main_text() -> Column:
     return F.array_join(F.transform(chosen, lambda p: p["t"]), "\n")
 
 
-def _with_fallback(text: Column) -> Column:
-    """Short texts are replaced by the longest text around the first heading.
-
-    One ancestor after another is tried until 300 characters are reached.
-    """
+def _around_heading(text: Column, pieces: Column) -> Column:
+    """The longest text around the first heading; its ancestors are tried until 300 characters."""
 
     def around(level: Column) -> Column:
-        near = F.filter("pieces", lambda p: p["up"] <= level)
+        near = F.filter(pieces, lambda p: p["up"] <= level)
         return cleaning.normalize_page_text(F.array_join(F.transform(near, lambda p: p["t"]), "\n"))
 
-    levels = F.sequence(F.lit(1), F.lit(ANCESTORS))
-    longest = F.aggregate(
-        levels, text,
-        lambda best, level: F.when(
-            (F.length(best) >= 300) & (level > 1), best
-        ).otherwise(F.when(F.length(around(level)) > F.length(best), around(level)).otherwise(best)),
-    )
-    return F.when((F.col("h1") != "") & (F.length(text) < 200), longest).otherwise(text)
+    def step(best: Column, level: Column) -> Column:
+        longer = T.let(around(level), lambda x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+        return F.when((F.length(best) >= 300) & (level > 1), best).otherwise(longer)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ANCESTORS)), text, step)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -268,12 +263,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     pieces = page_pieces(pages).withColumn(
         "_text", cleaning.scrub(cleaning.normalize_page_text(_main_text()))
     )
+    short = (F.col("h1") != "") & (F.length("_text") < 200)
+    content = F.when(short, _around_heading(F.col("_text"), F.col("pieces"))).otherwise(F.col("_text"))
     title = F.coalesce(
         F.nullif("h1", F.lit("")), F.nullif("page_title", F.lit("")),
         F.nullif(raw_path(F.col("url")), F.lit("")), F.col("url"),
     )
     return pieces.select(
-        "page_id", "url", title.alias("title"), _with_fallback(F.col("_text")).alias("content"),
+        "page_id", "url", title.alias("title"), content.alias("content"),
         "links", asset_list().alias("assets"),
     )
 

@@ -125,9 +125,10 @@ def keyword_hits(links: DataFrame, keywords: DataFrame, limit: int = 20) -> Data
     per = first_rows(hits, ["url", "anchor"], [F.asc("keyword_pos")], limit).groupBy("url", "anchor").agg(
         F.array_sort(F.collect_list(F.struct("keyword_pos", "keyword"))).alias("_hits")
     )
-    same = (distinct["url"].eqNullSafe(per["url"])) & (distinct["anchor"].eqNullSafe(per["anchor"]))
+    per = per.withColumnsRenamed({"url": "_url", "anchor": "_anchor"})
+    same = F.col("url").eqNullSafe(F.col("_url")) & F.col("anchor").eqNullSafe(F.col("_anchor"))
     return distinct.join(per, same, "left").select(
-        distinct["url"], distinct["anchor"],
+        "url", "anchor",
         F.coalesce(F.transform("_hits", lambda h: h["keyword"]), T.string_array([])).alias("hits"),
         F.col("_hits").isNotNull().alias("relevant"),
     )
