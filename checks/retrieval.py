@@ -1 +1,449 @@
-"""Registered queries."""
+"""Retrieval: vectors, words, fusion, reranking, lookups."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from checks.registry import query
+from checks.text import WORDS, overlap_sql, tokens_sql
+from quaero.operators import dense, fusion, lexical, lookup
+from quaero.operators.vector_aggregates import avg_vectors
+from quaero.plans import search
+from quaero.sources.tables import search_log_rows
+
+TODAY = datetime.date(2026, 9, 27)
+
+# Documents as corpus: the first line is the title, a document is one chunk.
+CORPUS_SQL = r"""
+docs AS (SELECT doc_id AS document_id, split_part(text, E'\n', 1) AS title, 'https://' || source || '.example.org/' || lang || '/' || doc_id AS url, text AS content, source FROM documents)"""
+
+
+def documents(t):
+    return t("documents").select(
+        F.col("doc_id").alias("document_id"), F.split("text", "\n")[0].alias("title"),
+        F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
+        F.col("text").alias("content"), F.lit("text/html").alias("mime_type"), "source",
+    )
+
+
+def chunks(t):
+    """One chunk per document, with the vector of the same number where there is one."""
+    return documents(t).select(
+        F.col("document_id").alias("chunk_id"), "document_id", "content",
+        F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("section"),
+    ).join(t("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+
+
+def asked(t):
+    return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def centroids(t):
+    return avg_vectors(t("embeddings"), ["label"], "embedding").select(
+        F.col("label").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding")
+    )
+
+
+def vectors(t):
+    return t("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+CENTROIDS_SQL = """
+cells AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings),
+means AS (SELECT label, pos, avg(v)::FLOAT::DOUBLE AS v FROM cells GROUP BY label, pos),
+queries AS (SELECT label::BIGINT AS query_id, list(v ORDER BY pos) AS q FROM means GROUP BY label),
+scored AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(q, embedding::DOUBLE[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score, label FROM queries, embeddings),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 18)"""
+
+
+@query("dense_topk", f"WITH {CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM near")
+def _(t):
+    """Each label's centroid against all vectors."""
+    found = dense.dense_topk(centroids(t), vectors(t))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+@query("dense_topk_blockwise", f"WITH {CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM near")
+def _(t):
+    """The same by blocks and shards, as for a batch too large to be sent around."""
+    found = dense.dense_topk(centroids(t), vectors(t), broadcast_values=64)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+@query("dense_hits_with_documents", f"""
+WITH {CENTROIDS_SQL}, {CORPUS_SQL} SELECT query_id, rank::BIGINT AS rank, document_id, title AS document_title, url AS document_url FROM near JOIN docs ON document_id = chunk_id""")
+def _(t):
+    found = dense.dense_topk(centroids(t), chunks(t).filter("embedding is not null"))
+    told = dense.with_documents(found, chunks(t), documents(t))
+    return told.select("query_id", F.col("rank").cast("long"), "document_id", "document_title", "document_url")
+
+
+@query("dense_single_query", """
+WITH q AS (SELECT list(v ORDER BY pos) AS q FROM (SELECT pos, avg(v) AS v FROM (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY pos)),
+s AS (SELECT vec_id AS chunk_id, list_dot_product(q, embedding::DOUBLE[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM q, embeddings)
+SELECT chunk_id, round(score, 6) AS score FROM s ORDER BY score DESC, chunk_id LIMIT 18""")
+def _(t):
+    middle = avg_vectors(t("embeddings"), [], "embedding").first()["embedding"]
+    return dense.nearest(vectors(t), middle).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("approximate_topk")
+def _(t):
+    index = dense.CellIndex.build(vectors(t), cells=16)
+    found = index.topk(centroids(t), k=18, probes=6)
+    return dense.recall(found, dense.dense_topk(centroids(t), vectors(t))).select("query_id", F.round("recall", 3).alias("recall"))
+
+
+@query("approximate_topk_all_cells", f"WITH {CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM near")
+def _(t):
+    """With all cells probed the approximate search is exact."""
+    index = dense.CellIndex.build(vectors(t), cells=8)
+    found = index.topk(centroids(t), k=18, probes=8)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+# --- words -------------------------------------------------------------------------------
+
+PARTS_SQL = f"""
+qwords AS (SELECT item_id AS query_id, {WORDS.format(c='text')} AS ws FROM benchmark),
+dwords AS (SELECT doc_id AS chunk_id, {WORDS.format(c='text')} AS ws FROM documents),
+dpos AS (SELECT chunk_id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS pos FROM dwords)"""
+
+BM25_SQL = f"""{PARTS_SQL},
+qterm AS (SELECT DISTINCT query_id, unnest(ws) AS term FROM qwords),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM dpos GROUP BY ALL),
+dl AS (SELECT chunk_id, len(ws) AS dl FROM dwords), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM qterm JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY ALL),
+said AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 18)"""
+
+
+@query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM said")
+def _(t):
+    found = lexical.bm25_topk(chunks(t), asked(t))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+# All words of a query must stand in the chunk; shortest stretches by the last place of each word.
+COVER_SQL = f"""{PARTS_SQL},
+need AS (SELECT query_id, unnest(range(0, len(ws))) AS operand, unnest(ws) AS term FROM qwords),
+hit AS (SELECT DISTINCT query_id, chunk_id, term FROM need JOIN dpos USING (term)),
+full_hit AS (SELECT query_id, chunk_id FROM hit GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT term) FROM need n WHERE n.query_id = hit.query_id)),
+occ AS (SELECT query_id, chunk_id, operand, pos FROM full_hit JOIN need USING (query_id) JOIN dpos USING (chunk_id, term)),
+ends AS (SELECT o.query_id, o.chunk_id, o.pos AS e, min(l.last) AS b FROM (SELECT DISTINCT query_id, chunk_id, pos FROM occ) o,
+  LATERAL (SELECT operand, max(pos) AS last FROM occ x WHERE x.query_id = o.query_id AND x.chunk_id = o.chunk_id AND x.pos <= o.pos GROUP BY operand) l
+  GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM need n WHERE n.query_id = o.query_id)),
+cover AS (SELECT query_id, chunk_id, b, min(e) AS e FROM ends GROUP BY ALL),
+sized AS (SELECT c.*, (SELECT count(*) FROM occ x WHERE x.query_id = c.query_id AND x.chunk_id = c.chunk_id AND x.pos BETWEEN b AND e) AS inside FROM cover c)
+SELECT query_id, chunk_id, round(sum(0.4 / (1 + greatest(0, (e - b) - (inside - 1)))), 6) AS score FROM sized GROUP BY ALL"""
+
+
+@query("lexical_topk", f"WITH {COVER_SQL}")
+def _(t):
+    found = lexical.lexical_topk(chunks(t), asked(t), k=1_000_000)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("lexical_topk_plain", f"WITH {COVER_SQL}")
+def _(t):
+    found = lexical.lexical_topk(chunks(t), asked(t), k=1_000_000, plain=True)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("phrase_matches", f"""
+WITH {PARTS_SQL} SELECT query_id, chunk_id FROM qwords q, dwords d
+WHERE contains(' ' || array_to_string(d.ws, ' ') || ' ', ' ' || array_to_string(q.ws, ' ') || ' ') AND NOT list_contains(d.ws, 'of')
+UNION SELECT query_id, chunk_id FROM qwords q, dwords d WHERE list_contains(d.ws, q.ws[1]) AND list_contains(d.ws, q.ws[-1]) AND NOT list_contains(d.ws, 'the')""")
+def _(t):
+    """The whole text as a phrase without one word, or its first and last words without another."""
+    words = F.col("_w")
+    rows = asked(t).withColumn("_w", lexical.words_of("question"))
+    question = F.concat(
+        F.lit('"'), F.array_join(words, " "), F.lit('" -of or '), F.get(words, F.lit(0)), F.lit(" "),
+        F.get(words, F.size(words) - 1), F.lit(" -the"),
+    )
+    terms = lexical.query_terms(rows.select("query_id", question.alias("question")))
+    return lexical.lexical_matches(chunks(t), terms).select("query_id", "chunk_id").distinct()
+
+
+@query("query_terms", f"""
+WITH w AS (SELECT item_id AS query_id, {WORDS.format(c='text')} AS ws FROM benchmark)
+SELECT query_id, 0::BIGINT AS alt, 0::BIGINT AS operand, false AS negate, unnest(range(0, len(ws))) AS part, unnest(ws) AS term FROM w
+UNION ALL SELECT query_id, 1, 2, true, 0, ws[1] FROM w UNION ALL SELECT query_id, 1, 3, false, 0, ws[-1] FROM w""")
+def _(t):
+    rows = asked(t).withColumn("_w", lexical.words_of("question"))
+    question = F.concat(
+        F.lit('"'), F.array_join("_w", " "), F.lit('" OR -'), F.get("_w", F.lit(0)), F.lit("  "), F.get("_w", F.size("_w") - 1)
+    )
+    found = lexical.query_terms(rows.select("query_id", question.alias("question")))
+    return found.select("query_id", *[F.col(c).cast("long") for c in ("alt", "operand")], "negate", F.col("part").cast("long"), "term")
+
+
+# --- fusion ------------------------------------------------------------------------------
+
+HYBRID_SQL = f"""{BM25_SQL}, {CORPUS_SQL},
+qv AS (SELECT item_id AS query_id, text AS question, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+dn AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(q, embedding::DOUBLE[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score
+  FROM qv, embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn QUALIFY rank <= 18),
+fused AS (SELECT coalesce(n.query_id, s.query_id) AS query_id, coalesce(n.chunk_id, s.chunk_id) AS chunk_id, n.rank AS nr, s.rank AS sr,
+   coalesce(1.0::DOUBLE / (60 + n.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS rrf FROM near n FULL JOIN (SELECT said.* FROM said JOIN qv USING (query_id)) s ON n.query_id = s.query_id AND n.chunk_id = s.chunk_id),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, nr NULLS LAST, sr NULLS LAST, chunk_id) AS pos FROM fused QUALIFY pos <= 24)"""
+
+RERANK_SQL = f"""{HYBRID_SQL},
+toks AS (SELECT query_id, chunk_id, pos, rrf, {tokens_sql('question')} AS qt, {tokens_sql("trim(title, E' ' || chr(9) || chr(13)) || chr(10) || substr(content, 1, 800)")} AS dt
+  FROM pool JOIN qv USING (query_id) JOIN docs ON document_id = chunk_id),
+rr AS (SELECT *, {overlap_sql('qt', 'dt')} AS rerank_score FROM toks),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, pos) AS rpos, max(rerank_score) OVER (PARTITION BY query_id) AS best FROM rr QUALIFY rpos <= 24),
+floor_cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rpos) AS final_pos FROM top WHERE rerank_score >= greatest(0.12, best * 0.45) OR rpos = 1 QUALIFY final_pos <= 12)"""
+
+
+def question_vectors(t):
+    vectors_by_id = t("embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return asked(t).join(vectors_by_id, "query_id")
+
+
+def both_lists(t):
+    q = question_vectors(t)
+    return dense.dense_topk(q, chunks(t)), lexical.bm25_topk(chunks(t), q.select("query_id", "question"))
+
+
+@query("reciprocal_rank_fusion", f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(rrf, 9) AS rrf FROM fused")
+def _(t):
+    fused = fusion.reciprocal_rank_fusion(*both_lists(t))
+    return fused.select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"))
+
+
+@query("fused_candidates", f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, pos::BIGINT AS pos FROM pool")
+def _(t):
+    found = fusion.candidates(fusion.reciprocal_rank_fusion(*both_lists(t)))
+    return found.select("query_id", "chunk_id", F.col("pos").cast("long"))
+
+
+@query("hybrid_search", f"""
+WITH {RERANK_SQL} SELECT query_id, final_pos::BIGINT AS pos, chunk_id, round(rerank_score, 6) AS rerank_score FROM floor_cut""")
+def _(t):
+    corpus = search.Corpus(documents(t), chunks(t))
+    found = search.hybrid_search(corpus, question_vectors(t), any_word=True)
+    return found.select("query_id", F.col("pos").cast("long"), "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query("hybrid_hit_view", f"""
+WITH {RERANK_SQL} SELECT query_id, final_pos::BIGINT AS pos, document_id, title AS document, url, md5(substr(content, 1, 600)) AS quote
+FROM floor_cut JOIN docs ON document_id = chunk_id""")
+def _(t):
+    corpus = search.Corpus(documents(t), chunks(t))
+    shown = lookup.hit_view(search.hybrid_search(corpus, question_vectors(t), any_word=True))
+    return shown.select("query_id", F.col("pos").cast("long"), "document_id", "document", "url", F.md5("quote").alias("quote"))
+
+
+@query("hybrid_search_all_words")
+def _(t):
+    """The default: words must all match."""
+    corpus = search.Corpus(documents(t), chunks(t))
+    return search.hybrid_search(corpus, question_vectors(t)).select("query_id", "pos", "chunk_id", "rerank_score")
+
+
+@query("merged_hits", f"""
+WITH {HYBRID_SQL}, u AS (SELECT 0 AS l, query_id, chunk_id, chunk_id // 3 AS document_id, rank FROM near UNION ALL SELECT 1, query_id, chunk_id, chunk_id // 3, rank FROM said WHERE query_id IN (SELECT query_id FROM qv)),
+o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY l, rank, chunk_id) = 1)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY l, rank, chunk_id)::BIGINT AS pos FROM o QUALIFY pos <= 20""")
+def _(t):
+    lists = [d.withColumn("document_id", F.floor(F.col("chunk_id") / 3)).withColumnRenamed("rank", "pos") for d in both_lists(t)]
+    return fusion.merge_hits(lists, limit=20).select("query_id", "chunk_id", F.col("pos").cast("long"))
+
+
+@query("search_log", f"""
+WITH {RERANK_SQL}, n AS (SELECT query_id, count(*) AS n FROM floor_cut GROUP BY 1)
+SELECT query_id, question AS query, 'ro' AS language, coalesce(n, 0)::BIGINT AS result_count FROM qv LEFT JOIN n USING (query_id)""")
+def _(t):
+    corpus = search.Corpus(documents(t), chunks(t))
+    found = search.hybrid_search(corpus, question_vectors(t), any_word=True)
+    rows = search_log_rows(question_vectors(t).select("query_id", "question"), found, F.current_timestamp())
+    return rows.select("query_id", "query", "language", "result_count")
+
+
+# --- lookups -----------------------------------------------------------------------------
+
+@query("exact_phrase", f"""
+WITH {CORPUS_SQL}, f AS (SELECT item_id AS query_id, document_id FROM benchmark, docs WHERE contains(lower(content), lower(trim(text, E' \\t\\n\\r'))))
+SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY document_id)::BIGINT AS pos FROM f QUALIFY pos <= 5""")
+def _(t):
+    phrases = asked(t).withColumnRenamed("question", "phrase")
+    found = lookup.exact_phrase(phrases, chunks(t), documents(t))
+    return found.select("query_id", "document_id", F.col("pos").cast("long"))
+
+
+@query("topic_rescue", f"""
+WITH {CORPUS_SQL}, w AS (SELECT item_id AS query_id, regexp_extract_all(text, '[\\p{{L}}]{{5,}}') AS ws FROM benchmark),
+terms AS (SELECT query_id, unnest(ws[1:5]) AS term FROM w),
+found AS (SELECT DISTINCT query_id, document_id FROM terms, docs WHERE contains(lower(title), lower(term)) OR contains(lower(url), lower(term))),
+newest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_id DESC) AS n FROM found QUALIFY n <= 18),
+sure AS (SELECT n.* FROM newest n JOIN docs USING (document_id) WHERE EXISTS (SELECT 1 FROM terms t WHERE t.query_id = n.query_id
+   AND contains(strip_accents(lower(title || ' ' || url || ' ' || substr(content, 1, 800))), strip_accents(lower(term)))))
+SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY n)::BIGINT AS pos FROM sure QUALIFY pos <= 6""")
+def _(t):
+    found = F.regexp_extract_all("question", F.lit(r"[\p{L}]{5,}"), F.lit(0))
+    terms = asked(t).select("query_id", F.posexplode(found).alias("term_pos", "term"))
+    hits = lookup.topic_rescue(terms, documents(t), chunks(t))
+    return hits.select("query_id", "document_id", F.col("pos").cast("long"))
+
+
+@query("related_chunks", f"""
+WITH {HYBRID_SQL}, lines AS (SELECT document_id, unnest(range(0, len(string_split(content, chr(10))))) AS no FROM docs),
+hits AS (SELECT query_id, chunk_id AS document_id, chunk_id * 100000 AS chunk_id, rank AS pos FROM near),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, document_id) AS dn FROM hits QUALIFY dn <= 8),
+m AS (SELECT query_id, dn, l.document_id, l.document_id * 100000 + no AS chunk_id FROM d JOIN lines l USING (document_id) WHERE no < 5)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY dn, chunk_id)::BIGINT AS pos FROM m WHERE (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM hits) QUALIFY pos <= 12""")
+def _(t):
+    lines = documents(t).select("document_id", F.posexplode(F.split("content", "\n")).alias("no", "content")).select(
+        "document_id", (F.col("document_id") * 100_000 + F.col("no")).alias("chunk_id"), "content",
+        F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("section"),
+    )
+    hits = dense.dense_topk(question_vectors(t), chunks(t)).select(
+        "query_id", F.col("chunk_id").alias("document_id"), (F.col("chunk_id") * 100_000).alias("chunk_id"), F.col("rank").alias("pos")
+    )
+    return lookup.related_chunks(hits, lines, documents(t)).select("query_id", "chunk_id", F.col("pos").cast("long"))
+
+
+@query("research_merge", f"""
+WITH {HYBRID_SQL}, u AS (SELECT query_id, chunk_id, chunk_id % 40 AS document_id, rank, -1 AS qn FROM near UNION ALL SELECT query_id, chunk_id, chunk_id % 40, rank, rank % 3 FROM said WHERE query_id IN (SELECT query_id FROM qv)),
+f AS (SELECT u.*, row_number() OVER (PARTITION BY query_id, document_id ORDER BY qn, rank, chunk_id) AS k FROM u)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY qn, rank, chunk_id)::BIGINT AS pos FROM f WHERE qn < 0 OR k = 1""")
+def _(t):
+    near, said = both_lists(t)
+    shape = lambda d: d.select(
+        "query_id", "chunk_id", (F.col("chunk_id") % 40).alias("document_id"), F.lit(None).cast("int").alias("page"),
+        F.lit("same").alias("content"), F.col("rank").alias("pos"),
+    )
+    found = shape(said).withColumn("query_no", F.col("pos") % 3)
+    return lookup.research_merge(shape(near), found).select("query_id", "chunk_id", F.col("pos").cast("long"))
+
+
+@query("read_documents", f"""
+WITH {CORPUS_SQL} SELECT e.event_id AS request_id, document_id, len(substr(content, 1, 2500))::BIGINT AS chars FROM events e JOIN docs ON document_id = CASE e.event_id % 3 WHEN 0 THEN e.event_id % 97 ELSE e.event_id % 89 END""")
+def _(t):
+    e, docs = F.col("event_id"), documents(t)
+    by_id = t("events").select(
+        e.alias("request_id"), F.when(e % 3 == 0, e % 97).alias("document_id"), F.when(e % 3 != 0, e % 89).alias("_target"), (e % 3 == 2).alias("_part")
+    )
+    urls = docs.select(F.col("document_id").alias("_target"), F.col("url").alias("_full"))
+    asked_for = by_id.join(urls, "_target", "left").select(
+        "request_id", "document_id",
+        F.when(F.col("_part"), F.expr("substring(_full, length(_full) - length(regexp_extract(_full, '//(.*)$', 1)) + 1)")).otherwise(F.col("_full")).alias("url"),
+    )
+    found = lookup.read_documents(asked_for, docs)
+    return found.select("request_id", "document_id", F.length("preview").cast("long").alias("chars"))
+
+
+@query("find_document_by_url", f"""
+WITH {CORPUS_SQL}, a AS (SELECT event_id AS request_id, CASE event_id % 2 WHEN 0 THEN (SELECT url FROM docs WHERE document_id = event_id % 83) ELSE 'https://src' || (event_id % 25) || '.example.org/altceva' END AS url FROM events),
+h AS (SELECT regexp_extract(url, '//([^/]*)', 1) AS host, max(document_id) AS newest FROM docs GROUP BY 1)
+SELECT request_id, coalesce(d.document_id, h.newest) AS document_id FROM a LEFT JOIN docs d USING (url) LEFT JOIN h ON h.host = regexp_extract(a.url, '//([^/]*)', 1) WHERE coalesce(d.document_id, h.newest) IS NOT NULL""")
+def _(t):
+    e, docs = F.col("event_id"), documents(t)
+    known = docs.select(F.col("document_id").alias("_target"), F.col("url").alias("_url"))
+    rows = t("events").select(e.alias("request_id"), F.when(e % 2 == 0, e % 83).alias("_target"), (e % 25).alias("_s"))
+    requests = rows.join(known, "_target", "left").select(
+        "request_id", F.coalesce("_url", F.concat(F.lit("https://src"), F.col("_s").cast("string"), F.lit(".example.org/altceva"))).alias("url")
+    )
+    return lookup.find_by_url(requests, docs).select("request_id", "document_id")
+
+
+@query("document_chunk_list", f"""
+WITH {CORPUS_SQL}, l AS (SELECT document_id, unnest(string_split(content, chr(10))) AS s, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS place FROM docs)
+SELECT document_id, place::BIGINT AS place, md5(substr(s, 1, 500)) AS text FROM l WHERE place <= 8""")
+def _(t):
+    lines = documents(t).select("document_id", F.posexplode(F.split("content", "\n")).alias("chunk_id", "content")).select(
+        "document_id", "chunk_id", "content", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("section"))
+    return lookup.document_chunks(documents(t), lines).select("document_id", F.col("place").cast("long"), F.md5("text").alias("text"))
+
+
+@query("document_previews", f"""
+WITH {HYBRID_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM near QUALIFY place <= 8)
+SELECT query_id, place::BIGINT AS place, document_id, md5(substr(content, 1, 1800)) AS preview, len(content)::BIGINT AS chars FROM d JOIN docs ON document_id = chunk_id""")
+def _(t):
+    wanted = dense.dense_topk(question_vectors(t), chunks(t)).select("query_id", F.col("chunk_id").alias("document_id"), F.col("rank").alias("pos"))
+    found = lookup.document_previews(wanted, documents(t))
+    return found.select("query_id", F.col("place").cast("long"), "document_id", F.md5("preview").alias("preview"), F.col("chars").cast("long"))
+
+
+# Announcements written from the orders: every order is a document of three chunks.
+JOBS_SQL = """
+jobs AS (SELECT o_orderkey AS document_id, o_orderdate + INTERVAL 31 YEAR AS due,
+  CASE o_orderkey % 6 WHEN 0 THEN 'Posturi vacante' WHEN 1 THEN 'Anunț concurs ' || o_orderkey WHEN 2 THEN 'Vacanța de vară' WHEN 3 THEN 'Concurs: desemnarea învingătorului' WHEN 4 THEN 'Știri' ELSE 'Concurs ' || o_orderkey END AS title,
+  'https://h' || (o_custkey % 9) || '.example.org/' || CASE o_orderkey % 6 WHEN 0 THEN 'posturi-vacante' ELSE 'p' END || '/' || o_orderkey AS url,
+  o_orderkey % 6 AS kind FROM orders)"""
+
+
+def jobs(t):
+    k = F.col("o_orderkey")
+    kind = k % 6
+    title = (
+        F.when(kind == 0, "Posturi vacante").when(kind == 1, F.concat(F.lit("Anunț concurs "), k.cast("string")))
+        .when(kind == 2, "Vacanța de vară").when(kind == 3, "Concurs: desemnarea învingătorului").when(kind == 4, "Știri")
+        .otherwise(F.concat(F.lit("Concurs "), k.cast("string")))
+    )
+    due = F.add_months(F.to_date("o_orderdate"), 31 * 12)
+    url = F.concat(
+        F.lit("https://h"), (F.col("o_custkey") % 9).cast("string"), F.lit(".example.org/"),
+        F.when(kind == 0, "posturi-vacante").otherwise("p"), F.lit("/"), k.cast("string"),
+    )
+    call = F.concat(
+        F.lit("Se depune dosar. Termenul limită de depunere: "),
+        F.when(k % 3 == 0, F.date_format(due, "dd.MM.yyyy")).when(k % 3 == 1, F.date_format(due, "yyyy-MM-dd"))
+        .otherwise(F.concat(F.dayofmonth(due).cast("string"), F.lit(" "), F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(due)), F.lit(" "), F.year(due).cast("string"))),
+    )
+    return t("orders").select(
+        k.alias("document_id"), title.alias("title"), url.alias("url"), F.lit("text/html").alias("mime_type"),
+        F.concat(F.lit("Despre noi.\n"), call).alias("content"), call.alias("call"), due.alias("due"),
+    )
+
+
+MONTHS = ["ianuarie", "februarie", "martie", "aprilie", "mai", "iunie", "iulie", "august", "septembrie", "octombrie", "noiembrie", "decembrie"]
+
+
+def job_chunks(t):
+    texts = F.array(F.lit("Despre noi."), F.lit("termen de depunere 01.01.2020"), F.col("call"))
+    return jobs(t).select("document_id", F.posexplode(texts).alias("no", "content")).select(
+        "document_id", (F.col("document_id") * 10 + F.col("no")).alias("chunk_id"), "content",
+        F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("section"),
+    )
+
+
+@query("announcement_chunk", f"""
+WITH {JOBS_SQL} SELECT document_id, document_id * 10 + CASE WHEN due::DATE > DATE '2026-09-27' THEN 2 ELSE 1 END AS chunk_id FROM jobs""")
+def _(t):
+    return lookup.announcement_chunks(job_chunks(t), jobs(t), TODAY).select("document_id", "chunk_id")
+
+
+@query("vacancy_listings", f"""
+WITH {JOBS_SQL}, hub AS (SELECT *, 5 + CASE WHEN year(due) >= 2025 THEN 1 ELSE 0 END + 1 AS q, regexp_extract(url, '//([^/]*)', 1) AS host FROM (SELECT * FROM jobs WHERE kind = 0 ORDER BY document_id DESC LIMIT 40)),
+hub2 AS (SELECT * FROM hub QUALIFY row_number() OVER (PARTITION BY host ORDER BY q DESC, document_id DESC) <= 2),
+hub6 AS (SELECT document_id, 0 AS l, q FROM hub2 ORDER BY q DESC, document_id DESC LIMIT 6),
+other AS (SELECT document_id, 1 AS l, 0 AS q FROM jobs WHERE kind IN (0, 1, 3, 5) ORDER BY document_id DESC LIMIT 72),
+u AS (SELECT document_id, min(l) AS l, max(q) AS q FROM (SELECT * FROM hub6 UNION ALL SELECT * FROM other) GROUP BY document_id)
+SELECT document_id, row_number() OVER (ORDER BY u.l, u.q DESC, document_id DESC)::BIGINT AS pos FROM u JOIN jobs USING (document_id) WHERE kind <> 3 QUALIFY pos <= 12""")
+def _(t):
+    found = lookup.vacancy_hits(jobs(t), job_chunks(t), TODAY, limit=12)
+    return found.select("document_id", F.col("pos").cast("long"))
+
+
+@query("search_with_rescue")
+def _(t):
+    from quaero.plans.answer import analyze
+
+    corpus = search.Corpus(documents(t), chunks(t).drop("embedding").transform(embedded))
+    state = analyze(asked(t), TODAY).filter("scope.relevant")
+    return search.search_with_rescue(corpus, state, TODAY).select("query_id", "pos", "document_id")
+
+
+def embedded(rows):
+    from quaero.operators.chunking import embed
+
+    return embed(rows, "content")
+
+
