@@ -131,13 +131,14 @@ def _(t):
 COVER_SQL = f"""{PARTS_SQL},
 need AS (SELECT query_id, unnest(range(0, len(ws))) AS operand, unnest(ws) AS term FROM qwords),
 hit AS (SELECT DISTINCT query_id, chunk_id, term FROM need JOIN dpos USING (term)),
-full_hit AS (SELECT query_id, chunk_id FROM hit GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT term) FROM need n WHERE n.query_id = hit.query_id)),
+wanted AS (SELECT query_id, count(DISTINCT term) AS terms, count(*) AS operands FROM need GROUP BY query_id),
+full_hit AS (SELECT query_id, chunk_id FROM hit JOIN wanted USING (query_id) GROUP BY query_id, chunk_id, terms HAVING count(*) = terms),
 occ AS (SELECT query_id, chunk_id, operand, pos FROM full_hit JOIN need USING (query_id) JOIN dpos USING (chunk_id, term)),
-ends AS (SELECT o.query_id, o.chunk_id, o.pos AS e, min(l.last) AS b FROM (SELECT DISTINCT query_id, chunk_id, pos FROM occ) o,
-  LATERAL (SELECT operand, max(pos) AS last FROM occ x WHERE x.query_id = o.query_id AND x.chunk_id = o.chunk_id AND x.pos <= o.pos GROUP BY operand) l
-  GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM need n WHERE n.query_id = o.query_id)),
+lasts AS (SELECT o.query_id, o.chunk_id, o.pos AS e, x.operand, max(x.pos) AS last FROM (SELECT DISTINCT query_id, chunk_id, pos FROM occ) o
+  JOIN occ x ON x.query_id = o.query_id AND x.chunk_id = o.chunk_id AND x.pos <= o.pos GROUP BY ALL),
+ends AS (SELECT query_id, chunk_id, e, min(last) AS b FROM lasts JOIN wanted USING (query_id) GROUP BY query_id, chunk_id, e, operands HAVING count(*) = operands),
 cover AS (SELECT query_id, chunk_id, b, min(e) AS e FROM ends GROUP BY ALL),
-sized AS (SELECT c.*, (SELECT count(*) FROM occ x WHERE x.query_id = c.query_id AND x.chunk_id = c.chunk_id AND x.pos BETWEEN b AND e) AS inside FROM cover c)
+sized AS (SELECT c.query_id, c.chunk_id, b, e, count(*) AS inside FROM cover c JOIN occ x ON x.query_id = c.query_id AND x.chunk_id = c.chunk_id AND x.pos BETWEEN b AND e GROUP BY ALL)
 SELECT query_id, chunk_id, round(sum(0.4 / (1 + greatest(0, (e - b) - (inside - 1)))), 6) AS score FROM sized GROUP BY ALL"""
 
 
@@ -374,7 +375,7 @@ def _(t):
 # Announcements written from the orders: every order is a document of three chunks.
 JOBS_SQL = """
 jobs AS (SELECT o_orderkey AS document_id, o_orderdate + INTERVAL 31 YEAR AS due,
-  CASE o_orderkey % 6 WHEN 0 THEN 'Posturi vacante' WHEN 1 THEN 'Anunț concurs ' || o_orderkey WHEN 2 THEN 'Vacanța de vară' WHEN 3 THEN 'Concurs: desemnarea învingătorului' WHEN 4 THEN 'Știri' ELSE 'Concurs ' || o_orderkey END AS title,
+  CASE o_orderkey % 6 WHEN 0 THEN 'Posturi vacante' WHEN 1 THEN 'Anunț concurs ' || o_orderkey WHEN 2 THEN 'Vacanța de vară' WHEN 3 THEN 'Concurs, câștigător' WHEN 4 THEN 'Știri' ELSE 'Concurs ' || o_orderkey END AS title,
   'https://h' || (o_custkey % 9) || '.example.org/' || CASE o_orderkey % 6 WHEN 0 THEN 'posturi-vacante' ELSE 'p' END || '/' || o_orderkey AS url,
   o_orderkey % 6 AS kind FROM orders)"""
 
@@ -384,7 +385,7 @@ def jobs(t):
     kind = k % 6
     title = (
         F.when(kind == 0, "Posturi vacante").when(kind == 1, F.concat(F.lit("Anunț concurs "), k.cast("string")))
-        .when(kind == 2, "Vacanța de vară").when(kind == 3, "Concurs: desemnarea învingătorului").when(kind == 4, "Știri")
+        .when(kind == 2, "Vacanța de vară").when(kind == 3, "Concurs, câștigător").when(kind == 4, "Știri")
         .otherwise(F.concat(F.lit("Concurs "), k.cast("string")))
     )
     due = F.add_months(F.to_date("o_orderdate"), 31 * 12)

@@ -172,10 +172,17 @@ def any_cyrillic(c: Column | str) -> Column:
 
 def question_language(c: Column | str) -> Column:
     """``struct(language, confidence)`` from script, hint words and diacritics."""
-    q = strip(text_or_empty(c))
+    return let(strip(text_or_empty(c)), _question_language)
+
+
+def _question_language(q: Column) -> Column:
     found = F.transform(
         F.regexp_extract_all(q, F.lit("[A-Za-zăâîșțĂÂÎȘȚ]+"), F.lit(0)), F.lower
     )
+    return let(found, lambda w: _language_of(q, w))
+
+
+def _language_of(q: Column, found: Column) -> Column:
     n = F.size(found)
     english = F.size(F.filter(found, lambda w: w.isin(words.ENGLISH_HINTS)))
     romanian = F.size(F.filter(found, lambda w: w.isin(words.ROMANIAN_HINTS))) + F.when(
@@ -205,7 +212,10 @@ def question_language(c: Column | str) -> Column:
 
 def answer_language(question: Column | str, ui_language: Column | str | None = None) -> Column:
     """The language to answer in: the question's when clear, else the interface's."""
-    seen = question_language(question)
+    return let(question_language(question), lambda seen: _answer_language(seen, ui_language))
+
+
+def _answer_language(seen: Column, ui_language: Column | str | None) -> Column:
     hint = F.lit(None).cast("string")
     if ui_language is not None:
         trimmed = F.lower(strip(text_or_empty(ui_language)))

@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from quaero.functions import text as T
 from quaero.operators import facts, questions
-from quaero.operators.fusion import merge_hits
 from quaero.operators.keyed import contains_join, first_rows
+from quaero.session import cut_lineage
 from quaero.values import contacts, patterns, replies, words
 
 GATES = ["missing", "supported", "conflict"]
@@ -159,13 +159,16 @@ def verify(hits: DataFrame, asked: DataFrame, today: datetime.date) -> tuple[Dat
         live.select("query_id", "question", "answer_mode", "wants_list"), "query_id"
     )
     scored = score_hits(with_mode, today).filter("admitted")
-    pool = scored.groupBy("query_id").agg(
-        F.max("evidence_score").alias("_best"),
-        F.max(F.coalesce("rerank_score", F.lit(0.0))).alias("_best_rr"),
-        F.max("content_overlap").alias("_best_cov"),
-    ).filter("_best >= 0.18")
-    scored = scored.join(pool, "query_id").filter(
-        ~((F.col("_best_rr") > 0) & (F.col("_best_rr") < 0.22) & (F.col("_best_cov") < 0.16)
+    per_query = Window.partitionBy("query_id")
+    scored = scored.withColumns(
+        {
+            "_best": F.max("evidence_score").over(per_query),
+            "_best_rr": F.max(F.coalesce("rerank_score", F.lit(0.0))).over(per_query),
+            "_best_cov": F.max("content_overlap").over(per_query),
+        }
+    ).filter(
+        (F.col("_best") >= 0.18)
+        & ~((F.col("_best_rr") > 0) & (F.col("_best_rr") < 0.22) & (F.col("_best_cov") < 0.16)
           & ~F.col("list_mode"))
     )
     title_size = F.length(T.strip(T.text_or_empty("document_title")))
@@ -174,7 +177,6 @@ def verify(hits: DataFrame, asked: DataFrame, today: datetime.date) -> tuple[Dat
     scored = scored.withColumn(
         "title_overlap_raw", T.overlap("question", "document_title")
     ).withColumn("_strong", strong)
-    per_query = Window.partitionBy("query_id")
     scored = scored.withColumn("_any_strong", F.max("_strong").over(per_query)).filter(
         wide | (F.col("_any_strong") & F.col("_strong"))
         | (~F.col("_any_strong") & (F.col("evidence_score") >= F.greatest(F.col("_best") * 0.5, F.lit(0.16))))
@@ -185,7 +187,7 @@ def verify(hits: DataFrame, asked: DataFrame, today: datetime.date) -> tuple[Dat
     )
     usable = fresh_first(ranked, today.year)
     keep = [c for c in hits.columns if c not in ("pos", "question")]
-    usable = usable.select("question", *keep, F.col("fresh_pos").alias("pos"))
+    usable = cut_lineage(usable.select("question", *keep, F.col("fresh_pos").alias("pos")))
     found = facts.conflicts(usable).select("query_id").distinct().withColumn("_conflict", F.lit(True))
     have = usable.select("query_id").distinct().join(found, "query_id", "left").select(
         "query_id", F.when(F.col("_conflict"), "conflict").otherwise("supported").alias("gate")
@@ -525,10 +527,9 @@ def evidence_text(title: Column, content: Column, job: Column) -> Column:
 
     bare = F.regexp_replace(T.text_or_empty(content), T.uni(patterns.EVIDENCE_PLACEHOLDER), "")
     tight = T.strip(F.regexp_replace(scrub(bare), r"(?U)\s{2,}", " "))
-    cut = F.when(job, facts.vacancy_excerpt(tight)).otherwise(tight)
-    return F.substring(
-        F.when(F.length(cut) < 40, T.strip(T.text_or_empty(title))).otherwise(cut), 1, 2200
-    )
+    kept = T.let(tight, lambda x: F.when(job, facts.vacancy_excerpt(x)).otherwise(x))
+    whole = T.let(kept, lambda x: F.when(F.length(x) < 40, T.strip(T.text_or_empty(title))).otherwise(x))
+    return F.substring(whole, 1, 2200)
 
 
 def evidence_blocks(usable: DataFrame) -> DataFrame:

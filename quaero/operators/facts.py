@@ -34,14 +34,16 @@ def phones(c: Column | str) -> Column:
 def emails(c: Column | str, known: Column | None = None) -> Column:
     """Addresses in lower case; the institution's own one, if among them, comes first."""
     found = F.regexp_extract_all(T.text_or_empty(c), F.lit(patterns.EMAIL), F.lit(0))
-    listed = _distinct_first(F.transform(found, F.lower), 5)
+    all_found = _distinct_first(F.transform(found, F.lower), 5)
     if known is None:
-        return listed
-    wanted = F.lower(known)
-    return F.when(
-        F.array_contains(listed, F.coalesce(wanted, F.lit(""))),
-        F.concat(F.array(wanted), F.array_remove(listed, F.coalesce(wanted, F.lit("")))),
-    ).otherwise(listed)
+        return all_found
+    wanted = F.coalesce(F.lower(known), F.lit(""))
+    return T.let(
+        all_found,
+        lambda listed: F.when(
+            F.array_contains(listed, wanted), F.concat(F.array(wanted), F.array_remove(listed, wanted))
+        ).otherwise(listed),
+    )
 
 
 def addresses(c: Column | str) -> Column:
@@ -116,14 +118,19 @@ def application_deadlines(c: Column | str) -> Column:
 
 def vacancy_state(title: Column, content: Column, today: datetime.date) -> Column:
     """``open`` needs one single deadline after today; a past one is ``expired``."""
-    dates = application_deadlines(F.concat(T.text_or_empty(title), F.lit("\n"), T.text_or_empty(content)))
-    latest = F.array_max(dates)
     day = F.lit(today)
-    return (
-        F.when(F.size(dates) == 0, "unverified")
-        .when(latest < day, "expired")
-        .when((latest == day) | (F.size(dates) > 1), "unverified")
-        .otherwise("open")
+
+    def state(dates: Column) -> Column:
+        latest = F.array_max(dates)
+        return (
+            F.when(F.size(dates) == 0, "unverified")
+            .when(latest < day, "expired")
+            .when((latest == day) | (F.size(dates) > 1), "unverified")
+            .otherwise("open")
+        )
+
+    return T.let(
+        application_deadlines(F.concat(T.text_or_empty(title), F.lit("\n"), T.text_or_empty(content))), state
     )
 
 
@@ -135,30 +142,33 @@ def sector_in_question(q: Column | str) -> Column:
 
 
 def _sectors_within(folded: Column) -> Column:
-    return F.filter(T.string_array(words.SECTORS), lambda s: F.contains(folded, s))
+    return T.let(folded, lambda f: F.filter(T.string_array(words.SECTORS), lambda s: F.contains(f, s)))
 
 
 def matches_sector(title: Column, url: Column, content: Column, sector: Column) -> Column:
     """Does a hit belong to the sector: by title and URL, else by its body's office line."""
-    heading = _sectors_within(T.fold(F.concat_ws(" ", T.text_or_empty(title), T.text_or_empty(url))))
-    body = T.fold(content)
-    mentioned = _sectors_within(body)
-    office = F.lit(False)
-    for name in words.SECTORS:
-        office = office | (
-            (sector == name) & body.rlike("(?U)pretur\\w*\\s+(?:sectorului\\s+)?" + name + "\\b")
+    alone = lambda found: (F.size(found) == 1) & (F.get(found, F.lit(0)) == sector)
+
+    def by_body(body: Column) -> Column:
+        office = F.regexp_extract_all(
+            body, F.lit("(?U)pretur\\w*\\s+(?:sectorului\\s+)?(" + "|".join(words.SECTORS) + ")\\b"), F.lit(1)
         )
-    return (
-        F.when(sector.isNull(), F.lit(True))
-        .when(F.size(heading) > 0, (F.size(heading) == 1) & (F.get(heading, F.lit(0)) == sector))
-        .otherwise((F.size(mentioned) == 1) & (F.get(mentioned, F.lit(0)) == sector) & office)
-    )
+        return alone(_sectors_within(body)) & F.array_contains(office, F.coalesce(sector, F.lit("")))
+
+    def by_heading(heading: Column) -> Column:
+        return F.when(F.size(heading) > 0, alone(heading)).otherwise(T.let(T.fold(content), by_body))
+
+    named = _sectors_within(T.fold(F.concat_ws(" ", T.text_or_empty(title), T.text_or_empty(url))))
+    return F.when(sector.isNull(), F.lit(True)).otherwise(T.let(named, by_heading))
 
 
 def vacancy_excerpt(c: Column | str, limit: int = 2200) -> Column:
     """Header and deadline of a long announcement within ``limit`` characters."""
-    text = T.text_or_empty(c)
-    folded = T.fold(text)
+    return T.let(T.text_or_empty(c), lambda text: F.when(F.length(text) <= limit, text).otherwise(
+        T.let(T.fold(text), lambda folded: _long_excerpt(text, folded, limit))))
+
+
+def _long_excerpt(text: Column, folded: Column, limit: int) -> Column:
     cue = patterns.APPLICATION_CUE
     pieces = F.split(folded, T.uni(cue), -1)
     found = F.regexp_extract_all(folded, F.lit(T.uni(cue)), F.lit(0))
@@ -173,10 +183,8 @@ def vacancy_excerpt(c: Column | str, limit: int = 2200) -> Column:
     begin = F.greatest(F.lit(0), first - 250)
     head = F.substring(text, 1, 500)
     tail = F.substring(text, begin + 1, limit - F.length(head) - 3)
-    return (
-        F.when(F.length(text) <= limit, text)
-        .when(first.isNull() | (first < limit - 150), F.substring(text, 1, limit))
-        .otherwise(F.concat(head, F.lit("\n…\n"), tail))
+    return F.when(first.isNull() | (first < limit - 150), F.substring(text, 1, limit)).otherwise(
+        F.concat(head, F.lit("\n…\n"), tail)
     )
 
 

@@ -64,9 +64,12 @@ def topic_terms(q: Column | str, limit: int = 8) -> Column:
     pairs = F.transform(F.concat(found, by_length), lambda w: F.struct(w.alias("word"), T.fold(w).alias("bare")))
     barred = T.string_array(words.STOP_WORDS + words.WEAK_TOPICS)
     usable = F.filter(pairs, lambda p: (F.length(p["bare"]) >= 5) & ~F.array_contains(barred, p["bare"]))
-    bare = F.transform(usable, lambda p: p["bare"])
-    first = F.filter(usable, lambda p, i: F.array_position(bare, p["bare"]) == i + 1)
-    return F.slice(F.transform(first, lambda p: p["word"]), 1, limit)
+
+    def first_of_each(found: Column) -> Column:
+        bare = F.transform(found, lambda p: p["bare"])
+        return F.filter(found, lambda p, i: F.array_position(bare, p["bare"]) == i + 1)
+
+    return F.slice(F.transform(T.let(usable, first_of_each), lambda p: p["word"]), 1, limit)
 
 
 def names_city_matter(q: Column | str) -> Column:
@@ -273,8 +276,12 @@ def search_query(q: Column | str, known_intent: Column, known_institution: Colum
 def alternative_queries(q: Column | str, known_intent: Column, known_institution: Column,
                         limit: int = 4) -> Column:
     """Other wordings: missing synonyms per group, the institution, the keyword skeleton."""
-    question = T.strip(_text(q))
-    low = F.lower(question)
+    return T.let(
+        F.lower(T.strip(_text(q))), lambda low: _alternatives(low, known_intent, known_institution, limit)
+    )
+
+
+def _alternatives(low: Column, known_intent: Column, known_institution: Column, limit: int) -> Column:
     key = F.coalesce(known_institution, F.lit(""))
     found = []
     for group in words.SYNONYM_GROUPS:
@@ -305,9 +312,11 @@ def alternative_queries(q: Column | str, known_intent: Column, known_institution
 
 def distinct_ignoring_case(texts: Column) -> Column:
     """The first of each text that differs in more than case; empty ones go."""
-    present = F.filter(texts, lambda w: w != "")
-    low = F.transform(present, F.lower)
-    return F.filter(present, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+    def first_of_each(present: Column) -> Column:
+        low = F.transform(present, F.lower)
+        return F.filter(present, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+
+    return T.let(F.filter(texts, lambda w: w != ""), first_of_each)
 
 
 def query_list(heuristic: Column, suggested: Column | None = None, limit: int = 5) -> Column:
