@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaero.functions import text as T
+from quaero.operators.keyed import unfold
 
 CHUNK_TOKENS = 650
 OVERLAP_TOKENS = 100
@@ -93,7 +94,7 @@ def chunk_documents(documents: DataFrame, size: int = CHUNK_TOKENS, overlap: int
         "_bounds",
         lambda b: T.strip(F.array_join(F.slice("_units", b["first"] + 1, b["past"] - b["first"]), "\n\n")),
     )
-    rows = cut.select(*keep, bodies.alias("_bodies")).select(*keep, F.posexplode("_bodies").alias("chunk_no", "content"))
+    rows = unfold(cut, keep, bodies, "chunk_no", "content")
     return rows.withColumn("token_count", T.approx_tokens("content"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from quaero.functions import text as T
 from quaero.operators import facts, questions
-from quaero.operators.keyed import contains_join, first_rows
+from quaero.operators.keyed import contains_join, first_rows, unfold
 from quaero.session import cut_lineage
 from quaero.values import contacts, patterns, replies, words
 
@@ -564,7 +564,7 @@ def _link_words(links: DataFrame, split: bool) -> DataFrame:
             ("ru", F.regexp_extract_all(F.lower(T.text_or_empty("topic_ru")), F.lit("[a-zа-яё]{4,}"), F.lit(0))),
         ]
     parts = [
-        links.select("link_id", F.lit(name).alias("side"), F.posexplode(found).alias("at", "word"))
+        unfold(links.withColumn("side", F.lit(name)), ["link_id", "side"], found, "at", "word")
         for name, found in sides
     ]
     return parts[0].unionByName(parts[1]).filter(F.length("word") >= 4)
@@ -623,7 +623,7 @@ def contact_for(asked: DataFrame, links: DataFrame) -> DataFrame:
     by_institution = asked.join(known, "institution").select("query_id", "label", "url", "contact")
     rest = asked.join(by_institution.select("query_id"), "query_id", "left_anti")
     words_asked = rest.select("query_id", T.tokens(F.lower("question")).alias("_t"))
-    sized = words_asked.select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("word"))
+    sized = unfold(words_asked.withColumn("_n", F.size("_t")), ["query_id", "_n"], "_t", "_at", "word")
     topic = F.concat_ws(" ", T.text_or_empty("topic_ro"), T.text_or_empty("topic_ru"))
     told = links.select("link_id", F.explode(T.tokens(topic)).alias("word"))
     shares = sized.join(told, "word").groupBy("query_id", "link_id").agg(

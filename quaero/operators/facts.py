@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaero.functions import text as T
-from quaero.operators.keyed import first_rows
+from quaero.operators.keyed import first_rows, unfold
 from quaero.values import patterns, words
 
 MONTH_NAMES = "|".join(words.MONTHS)
@@ -282,10 +282,9 @@ def clear_claims(hits: DataFrame) -> DataFrame:
     read = asked.withColumn(
         "_claims", claims(F.col("document_title"), F.col("content"), F.col("field"), F.col("_roots"))
     )
-    told = read.select(
-        "query_id", "document_id", "field", "pos", "chunk_id",
-        F.struct("document_title", "document_url", "page").alias("source"),
-        F.posexplode("_claims").alias("_at", "claim"),
+    told = unfold(
+        read.withColumn("source", F.struct("document_title", "document_url", "page")),
+        ["query_id", "document_id", "field", "pos", "chunk_id", "source"], "_claims", "_at", "claim",
     )
     value = F.struct("claim.amount", "claim.qualifier")
     first = F.struct("pos", "chunk_id", "_at")

@@ -34,6 +34,16 @@ def first_rows(
     return ranked if rank else ranked.drop(name)
 
 
+def unfold(df: DataFrame, keep: Sequence[str], array: Column | str, at: str, value: str) -> DataFrame:
+    """One row per element of an array that is costly to work out, with its 0-based place.
+
+    The outer form is used because Spark tests the argument of the inner one
+    for emptiness first, which works it out again.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(at, value))
+    return rows.filter(F.col(at).isNotNull())
+
+
 def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaero.functions.text import fold, string_array, text_or_empty
-from quaero.operators.keyed import first_rows
+from quaero.operators.keyed import first_rows, unfold
 
 WORD = "[\\p{L}\\p{N}]+"
 # Weights of the section and of the content.
@@ -24,7 +24,7 @@ def word_positions(chunks: DataFrame, id_column: str = "chunk_id") -> DataFrame:
     split = chunks.select(
         F.col(id_column).alias("chunk_id"), section.alias("_section"), words_of("content").alias("_content")
     ).select("chunk_id", F.size("_section").alias("_n"), F.concat("_section", "_content").alias("_words"))
-    return split.select("chunk_id", "_n", F.posexplode("_words").alias("_at", "term")).select(
+    return unfold(split, ["chunk_id", "_n"], "_words", "_at", "term").select(
         "chunk_id", "term", (F.col("_at") + 1).alias("pos"),
         F.when(F.col("_at") < F.col("_n"), "A").otherwise("B").alias("weight"),
     )
@@ -55,9 +55,10 @@ def query_terms(queries: DataFrame, plain: bool = False) -> DataFrame:
     """
     text = fold("question")
     pattern = WORD if plain else '-?"[^"]*"|-?[^\\s"]+'
-    pieces = queries.select(
-        "query_id", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_all")
-    ).select("query_id", "_all", F.posexplode("_all").alias("_at", "_piece"))
+    pieces = unfold(
+        queries.select("query_id", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_all")),
+        ["query_id", "_all"], "_all", "_at", "_piece",
+    )
     is_or = F.col("_piece") == "or"
     alt = F.size(F.filter(F.slice("_all", 1, F.col("_at")), lambda p: p == "or"))
     if plain:
@@ -179,9 +180,8 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 18,
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words_of("question"))).alias("term"))
     vocabulary = asked.select("term").distinct()
-    lengths = chunks.select("chunk_id", words_of("content").alias("_words")).select(
-        "chunk_id", F.size("_words").alias("_len"), F.explode("_words").alias("term")
-    )
+    split = chunks.select("chunk_id", words_of("content").alias("_words")).withColumn("_len", F.size("_words"))
+    lengths = unfold(split, ["chunk_id", "_len"], "_words", "_at", "term")
     counted = (
         lengths.join(vocabulary, "term", "left_semi").repartition("chunk_id")
         .groupBy("chunk_id", "term", "_len").agg(F.count("*").alias("tf"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quaero.functions import text as T
 from quaero.functions import urls as U
-from quaero.operators.keyed import contains_join, first_rows
+from quaero.operators.keyed import contains_join, first_rows, unfold
 from quaero.values import patterns, words
 
 
@@ -55,9 +55,7 @@ def urls_in_assets(texts: DataFrame, keys: Sequence[str], base: str = "url", tex
         F.regexp_extract_all(body, F.lit((word if i != 2 else "") + p), F.lit(1))
         for i, p in enumerate(patterns.ASSET_URLS)
     ]
-    refs = texts.select(*keys, F.col(base).alias("_base"), F.concat(*found).alias("_refs")).select(
-        *keys, "_base", F.posexplode("_refs").alias("_at", "_ref")
-    )
+    refs = unfold(texts.withColumn("_base", F.col(base)), [*keys, "_base"], F.concat(*found), "_at", "_ref")
     trimmed = F.rtrim(F.rtrim(T.strip(F.col("_ref")), F.lit("\\")), F.lit(".,);]"))
     useful = refs.withColumn("_ref", trimmed).filter((F.col("_ref") != "") & U.is_useful_reference(F.col("_ref")))
     made = useful.withColumn("_full", U.resolve("_base", "_ref")).filter("_full is not null")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quaero.functions import text as T
 from quaero.operators import dense, fusion, lexical, lookup, questions
 from quaero.operators.fusion import Scorer, merge_hits
-from quaero.operators.keyed import first_rows
+from quaero.operators.keyed import first_rows, unfold
 from quaero.values import words
 
 DENSE_K = 18
@@ -130,12 +130,8 @@ def broaden(corpus: Corpus, asked: DataFrame, hits: DataFrame, today: datetime.d
     ``asked`` has (query_id, question, intent, institution, topic_terms).
     Vacancy listings and pages named after a topic take precedence.
     """
-    wordings = asked.select(
-        "query_id",
-        F.posexplode(questions.broadening_queries("question", F.col("intent"), F.col("institution"))).alias(
-            "query_no", "wording"
-        ),
-    )
+    others = questions.broadening_queries("question", F.col("intent"), F.col("institution"))
+    wordings = unfold(asked, ["query_id"], others, "query_no", "wording")
     more = run_wordings(corpus, wordings, max(4, top_k // 2), scorer, embed_fn)
     ordered = first_rows(
         more, ["query_id", "document_id"], [F.asc("query_no"), F.asc("pos"), F.asc("chunk_id")], 1
@@ -145,7 +141,7 @@ def broaden(corpus: Corpus, asked: DataFrame, hits: DataFrame, today: datetime.d
     vacancies = asked.filter("intent = 'concurs'").select("query_id", "question")
     listed = _for_each(vacancies, lookup.vacancy_hits(corpus.documents, corpus.chunks, today, 12)).select(*columns)
     pool = merge_hits([listed, pool], limit=top_k + 12)
-    terms = asked.select("query_id", F.posexplode("topic_terms").alias("term_pos", "term"))
+    terms = unfold(asked, ["query_id"], "topic_terms", "term_pos", "term")
     named = _per_question(lookup.topic_rescue(terms, corpus.documents, corpus.chunks, 8), asked).select(*columns)
     pool = merge_hits([named, pool], limit=top_k + 12)
     sectors = asked.filter((F.col("intent") == "concurs") & F.col("institution").isin(words.SECTORS)).select(
@@ -160,6 +156,6 @@ def broaden(corpus: Corpus, asked: DataFrame, hits: DataFrame, today: datetime.d
 def research(corpus: Corpus, asked: DataFrame, hits: DataFrame, top_k: int = 4, scorer: Scorer = T.overlap,
              embed_fn=None, limit: int = 4) -> DataFrame:
     """Hits of a question's ``queries`` that are new by document, page and opening."""
-    wordings = asked.select("query_id", F.posexplode(F.slice("queries", 1, limit)).alias("query_no", "wording"))
+    wordings = unfold(asked, ["query_id"], F.slice("queries", 1, limit), "query_no", "wording")
     found = _per_question(run_wordings(corpus, wordings, top_k, scorer, embed_fn), asked)
     return lookup.research_merge(hits, found)
