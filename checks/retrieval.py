@@ -129,7 +129,7 @@ def _(t):
 
 # All words of a query must stand in the chunk; shortest stretches by the last place of each word.
 COVER_SQL = f"""{PARTS_SQL},
-need AS (SELECT query_id, unnest(range(0, len(ws))) AS operand, unnest(ws) AS term FROM qwords),
+need AS (SELECT DISTINCT query_id, unnest(ws) AS term, unnest(ws) AS operand FROM qwords),
 hit AS (SELECT DISTINCT query_id, chunk_id, term FROM need JOIN dpos USING (term)),
 wanted AS (SELECT query_id, count(DISTINCT term) AS terms, count(*) AS operands FROM need GROUP BY query_id),
 full_hit AS (SELECT query_id, chunk_id FROM hit JOIN wanted USING (query_id) GROUP BY query_id, chunk_id, terms HAVING count(*) = terms),
@@ -138,7 +138,7 @@ lasts AS (SELECT o.query_id, o.chunk_id, o.pos AS e, x.operand, max(x.pos) AS la
   JOIN occ x ON x.query_id = o.query_id AND x.chunk_id = o.chunk_id AND x.pos <= o.pos GROUP BY ALL),
 ends AS (SELECT query_id, chunk_id, e, min(last) AS b FROM lasts JOIN wanted USING (query_id) GROUP BY query_id, chunk_id, e, operands HAVING count(*) = operands),
 cover AS (SELECT query_id, chunk_id, b, min(e) AS e FROM ends GROUP BY ALL),
-sized AS (SELECT c.query_id, c.chunk_id, b, e, count(*) AS inside FROM cover c JOIN occ x ON x.query_id = c.query_id AND x.chunk_id = c.chunk_id AND x.pos BETWEEN b AND e GROUP BY ALL)
+sized AS (SELECT c.query_id, c.chunk_id, b, e, count(DISTINCT x.pos) AS inside FROM cover c JOIN occ x ON x.query_id = c.query_id AND x.chunk_id = c.chunk_id AND x.pos BETWEEN b AND e GROUP BY ALL)
 SELECT query_id, chunk_id, round(sum(0.4 / (1 + greatest(0, (e - b) - (inside - 1)))), 6) AS score FROM sized GROUP BY ALL"""
 
 

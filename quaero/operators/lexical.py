@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quaero.functions.text import fold, string_array, text_or_empty
+from quaero.functions import text as T
+from quaero.functions.text import fold, string_array
 from quaero.operators.keyed import first_rows, unfold
 
 WORD = "[\\p{L}\\p{N}]+"
@@ -71,48 +73,65 @@ def query_terms(queries: DataFrame, plain: bool = False) -> DataFrame:
     return operands
 
 
+def _distinct_operands(terms: DataFrame) -> DataFrame:
+    """Operands of an alternative that ask for the same words count once."""
+    shaped = terms.groupBy("query_id", "alt", "operand", "negate").agg(
+        F.array_sort(F.collect_list(F.struct("part", "term"))).alias("_shape")
+    )
+    once = shaped.groupBy("query_id", "alt", "negate", "_shape").agg(F.min("operand").alias("operand"))
+    return once.select(
+        "query_id", "alt", "operand", "negate", F.size("_shape").alias("_parts"), F.explode("_shape").alias("_s")
+    ).select("query_id", "alt", "operand", "negate", "_parts", "_s.part", "_s.term")
+
+
 def lexical_matches(chunks: DataFrame, terms: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """``(query_id, alt, chunk_id, occurrences)`` of the chunks that satisfy an alternative.
 
     Candidates are found by counting distinct required terms; word positions
-    are only read back for chunks that have all of them. An alternative with
-    nothing but negations matches no chunk.
+    are only read back for chunks that have all of them. Occurrences are the
+    places where operands begin, in order, with the operands and running totals
+    of words and inverse weights. An alternative with nothing but negations
+    matches no chunk.
     """
+    terms = _distinct_operands(terms)
     index = index if index is not None else postings(chunks, terms)
     required = terms.filter(~F.col("negate")).select("query_id", "alt", "term").distinct()
     needed = required.groupBy("query_id", "alt").agg(F.count("*").alias("_needed"))
+    group = ["query_id", "alt", "chunk_id"]
     candidates = (
         index.select("chunk_id", "term").join(required, "term")
         .groupBy("chunk_id", "query_id", "alt").agg(F.count("*").alias("_have"))
         .join(needed, ["query_id", "alt"]).filter("_have = _needed")
-        .select("query_id", "alt", "chunk_id")
-    )
-    sizes = terms.groupBy("query_id", "alt", "operand").agg(
-        F.count("*").alias("_parts"), F.first("negate").alias("negate")
+        .select(*group)
     )
     starts = (
         candidates.join(terms, ["query_id", "alt"])
         .join(index.select("chunk_id", "term", "positions"), ["chunk_id", "term"])
-        .select("query_id", "alt", "chunk_id", "operand", "part", F.explode("positions").alias("_p"))
-        .groupBy("query_id", "alt", "chunk_id", "operand",
-                 (F.col("_p.pos") - F.col("part")).alias("start"))
-        .agg(F.count("*").alias("_found"), F.max("_p.weight").alias("weight"))
-        .join(sizes, ["query_id", "alt", "operand"]).filter("_found = _parts")
+        .select(*group, "operand", "negate", "_parts", "part", F.explode("positions").alias("_p"))
+        .groupBy(*group, "operand", "negate", "_parts", (F.col("_p.pos") - F.col("part")).alias("pos"))
+        .agg(F.count("*").alias("_found"), F.min("_p.weight").alias("_weight"))
+        .filter("_found = _parts")
+    )
+    barred = starts.filter("negate").select(*group).distinct()
+    inverse = F.when(F.min("_weight") == "A", 1.0 / WEIGHTS["A"]).otherwise(1.0 / WEIGHTS["B"])
+    places = starts.filter(~F.col("negate")).groupBy(*group, "pos").agg(
+        F.collect_set("operand").alias("ops"), F.max("_parts").alias("words"), inverse.alias("inverse")
     )
-    wanted = sizes.filter(~F.col("negate")).groupBy("query_id", "alt").agg(F.count("*").alias("_wanted"))
-    per_operand = starts.groupBy("query_id", "alt", "chunk_id", "operand", "negate").agg(
-        F.collect_list(F.struct(F.col("start").alias("pos"), "operand", "_parts", "weight")).alias("_list")
+    upto = Window.partitionBy(*group).orderBy("pos")
+    numbered = places.select(
+        *group,
+        F.struct(
+            F.row_number().over(upto).alias("at"), "pos", "ops", "words", "inverse",
+            F.sum("words").over(upto).alias("words_upto"), F.sum("inverse").over(upto).alias("inverse_upto"),
+        ).alias("_o"),
     )
+    wanted = terms.filter(~F.col("negate")).groupBy("query_id", "alt").agg(F.count_distinct("operand").alias("_wanted"))
     return (
-        per_operand.groupBy("query_id", "alt", "chunk_id")
-        .agg(
-            F.count(F.when(~F.col("negate"), 1)).alias("_have"),
-            F.count(F.when(F.col("negate"), 1)).alias("_barred"),
-            F.array_sort(F.flatten(F.collect_list("_list"))).alias("occurrences"),
-        )
+        numbered.groupBy(*group).agg(F.array_sort(F.collect_list("_o")).alias("occurrences"))
         .join(wanted, ["query_id", "alt"])
-        .filter("_have = _wanted and _barred = 0")
-        .select("query_id", "alt", "chunk_id", "occurrences")
+        .filter(F.size(F.array_distinct(F.flatten(F.transform("occurrences", lambda o: o["ops"])))) == F.col("_wanted"))
+        .join(barred, group, "left_anti")
+        .select(*group, "occurrences")
     )
 
 
@@ -120,40 +139,40 @@ def cover_density(occurrences: Column) -> Column:
     """Sum over the shortest stretches that hold every operand.
 
     A stretch counts with the harmonic mean of its words' weights, divided by
-    one plus the number of other words inside it.
+    one plus the number of other words inside it. One pass: the last place of
+    each operand is kept, and what lies between two places follows from the
+    running totals.
     """
-    occurrence_end = lambda o: o["pos"] + o["_parts"] - 1
-    operands = F.array_distinct(F.transform(occurrences, lambda o: o["operand"]))
-    unset = F.lit(-1)
-
-    def weight_of(o: Column) -> Column:
-        return F.when(o["weight"] == "A", WEIGHTS["A"]).otherwise(WEIGHTS["B"])
-
-    def step(acc: Column, o: Column) -> Column:
-        last = F.zip_with(
-            operands, acc["last"],
-            lambda name, seen: F.when(name == o["operand"], o["pos"].cast("int")).otherwise(seen),
-        )
-        begin = F.array_min(last)
-        end = occurrence_end(o).cast("int")
-        inside = F.filter(occurrences, lambda x: (x["pos"] >= begin) & (occurrence_end(x) <= end))
-        size = F.aggregate(inside, F.lit(0).cast("bigint"), lambda n, x: n + x["_parts"])
-        inverse = F.aggregate(inside, F.lit(0.0), lambda n, x: n + 1.0 / weight_of(x))
-        noise = F.greatest(F.lit(0), (end - begin) - (size - 1))
-        fresh = (begin >= 0) & (begin > acc["begin"])
-        return F.struct(
-            last.alias("last"),
-            F.when(fresh, begin).otherwise(acc["begin"]).cast("int").alias("begin"),
-            F.when(fresh, acc["score"] + (F.size(inside) / inverse) / (1.0 + noise))
-            .otherwise(acc["score"]).alias("score"),
+    operands = F.array_distinct(F.flatten(F.transform(occurrences, lambda o: o["ops"])))
+
+    def covers(names: Column) -> Column:
+        def step(acc: Column, o: Column) -> Column:
+            last = F.zip_with(
+                names, acc["last"],
+                lambda name, seen: F.when(F.array_contains(o["ops"], name), o["at"]).otherwise(seen),
+            )
+            return T.let(last, lambda seen: closed(acc, o, seen))
+
+        def closed(acc: Column, o: Column, last: Column) -> Column:
+            first = F.array_min(last)
+            fresh = (first > 0) & (first > acc["first"])
+            opening = F.get(occurrences, first - 1)
+            inside = o["at"] - first + 1
+            inverse = o["inverse_upto"] - opening["inverse_upto"] + opening["inverse"]
+            words = o["words_upto"] - opening["words_upto"] + opening["words"]
+            noise = F.greatest(F.lit(0), (o["pos"] + o["words"] - 1 - opening["pos"]) - (words - 1))
+            return F.struct(
+                last.alias("last"),
+                F.when(fresh, first).otherwise(acc["first"]).alias("first"),
+                F.when(fresh, acc["score"] + (inside / inverse) / (1.0 + noise)).otherwise(acc["score"]).alias("score"),
+            )
+
+        start = F.struct(
+            F.transform(names, lambda _: F.lit(0)).alias("last"), F.lit(0).alias("first"), F.lit(0.0).alias("score")
         )
+        return F.aggregate(occurrences, start, step, lambda acc: acc["score"])
 
-    start = F.struct(
-        F.transform(operands, lambda _: unset).alias("last"),
-        unset.alias("begin"),
-        F.lit(0.0).alias("score"),
-    )
-    return F.aggregate(occurrences, start, step, lambda acc: acc["score"])
+    return T.let(operands, covers)
 
 
 def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = 18, plain: bool = False,
