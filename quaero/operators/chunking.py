@@ -15,6 +15,8 @@ from quaero.operators.keyed import unfold
 
 CHUNK_TOKENS = 650
 OVERLAP_TOKENS = 100
+# Room for numbering the chunks of a document inside its id.
+CHUNKS_PER_DOCUMENT = 1_000_000
 SENTENCE_END = r"(?U)(?<=[\.\!\?…])\s+"
 
 
@@ -113,7 +115,7 @@ def chunk_table(documents: DataFrame, size: int = CHUNK_TOKENS, overlap: int = O
     """
     chunks = chunk_documents(documents, size, overlap)
     return chunks.select(
-        (F.col("document_id") * 100_000 + F.col("chunk_no")).alias("chunk_id"), "document_id", "content",
+        (F.col("document_id") * CHUNKS_PER_DOCUMENT + F.col("chunk_no")).alias("chunk_id"), "document_id", "content",
         F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("section"), "token_count",
     )
 

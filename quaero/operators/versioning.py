@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quaero.functions import text as T
 from quaero.operators.cleaning import scrub
@@ -75,10 +76,28 @@ def upsert(current: DataFrame, arrivals: DataFrame) -> DataFrame:
     return joined.select(*[after(c) for c in columns])
 
 
-def with_ids(documents: DataFrame, id_column: str = "document_id") -> DataFrame:
-    """New documents get an id from their address, so a repeated run gives the same one."""
-    own = F.xxhash64("url").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
-    return documents.withColumn(id_column, F.coalesce(F.col(id_column), own))
+ID_BUCKETS = 4096
+
+
+def with_ids(documents: DataFrame, first_id: int, id_column: str = "document_id") -> DataFrame:
+    """New documents are numbered from ``first_id``, by bucket and address.
+
+    Each bucket numbers its own rows; what comes before it is added from one
+    count per bucket. The same arrivals always get the same numbers.
+    """
+    order = [F.col("url")]
+    bucket = F.pmod(F.xxhash64("url"), F.lit(ID_BUCKETS))
+    new = documents.filter(F.col(id_column).isNull()).withColumn("_bucket", bucket)
+    sizes = new.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    )
+    local = new.withColumn("_local", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    numbered = local.join(offsets, F.col("_bucket") == F.col("_b")).withColumn(
+        id_column, F.lit(first_id) + F.col("_offset") + F.col("_local") - 1
+    )
+    return documents.filter(F.col(id_column).isNotNull()).unionByName(numbered.select(*documents.columns))
 
 
 def dead_urls(fetched: DataFrame, soft_404: Column) -> DataFrame:
@@ -89,14 +108,15 @@ def dead_urls(fetched: DataFrame, soft_404: Column) -> DataFrame:
 def delete(documents: DataFrame, dead: DataFrame, *dependants: DataFrame) -> tuple[DataFrame, ...]:
     """Documents without the dead addresses, and each dependent table without their rows."""
     gone = documents.join(dead.select("url").distinct(), "url", "left_semi").select("document_id")
-    alive = documents.join(dead.select("url").distinct(), "url", "left_anti")
-    return alive, *[d.join(gone, "document_id", "left_anti") for d in dependants]
+    alive = documents.join(dead.select("url").distinct(), "url", "left_anti").select(*documents.columns)
+    return alive, *[d.join(gone, "document_id", "left_anti").select(*d.columns) for d in dependants]
 
 
 def replace_chunks(chunks: DataFrame, status: DataFrame, new_chunks: DataFrame) -> DataFrame:
     """Chunks of updated documents give way to the new ones; all others stay untouched."""
     changed = status.filter("status = 'updated'").select("document_id")
-    return chunks.join(changed, "document_id", "left_anti").unionByName(new_chunks, allowMissingColumns=True)
+    kept = chunks.join(changed, "document_id", "left_anti").select(*chunks.columns)
+    return kept.unionByName(new_chunks, allowMissingColumns=True)
 
 
 def duplicate_groups(documents: DataFrame) -> DataFrame:

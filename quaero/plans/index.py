@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quaero.functions import urls as U
 from quaero.operators import chunking, cleaning, html, versioning
+from quaero.session import cut_lineage
 
 
 @dataclass
@@ -47,22 +48,28 @@ def extract(fetched: DataFrame) -> DataFrame:
 
 
 def update(fetched: DataFrame, documents: DataFrame, chunks: DataFrame,
-           detected_at: datetime.datetime) -> IndexUpdate:
-    """One pass: dead pages leave, changed ones are replaced, new ones added."""
-    extracted = extract(fetched)
+           detected_at: datetime.datetime, first_id: int | None = None) -> IndexUpdate:
+    """One pass: dead pages leave, changed ones are replaced, new ones added.
+
+    New documents are numbered from ``first_id``, by default after the highest known.
+    """
+    if first_id is None:
+        first_id = (documents.agg(F.max("document_id")).first()[0] or 0) + 1
+    # Pages are parsed once; everything below reads what came out.
+    extracted = cut_lineage(extract(fetched).drop("links", "assets"))
     errors = fetched.filter("status >= 400").select(U.normalize_url("url").alias("url"))
     dead = errors.unionByName(extracted.filter("soft_404").select("url")).distinct()
     alive, kept_chunks = versioning.delete(documents, dead, chunks)
-    arrivals = versioning.prepare(
+    arrivals = cut_lineage(versioning.prepare(
         extracted.filter(~F.col("soft_404")).select(
             "url", "title", "content", F.lit("text/html").alias("mime_type"), F.col("page_id").alias("seq")
         )
-    )
-    status = versioning.upsert_status(alive, arrivals)
-    after = versioning.with_ids(versioning.upsert(alive, arrivals))
-    touched = after.join(
+    ))
+    status = cut_lineage(versioning.upsert_status(alive, arrivals))
+    after = versioning.with_ids(versioning.upsert(alive, arrivals), first_id)
+    touched = cut_lineage(after.join(
         status.filter(F.col("status").isin("new", "updated")).select("url"), "url", "left_semi"
-    )
+    ).select(*after.columns))
     fresh = chunking.chunk_table(touched)
     return IndexUpdate(
         documents=after,

@@ -12,6 +12,7 @@ from quaero.functions import text as T
 from quaero.operators import dense, fusion, lexical, lookup, questions
 from quaero.operators.fusion import Scorer, merge_hits
 from quaero.operators.keyed import first_rows, unfold
+from quaero.session import cut_lineage
 from quaero.values import words
 
 DENSE_K = 18
@@ -93,9 +94,9 @@ def search_with_rescue(corpus: Corpus, asked: DataFrame, today: datetime.date, t
         "query_id", F.col("search_query").alias("question"),
         F.when(wide, top_k + 6).otherwise(top_k).alias("k"),
     )
-    hits = _per_question(
+    hits = cut_lineage(_per_question(
         hybrid_search(corpus, embed_queries(queries, embed_fn), scorer=scorer, max_k=top_k + 6, k=top_k + 6), asked
-    )
+    ))
     vacancies = asked.filter("intent = 'concurs'").select("query_id", "question", "institution")
     sectors = vacancies.filter(F.col("institution").isin(words.SECTORS)).select(
         "query_id", F.lit(0).alias("term_pos"), F.col("institution").alias("term")
@@ -117,7 +118,7 @@ def run_wordings(corpus: Corpus, wordings: DataFrame, k: int, scorer: Scorer = T
 
     numbered = wordings.withColumn("_key", F.xxhash64("query_id", "query_no"))
     queries = numbered.select(F.col("_key").alias("query_id"), F.col("wording").alias("question"))
-    found = hybrid_search(corpus, embed_queries(queries, embed_fn), k, scorer)
+    found = cut_lineage(hybrid_search(corpus, embed_queries(queries, embed_fn), k, scorer))
     return found.withColumnRenamed("query_id", "_key").drop("question").join(
         numbered.select("_key", "query_id", "query_no"), "_key"
     ).drop("_key")

@@ -62,7 +62,9 @@ def ingest_stream(spark: SparkSession, landing: str, path: str, checkpoint: str)
         documents = current_documents(spark, path, batch_id, named).drop("batch")
         none = spark.createDataFrame([], index.CHUNK_SCHEMA)
         now = datetime.datetime.now(datetime.timezone.utc)
-        done = index.update(batch, documents, none, now)
+        log = _log(spark, path, "documents", LOG_SCHEMA).filter(F.col("batch") < batch_id)
+        highest = log.agg(F.max("document_id")).first()[0] or 0
+        done = index.update(batch, documents, none, now, highest + 1)
         gone = documents.join(done.dead, "url", "left_semi").withColumn("deleted", F.lit(True))
         kept = done.touched.withColumn("deleted", F.lit(False))
         kept.unionByName(gone).write.mode("overwrite").parquet(f"{path}/documents/batch={batch_id}")
