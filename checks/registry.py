@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaero.sources.tables import read_table
+
+# Tables of texts and what tells their rows apart.
+TEXTS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -17,7 +22,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return fn(lambda table: read_table(spark, sf_dir, table, TEXTS.get(table, ())))
 
         QUERIES[name] = run
         if sql:

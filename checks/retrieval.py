@@ -437,8 +437,10 @@ def _(t):
 def _(t):
     from quaero.plans.answer import analyze
 
+    """Permits and vacancies by turns, about the benchmark texts."""
     corpus = search.Corpus(documents(t), chunks(t).drop("embedding").transform(embedded))
-    state = analyze(asked(t), TODAY).filter("scope.relevant")
+    about = F.when(F.col("query_id") % 2 == 0, " autorizație la primărie").otherwise(" concurs în sectorul Ciocana")
+    state = analyze(asked(t).withColumn("question", F.concat("question", about)), TODAY).filter("scope.relevant")
     return search.search_with_rescue(corpus, state, TODAY).select("query_id", "pos", "document_id")
 
 

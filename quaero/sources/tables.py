@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,18 @@ from quaero.functions import text as T
 from quaero.functions.vectors import parse_vector
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, spread_by: Sequence[str] = ()) -> DataFrame:
+    """A stored table.
+
+    A file with a single row group is read by a single task. Where costly text
+    expressions follow, ``spread_by`` lays its rows out over all cores first; a
+    table that already comes in as many pieces is left as it is.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if not spread_by or table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, *spread_by)
 
 
 def fetched_pages(pages: DataFrame, status: Column | int = 200, content_type: Column | str = "text/html") -> DataFrame:
