@@ -11,6 +11,7 @@ from checks.text import WORDS, overlap_sql, tokens_sql
 from quaero.operators import dense, fusion, lexical, lookup
 from quaero.operators.vector_aggregates import avg_vectors
 from quaero.plans import search
+from quaero.session import cut_lineage
 from quaero.sources.tables import search_log_rows
 
 TODAY = datetime.date(2026, 9, 27)
@@ -75,7 +76,7 @@ def _(t):
 @query("dense_hits_with_documents", f"""
 WITH {CENTROIDS_SQL}, {CORPUS_SQL} SELECT query_id, rank::BIGINT AS rank, document_id, title AS document_title, url AS document_url FROM near JOIN docs ON document_id = chunk_id""")
 def _(t):
-    found = dense.dense_topk(centroids(t), chunks(t).filter("embedding is not null"))
+    found = dense.dense_topk(centroids(t), vectors(t))
     told = dense.with_documents(found, chunks(t), documents(t))
     return told.select("query_id", F.col("rank").cast("long"), "document_id", "document_title", "document_url")
 
@@ -438,7 +439,7 @@ def _(t):
     from quaero.plans.answer import analyze
 
     """Permits and vacancies by turns, about the benchmark texts."""
-    corpus = search.Corpus(documents(t), chunks(t).drop("embedding").transform(embedded))
+    corpus = search.Corpus(documents(t), cut_lineage(embedded(chunks(t).drop("embedding"))))
     about = F.when(F.col("query_id") % 2 == 0, " autorizație la primărie").otherwise(" concurs în sectorul Ciocana")
     state = analyze(asked(t).withColumn("question", F.concat("question", about)), TODAY).filter("scope.relevant")
     return search.search_with_rescue(corpus, state, TODAY).select("query_id", "pos", "document_id")

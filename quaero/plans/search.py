@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quaero.functions import text as T
 from quaero.operators import dense, fusion, lexical, lookup, questions
+from quaero.operators.chunking import embed_queries
 from quaero.operators.fusion import Scorer, merge_hits
 from quaero.operators.keyed import first_rows, unfold
 from quaero.session import cut_lineage
@@ -71,6 +72,11 @@ def _per_question(hits: DataFrame, asked: DataFrame) -> DataFrame:
     return hits.drop("question").join(asked.select("query_id", "question"), "query_id")
 
 
+def _embedded(queries: DataFrame, embed_fn) -> DataFrame:
+    """Queries with their vectors, worked out once however often the search reads them."""
+    return cut_lineage(embed_queries(cut_lineage(queries), embed_fn))
+
+
 def _for_each(asked: DataFrame, shared: DataFrame) -> DataFrame:
     """The shared list of at most a dozen hits, under every question."""
     row = F.struct(*[F.col(c) for c in shared.columns])
@@ -87,15 +93,13 @@ def search_with_rescue(corpus: Corpus, asked: DataFrame, today: datetime.date, t
 
     ``asked`` has (query_id, question, search_query, intent, answer_mode, institution).
     """
-    from quaero.operators.chunking import embed_queries
-
     wide = (F.col("intent") == "concurs") | (F.col("answer_mode") == "list")
     queries = asked.select(
         "query_id", F.col("search_query").alias("question"),
         F.when(wide, top_k + 6).otherwise(top_k).alias("k"),
     )
     hits = cut_lineage(_per_question(
-        hybrid_search(corpus, embed_queries(queries, embed_fn), scorer=scorer, max_k=top_k + 6, k=top_k + 6), asked
+        hybrid_search(corpus, _embedded(queries, embed_fn), scorer=scorer, max_k=top_k + 6, k=top_k + 6), asked
     ))
     vacancies = asked.filter("intent = 'concurs'").select("query_id", "question", "institution")
     sectors = vacancies.filter(F.col("institution").isin(words.SECTORS)).select(
@@ -114,11 +118,9 @@ def search_with_rescue(corpus: Corpus, asked: DataFrame, today: datetime.date, t
 
 def run_wordings(corpus: Corpus, wordings: DataFrame, k: int, scorer: Scorer = T.overlap, embed_fn=None) -> DataFrame:
     """Hits of every (query_id, query_no, wording), searched as one batch."""
-    from quaero.operators.chunking import embed_queries
-
     numbered = wordings.withColumn("_key", F.xxhash64("query_id", "query_no"))
     queries = numbered.select(F.col("_key").alias("query_id"), F.col("wording").alias("question"))
-    found = cut_lineage(hybrid_search(corpus, embed_queries(queries, embed_fn), k, scorer))
+    found = cut_lineage(hybrid_search(corpus, _embedded(queries, embed_fn), k, scorer))
     return found.withColumnRenamed("query_id", "_key").drop("question").join(
         numbered.select("_key", "query_id", "query_no"), "_key"
     ).drop("_key")
