@@ -37,6 +37,10 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared one; whoever owns ``spark.checkpoint.dir`` clears it."""
     return f"{shared_folder(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaero.llm import decontamination, licenses, pii, sharding, sql
-from quaero.llm.common import read_documents
+from quaero.llm import decontamination, jaccard, licenses, packing, pii, quality, sharding, sql, token_counts, token_files, toxicity
+from quaero.llm.common import read_documents, read_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +41,33 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pii", sql.PII)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_documents(spark, sf_dir))
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_documents(spark, sf_dir))
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_documents(spark, sf_dir))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read_documents(spark, sf_dir))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
+
+
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_documents(spark, sf_dir)).drop("print")
