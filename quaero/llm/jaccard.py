@@ -87,7 +87,7 @@ class _Seen(set):
 
 
 def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, print, prefix, common of each document: the size of its set, the set's fingerprint, and its first members
+    """doc_id, digest, n, print, prefix, common of each document: the md5 of its text, the size of its set, the set's fingerprint, and its first members
     by hash (null where the task has given them before). ``common`` of the first document of a block lists what many sets of
     that block share."""
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -117,12 +117,12 @@ def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if fresh:
                 commons[-1] = common(fresh)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(prints, pa.binary()), _lists(prefixes), _lists(commons)],
-                ["doc_id", "n", "print", "prefix", "common"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()), pa.array(prints, pa.binary()), _lists(prefixes), _lists(commons)],
+                ["doc_id", "digest", "n", "print", "prefix", "common"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        build, f"doc_id {key}, n int, print binary, prefix array<bigint>, common array<bigint>"
+    return docs.select("doc_id", "text", text_digest().alias("digest")).mapInArrow(
+        build, f"doc_id {key}, digest string, n int, print binary, prefix array<bigint>, common array<bigint>"
     )
 
 
@@ -317,25 +317,54 @@ def links(docs: DataFrame, table: DataFrame, size: int, percent: int) -> tuple[D
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, print of each row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, digest, stays of each row of ``docs`` (doc_id, text).
 
     Two rows are linked if 100 x the size of the intersection of their sets is at least ``percent`` x that of the union;
-    component_id is the smallest doc_id that links reach. A null or empty text has an empty set and is linked with nothing;
-    rows without number take part in links but name no component unless all of it is without; repeated rows are alike and give
-    a row each; an empty table gives none. Other columns are not read.
+    component_id is the smallest doc_id that links reach. ``digest`` is the md5 of the text, and ``stays`` marks one document
+    of each group: the one with the smallest number, then digest. A null or empty text has an empty set and is linked with
+    nothing; rows without number take part in links but name no component unless all of it is without; repeated rows are alike
+    and give a row each; an empty table gives none. Other columns are not read.
     """
     table = stored(shingle_table(docs, size, percent), "shingles")
     classes, found = links(docs, table, size, percent)
     roots = components(found)
-    members = table.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("first"))
+    me = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "digest")
+    members = table.filter("n > 0").groupBy("print").agg(F.min(me).alias("first"))
     rooted = (
         members.join(classes.select("print", "class_id"), "print")
         .join(roots, F.col("class_id") == F.col("node"), "left")
         .select("print", "first", F.coalesce("root", "class_id").alias("root"))
     )
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("print", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("keeper"))
+    named = rooted.join(smallest, "root").select("print", "keeper")
     return table.join(named, "print", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "print",
+        F.when(F.col("n") > 0, F.col("keeper.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "digest", F.coalesce(F.col("keeper") == me, F.lit(True)).alias("stays"),
     )
+
+
+def text_digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without those alike in number and text to a row of ``rows`` (doc_id, digest)."""
+    gone = rows.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == F.col("gone_digest"))
+    return docs.join(small(stored(gone, "gone")), same, "left_anti")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when one document of each group is kept; of rows alike in
+    number and text one stays, and rows without words all stay unless they are such repeats."""
+    found = stored(near_duplicates(docs, size, percent), "near")
+    kept = without_rows(docs, found.filter(~F.col("stays")))
+    twice = found.filter("stays").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = stored(twice.select("doc_id", "digest"), "repeats")
+    if twice.isEmpty():
+        return kept
+    once = without_rows(kept, twice)
+    repeated = kept.select(F.struct(*[kept[c] for c in kept.columns]).alias("row"), F.struct("doc_id", text_digest().alias("digest")).alias("same"))
+    marks = small(twice.select(F.struct("doc_id", "digest").alias("same")))
+    return once.unionByName(repeated.join(marks, "same", "left_semi").dropDuplicates(["same"]).select("row.*"))

@@ -76,16 +76,17 @@ def _matches(text: Column, number: int, kind: Kind) -> Column:
     """kind_no, i, gap (characters since the last match), match, before, after: all matches of one pattern."""
     gaps = F.split(text, kind.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    pieces = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("gap"), F.slice(gaps, 2, F.size(found)).alias("next"))
     each = F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.lit(number).alias("kind_no"), i.alias("i"), F.length(F.get(gaps, i)).cast("long").alias("gap"), m.alias("match"),
-            F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after"),
+        pieces,
+        lambda p, i: F.struct(
+            F.lit(number).alias("kind_no"), i.alias("i"), F.length(p["gap"]).cast("long").alias("gap"), p["m"].alias("match"),
+            F.right(p["gap"], F.lit(CONTEXT)).alias("before"), F.left(p["next"], F.lit(CONTEXT)).alias("after"),
         ),
     )
     none = F.array().cast("array<struct<kind_no:int,i:int,gap:bigint,match:string,before:string,after:string>>")
     present = F.contains(text, F.lit(kind.needs)) if kind.needs else F.lit(True)
-    return F.when(present & text.rlike("[0-9@]"), each).otherwise(none)
+    return F.when(present & text.rlike("[0-9@]") & text.rlike(kind.pattern), each).otherwise(none)
 
 
 def spans(docs: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
@@ -142,28 +143,30 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(text: Column, kinds: list[Kind] = KINDS) -> Column:
-    """``text`` with each confirmed span replaced by its kind in brackets; null stays null.
+def redact(docs: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
+    """``docs`` with each confirmed span of ``text`` replaced by its kind in brackets; null stays null, other columns stay.
 
-    Kinds are replaced one after the other, cards and phones before addresses, each in what the others left.
+    Kinds are replaced one after the other, each in what the others left: mail addresses, cards, phones, then the rest.
     """
     order = ["email", "card", "phone", "ip", "iban", "ssn"]
     for kind in sorted(kinds, key=lambda k: order.index(k.name)):
-        text = _redacted(text, kind)
-    return text
+        docs = docs.withColumn("text", _redacted(F.col("text"), kind))
+    return docs
 
 
 def _redacted(text: Column, kind: Kind) -> Column:
     def mask(match, before, after):
-        named = F.lower(F.concat_ws(" ", F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT)))).rlike(kind.words)
         sure = _passes(F.lit(kind.name), match)
         if not kind.base and kind.name != "iban":
-            sure &= named
+            beside = F.concat_ws(" ", F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT)))
+            sure &= F.lower(beside).rlike(kind.words)
         return F.when(sure, F.lit(f"[{kind.name.upper()}]")).otherwise(match)
 
     gaps = F.split(text, kind.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    masked = F.transform(found, lambda m, i: F.concat(F.get(gaps, i), mask(m, F.get(gaps, i), F.get(gaps, i + 1))))
-    rebuilt = F.concat(F.array_join(masked, ""), F.element_at(gaps, -1))
-    present = text.rlike(kind.pattern)
-    return F.when(present, rebuilt).otherwise(text)
+    pieces = F.arrays_zip(found.alias("m"), gaps.alias("gap"), F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))).alias("next"))
+    masked = F.transform(
+        pieces, lambda p: F.concat(p["gap"], F.when(p["m"].isNotNull(), mask(p["m"], p["gap"], p["next"])).otherwise(""))
+    )
+    needs = F.contains(text, F.lit(kind.needs)) if kind.needs else F.lit(True)
+    return F.when(needs & text.rlike("[0-9@]") & text.rlike(kind.pattern), F.array_join(masked, "")).otherwise(text)

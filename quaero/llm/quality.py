@@ -10,12 +10,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import small, stored
+from quaero.llm.common import small
 from quaero.llm.encoding import BLOCK, KINDS, SPACE, blocks, hashes
 from quaero.llm.token_counts import texts_of
 
@@ -100,26 +101,43 @@ def _statistics(texts: list[bytes], chars: list[int], words: np.ndarray, sizes:
     return [sizes, word_chars, symbols, dups, repeats, lines, upper, marks, digits, distinct]
 
 
+def _measured(texts: list[bytes], chars: list[int]) -> list[np.ndarray]:
+    """The counts of BASE and MORE of the texts, column by column."""
+    parts, at = [], 0
+    for n, words, sizes in grouped_word_hashes(texts):
+        parts.append(_statistics(texts[at : at + n], chars[at : at + n], words, sizes))
+        at += n
+    if not parts:
+        return [np.zeros(0, dtype=np.int64) for _ in BASE + MORE]
+    return [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)]
+
+
 def statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and the counts of BASE and MORE for each row; a null text counts as empty. Words are what ASCII white space
     parts; lines without a word do not count."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch)
             chars = [n or 0 for n in pc.utf8_length(batch.column("text")).to_pylist()]
-            parts, at = [], 0
-            for n, words, sizes in grouped_word_hashes(texts):
-                parts.append(_statistics(texts[at : at + n], chars[at : at + n], words, sizes))
-                at += n
-            columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)] if parts else []
-            if columns:
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *columns], [*keys, *BASE, *MORE])
+            columns = [pa.array(c) for c in _measured(texts_of(batch), chars)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *columns], [*keys, *BASE, *MORE])
 
     kinds = [f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} bigint" for c in BASE + MORE]
     return docs.select(*keys, "text").mapInArrow(measure, ", ".join(kinds))
 
 
+def with_statistics(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the counts as a structure ``name``; the other columns do not pass through Python."""
+
+    @F.pandas_udf(", ".join(f"{c} bigint" for c in BASE + MORE))
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        plain = [t or "" for t in texts]
+        counts = _measured([t.encode() for t in plain], [len(t) for t in plain])
+        return pd.DataFrame(dict(zip(BASE + MORE, counts, strict=True)))
+
+    return docs.withColumn(name, measure("text"))
+
+
 def features() -> dict[str, Column]:
     """The numbers that rules test, from the counts."""
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
@@ -217,28 +235,24 @@ def learn_rules(
     return rules
 
 
-def labelled(stats: DataFrame, labels: DataFrame, sample: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Features, bad or not, and weights of at most ``sample`` labelled rows of each class that pass the base rules.
 
     A document with several labels counts as bad if one says so; rows without number or label are left out.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen, totals = [], {r.quality: r.n for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for quality in totals:
-        chosen.append(marks.filter(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    x = {name: [] for name in features()}
-    bad, weight = [], []
-    if chosen:
-        picked = chosen[0]
-        for more in chosen[1:]:
-            picked = picked.unionByName(more)
-        rows = stats.join(small(picked, 2 * sample), "doc_id").filter(~base_failed())
-        for r in rows.select("doc_id", "quality", *[c.alias(n) for n, c in features().items()]).orderBy(F.xxhash64("doc_id")).collect():
-            for name in x:
-                x[name].append(r[name])
-            bad.append(r.quality == 0)
-            weight.append(totals[r.quality] / min(totals[r.quality], sample))
-    return {k: np.array(v, dtype=float) for k, v in x.items()}, np.array(bad, dtype=bool), np.array(weight, dtype=float)
+    totals = {r.quality: r.n for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    picked = marks.limit(0)
+    for quality in sorted(totals):
+        some = marks.filter(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        picked = picked.unionByName(some)
+    texts = docs.select("doc_id", "text").join(small(picked, sample * len(totals)), "doc_id")
+    rows = statistics(texts, ["doc_id", "quality"]).filter(~base_failed())
+    names = [c.alias(n) for n, c in features().items()]
+    found = rows.select("doc_id", "quality", *names).orderBy(F.xxhash64("doc_id"), "doc_id", *features()).toPandas()
+    weight = found["quality"].map({q: n / min(n, sample) for q, n in totals.items()})
+    x = {name: found[name].to_numpy(dtype=float) for name in features()}
+    return x, (found["quality"] == 0).to_numpy(dtype=bool), weight.to_numpy(dtype=float)
 
 
 def base_failed() -> Column:
@@ -258,27 +272,26 @@ def verdict(rules: list[Rule]) -> Column:
     return chain
 
 
-def assess(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys``, the base counts, base_failed, kept and rule (the number of the rejecting rule) of each row.
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
+    return learn_rules(*labelled(docs, labels, sample))
+
+
+def assess(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and rule (the number of the rejecting rule) of each row.
 
     docs: doc_id, text; labels: doc_id, quality (1 good, 0 bad). Null and empty texts have no words and fail; repeated rows
     are judged each for itself; without labels only the base rules reject; an empty table gives no rows. Other columns are
     not read.
     """
-    stats = stored(statistics(docs, list(keys)), "statistics")
-    rules = learn_rules(*labelled(stats, labels, sample))
-    judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", F.when(~F.col("base_failed"), verdict(rules)))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).select(*keys, *BASE, "base_failed", "kept", "rule")
+    rules = learned(docs, labels, sample)
+    judged = statistics(docs, ["doc_id"]).withColumn("base_failed", base_failed())
+    judged = judged.withColumn("rule", F.when(~F.col("base_failed"), verdict(rules)))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).select("doc_id", *BASE, "base_failed", "kept", "rule")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that neither the base rules nor the learned ones reject.
-
-    Rows are judged by number and text, so repeated rows stay or go together.
-    """
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    keyed = docs.select("doc_id", "text", digest.alias("digest"))
-    rejected = assess(keyed, labels, sample, ("doc_id", "digest")).filter(~F.col("kept"))
-    gone = rejected.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
-    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (digest == F.col("gone_digest"))
-    return docs.join(gone, same, "left_anti")
+    """The rows of ``docs``, with all their columns, that neither the base rules nor the learned ones reject."""
+    rules = learned(docs, labels, sample)
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"])
+    counted = with_statistics(held, "counts").select("row", "counts.*")
+    return counted.filter(~base_failed() & verdict(rules).isNull()).select("row.*")

@@ -70,4 +70,4 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_jaccard_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(read_documents(spark, sf_dir)).drop("print")
+    return jaccard.near_duplicates(read_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
