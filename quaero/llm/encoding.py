@@ -71,16 +71,23 @@ def part(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+def _powers(factor: int, n: int) -> np.ndarray:
+    powers = np.full(n, factor, dtype=np.uint64)
+    powers[:1] = 1
+    return np.multiply.accumulate(powers)
+
+
+@functools.lru_cache(maxsize=2)
+def _powers_of(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_FACTOR, 1 << bits), _powers(_INVERSE, 1 << bits)
+
+
 def hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word."""
-    powers = np.full(len(text) + 1, _FACTOR, dtype=np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    sums = np.zeros(len(text) + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[text] * powers[:-1], out=sums[1:])
-    back = np.full(len(text) + 1, _INVERSE, dtype=np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
+    n = len(text) + 1
+    powers, back = _powers_of(n.bit_length())
+    sums = np.zeros(n, dtype=np.uint64)
+    np.cumsum(_VALUES[text] * powers[: n - 1], out=sums[1:])
     return (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)
 
 

@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaero.llm.arrow import slices, texts_of
 from quaero.llm.common import small, stored
 from quaero.llm.quality import grouped_word_hashes
-from quaero.llm.token_counts import texts_of
 
 SHINGLE, PERCENT = 4, 85
-# A shingle in more prefixes than this comes last in the order; at most so many are put last, and in so many rounds. The order
-# bears on the work alone, not on the result.
+# A shingle in more sets or prefixes than this comes last in the order; at most so many are put last, and prefixes are counted
+# and made anew at most so often. The order bears on the work alone, not on the result.
 FREQUENT, MOST_FREQUENT, ROUNDS = 64, 1_000_000, 3
+# Another round is made if the squares of the frequent shingles' counts are more than so many times all shared counts.
+BEARABLE = 50
 # Bits of the filter that picks the texts to be compared in full: 16 for each, and no more than this (16 MB).
 FILTER_BITS = 1 << 27
 
@@ -38,23 +40,28 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """62-bit hashes of the distinct runs of ``size`` words, in ascending order; fewer words are one run."""
-    if not len(words):
-        return np.zeros(0, dtype=np.int64)
-    width = min(size, len(words))
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """62-bit hashes of all runs of ``width`` words."""
     last = len(words) - width + 1
     run = np.full(last, np.uint64(width))
     for k in range(width):
         run = _scramble(run * np.uint64(_MULTIPLIERS[k % 6]) + words[k : last + k])
-    return np.unique((run >> np.uint64(2)).astype(np.int64))
+    return (run >> np.uint64(2)).astype(np.int64)
 
 
 def sets_of(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
-    """The shingle set of each text; A-Z count as a-z."""
+    """The shingle set of each text, in ascending order: its runs of ``size`` words, or all its words if it has fewer. A-Z
+    count as a-z."""
     for _, words, sizes in grouped_word_hashes([t.lower() for t in texts]):
-        for one in np.split(words, np.cumsum(sizes)[:-1]):
-            yield _shingles(one, size)
+        runs = _runs(words, size) if len(words) >= size else words[:0].astype(np.int64)
+        end = 0
+        for n in sizes.tolist():
+            start, end = end, end + n
+            if n >= size:
+                keys = np.sort(runs[start : end - size + 1])
+                yield keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+            else:
+                yield _runs(words[start:end], n) if n else runs[:0]
 
 
 def needed(n: int, percent: int) -> int:
@@ -80,74 +87,90 @@ class _Seen(set):
     def first(self, item: bytes) -> bool:
         if item in self:
             return False
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self.add(item)
         return True
 
 
-def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, digest, n, print, prefix, common of each document: the md5 of its text, the size of its set, the set's fingerprint, and its first members
-    by hash (null where the task has given them before). ``common`` of the first document of a block lists what many sets of
-    that block share."""
-    key = docs.schema["doc_id"].dataType.simpleString()
+def common_shingles(docs: DataFrame, size: int) -> DataFrame:
+    """key, n: the shingles that many sets of some block of texts share. What a fair part of all sets has is among them."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
-        for batch in batches:
-            prints, counts, prefixes, commons, fresh, held = [], [], [], [], [], 0
+        seen, fresh, held = _Seen(), [], 0
 
-            def common(fresh):
-                keys, times = np.unique(np.concatenate(fresh), return_counts=True)
-                return keys[times >= max(3, len(fresh) // 200)]
+        def common():
+            keys, times = np.unique(np.concatenate(fresh), return_counts=True)
+            often = times >= max(3, len(fresh) // 200)
+            return pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(times[often], pa.int64())], ["key", "n"])
 
+        for batch in slices(batches):
             for keys in sets_of(texts_of(batch), size):
-                n = len(keys)
-                mark = _print(keys)
-                first = n > 0 and seen.first(mark)
-                counts.append(n)
-                prints.append(mark)
-                prefixes.append(keys[: n - needed(n, percent) + 1] if first else None)
-                commons.append(None)
-                if first:
+                if len(keys) and seen.first(_print(keys)):
                     fresh.append(keys)
-                    held += n
+                    held += len(keys)
                 if held > 1_000_000:
-                    commons[-1], fresh, held = common(fresh), [], 0
-            if fresh:
-                commons[-1] = common(fresh)
+                    yield common()
+                    fresh, held = [], 0
+        if fresh:
+            yield common()
+
+    found = docs.select("text").mapInArrow(build, "key bigint, n bigint")
+    return found.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _prefix(keys: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
+    """The first members of a set of which a similar set has one; those of ``late`` (ascending) come last."""
+    most = len(keys) - needed(len(keys), percent) + 1
+    if not len(late):
+        return keys[:most]
+    is_late = late[np.minimum(np.searchsorted(late, keys), len(late) - 1)] == keys
+    return np.concatenate([keys[~is_late], keys[is_late] | LAST])[:most]
+
+
+def shingle_table(docs: DataFrame, late: np.ndarray, size: int, percent: int) -> DataFrame:
+    """doc_id, digest, n, print, prefix of each document: the md5 of its text, the size of its set, the set's fingerprint, and
+    its first members (null where the task has given them before)."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(late)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in slices(batches):
+            prints, counts, prefixes = [], [], []
+            for keys in sets_of(texts_of(batch), size):
+                mark = _print(keys)
+                counts.append(len(keys))
+                prints.append(mark)
+                prefixes.append(_prefix(keys, shared.value, percent) if len(keys) and seen.first(mark) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()), pa.array(prints, pa.binary()), _lists(prefixes), _lists(commons)],
-                ["doc_id", "digest", "n", "print", "prefix", "common"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()), pa.array(prints, pa.binary()), _lists(prefixes)],
+                ["doc_id", "digest", "n", "print", "prefix"],
             )
 
     return docs.select("doc_id", "text", text_digest().alias("digest")).mapInArrow(
-        build, f"doc_id {key}, digest string, n int, print binary, prefix array<bigint>, common array<bigint>"
+        build, f"doc_id {key}, digest string, n int, print binary, prefix array<bigint>"
     )
 
 
-def reordered_prefixes(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """print, prefix of the sets whose prefix changes when the shingles of ``frequent`` (ascending) come last."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def reordered_prefixes(docs: DataFrame, before: np.ndarray, late: np.ndarray, size: int, percent: int) -> DataFrame:
+    """print, new of the sets whose prefix changes when the shingles of ``late`` come last, no more only those of ``before``."""
+    shared = docs.sparkSession.sparkContext.broadcast((before, late))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, late = _Seen(), shared.value
-        for batch in batches:
+        seen, orders = _Seen(), shared.value
+        for batch in slices(batches):
             prints, prefixes = [], []
             for keys in sets_of(texts_of(batch), size):
-                n = len(keys)
-                if not n:
-                    continue
-                is_late = late[np.minimum(np.searchsorted(late, keys), len(late) - 1)] == keys
-                most = n - needed(n, percent) + 1
-                if is_late[:most].any():
+                if len(keys):
+                    old, new = (_prefix(keys, order, percent) for order in orders)
                     mark = _print(keys)
-                    if seen.first(mark):
+                    if not np.array_equal(old, new) and seen.first(mark):
                         prints.append(mark)
-                        prefixes.append(np.concatenate([keys[~is_late], keys[is_late] | LAST])[:most])
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), _lists(prefixes)], ["print", "prefix"])
+                        prefixes.append(new)
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), _lists(prefixes)], ["print", "new"])
 
-    return docs.select("text").mapInArrow(build, "print binary, prefix array<bigint>")
+    return docs.select("text").mapInArrow(build, "print binary, new array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -166,7 +189,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, mask = _Seen(), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             bit = batch.column("bit").to_numpy()
             picked = np.flatnonzero(mask[bit >> 6] >> (bit & 63) & 1)
             prints, sets = [], []
@@ -240,36 +263,37 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _classes(docs: DataFrame, table: DataFrame, size: int, percent: int) -> DataFrame:
-    """class_id, print, n, doc_id, prefix of each set, frequent shingles last."""
+def _most_frequent(counts: DataFrame, most: int) -> np.ndarray:
+    """The keys of ``counts`` (key, n) over FREQUENT, at most ``most`` of them, in ascending order."""
+    top = counts.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "key").limit(most).select("key")
+    return np.sort(top.toPandas()["key"].to_numpy(dtype=np.int64))
+
+
+def _classes(docs: DataFrame, table: DataFrame, late: np.ndarray, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """class_id, print, n, doc_id, prefix of each set, frequent shingles last; and key, n of the shingles in several prefixes."""
     distinct = table.filter("prefix is not null").select("print", "n", "doc_id", "prefix").dropDuplicates(["print"])
     classes = stored(distinct.withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    late = np.zeros(0, dtype=np.int64)
-    common = table.select(F.explode("common").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    for turn in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         counts = classes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        often = counts.filter((F.col("n") > FREQUENT) & (F.col("key") < int(LAST)))
-        if not turn:
-            often = often.unionByName(common.filter(F.col("n") > 1).withColumn("n", F.col("n") + FREQUENT))
-        often = often.groupBy("key").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT - len(late))
-        found = often.select("key").toPandas()["key"].to_numpy(dtype=np.int64)
-        if not len(found):
+        counts = stored(counts.filter("n > 1"), "counts")
+        ahead = counts.filter((F.col("n") > FREQUENT) & (F.col("key") < int(LAST)))
+        work = ahead.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+        if turn == ROUNDS or work <= BEARABLE * (counts.agg(F.sum("n")).first()[0] or 0):
             break
-        late = np.union1d(late, found)
-        changed = reordered_prefixes(docs, late, size, percent).dropDuplicates(["print"]).withColumnRenamed("prefix", "new")
+        more = np.union1d(late, _most_frequent(ahead, MOST_FREQUENT - len(late)))
+        changed = reordered_prefixes(docs, late, more, size, percent).dropDuplicates(["print"])
+        late = more
         fresh = classes.join(changed, "print", "left").select(
             "class_id", "print", "n", "doc_id", F.coalesce("new", "prefix").alias("prefix")
         )
         classes = stored(fresh, "classes")
-    return classes
+    return classes, counts
 
 
-def links(docs: DataFrame, table: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, table: DataFrame, late: np.ndarray, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The classes, and links (a, b) between them that reach whatever a link reaches."""
-    classes = _classes(docs, table, size, percent)
-    postings = classes.select("class_id", F.explode("prefix").alias("key"))
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    postings = stored(postings.join(shared, "key"), "postings")
+    classes, counts = _classes(docs, table, late, size, percent)
+    postings = stored(classes.select("class_id", F.explode("prefix").alias("key")).join(counts.select("key"), "key"), "postings")
     # A shingle that no other prefix has is missing in every similar set, which bounds the size of those.
     known = postings.groupBy("class_id").agg(F.count(F.lit(1)).alias("met"))
     missing = F.size("prefix") - F.col("met")
@@ -325,8 +349,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     nothing; rows without number take part in links but name no component unless all of it is without; repeated rows are alike
     and give a row each; an empty table gives none. Other columns are not read.
     """
-    table = stored(shingle_table(docs, size, percent), "shingles")
-    classes, found = links(docs, table, size, percent)
+    late = _most_frequent(common_shingles(docs, size), MOST_FREQUENT)
+    table = stored(shingle_table(docs, late, size, percent), "shingles")
+    classes, found = links(docs, table, late, size, percent)
     roots = components(found)
     me = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "digest")
     members = table.filter("n > 0").groupBy("print").agg(F.min(me).alias("first"))

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaero.llm.arrow import slices, texts_of
 from quaero.llm.common import small, stored
 from quaero.llm.encoding import encoder, tokenizer_path
-from quaero.llm.token_counts import texts_of
 
 CAPACITY = 2048
 END = 0
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, capacity: int, path: str) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             owner, starts, lengths, sums = [], [], [], []
             for row, ids in enumerate(one.encode(texts_of(batch))):
                 whole = np.append(ids, np.array(END, ids.dtype)).astype("<u4").tobytes()
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
         order = p.length << 44 | p.first
-        for batch in batches:
+        for batch in slices(batches):
             length, k = batch.column("length").to_numpy(), batch.column("k").to_numpy()
             row = np.searchsorted(order, length << 44 | k, side="right") - 1
             turn, slot = np.divmod(k - p.first[row], p.per[row])

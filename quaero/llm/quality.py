@@ -16,13 +16,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaero.llm.arrow import slices, texts_of
 from quaero.llm.common import small
 from quaero.llm.encoding import BLOCK, KINDS, SPACE, blocks, hashes
-from quaero.llm.token_counts import texts_of
 
 # At most so many labelled rows of each class are used to learn the rules, chosen by a hash of their number.
 SAMPLE = 10_000
 GRAM = 5
+# Bytes of text that are parted at a time.
+SPAN = 1 << 19
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_marks", "n_digits", "n_distinct"]
 WHITE, SYMBOLS, MARKS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"!?"
@@ -51,11 +53,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grouped_word_hashes(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The texts in groups of BLOCK bytes or so, longer ones alone: number of texts, their words' hashes, words of each."""
+    """The texts in groups of SPAN bytes or so, longer ones alone: number of texts, their words' hashes, words of each."""
     at = 0
     while at < len(texts):
         to, size = at + 1, len(texts[at])
-        while to < len(texts) and size + len(texts[to]) <= BLOCK:
+        while to < len(texts) and size + len(texts[to]) <= SPAN:
             size += len(texts[to])
             to += 1
         if size > BLOCK:
@@ -117,7 +119,7 @@ def statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
     parts; lines without a word do not count."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             chars = [n or 0 for n in pc.utf8_length(batch.column("text")).to_pylist()]
             columns = [pa.array(c) for c in _measured(texts_of(batch), chars)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *columns], [*keys, *BASE, *MORE])

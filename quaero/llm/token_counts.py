@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaero.llm.arrow import slices, texts_of
 from quaero.llm.encoding import CACHED, LONGEST, WordEncoder, encoder, parted, tokenizer_path
 
 LIMIT = 2048
@@ -22,14 +23,9 @@ LIMIT = 2048
 TABLE, PER_TASK = 65_536, 4_096
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """A column of texts as UTF-8; null is empty."""
-    return [t or b"" for t in batch.column(name).cast(pa.large_binary()).to_pylist()]
-
-
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for group in parted(texts_of(batch)):
             times = np.bincount(group.which, minlength=len(group.words)).tolist()
             counts.update(dict(zip(group.words, times, strict=True)))
@@ -100,7 +96,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = LengthCounter(path, table.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch)
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
             tokens = np.array(counter.counts(texts), dtype=np.int64)

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaero.llm.arrow import slices, texts_of
 from quaero.llm.common import new_folder, small
 from quaero.llm.encoding import encoder, tokenizer_path
-from quaero.llm.token_counts import texts_of
 
 END = 2
 MAGIC = b"TID1"
@@ -98,7 +98,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None) -> None:
             columns = [[part], [number], [size], [keys], [pack_block(documents)]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), one.encode(texts_of(batch)), strict=True):
                 keys.append(doc)
                 documents.append(np.append(ids, np.array(END, ids.dtype)))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaero.llm.arrow import slices
 from quaero.llm.common import small, stored
 
 # At most so many labelled rows of each class are used to learn from, chosen by a hash of their number.
@@ -113,7 +114,7 @@ def _entries(text: str) -> set[str]:
 
 def _toxic_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for text in _texts(batch):
             counts.update(_entries(text))
     yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
@@ -154,7 +155,7 @@ def _clean_counts(rows: DataFrame, candidates: dict[str, int]) -> dict[str, int]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in _texts(batch):
                 counts.update(_entries(text) & shared.value)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
@@ -187,7 +188,7 @@ def _harmless(rows: DataFrame, weights: dict[str, float]) -> list[str]:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Matcher(Lexicon(matcher.value)).automaton
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(_texts(batch), batch.column("toxic").to_pylist(), strict=True):
                 seen = set()
                 for end, (size, _) in find.iter(text) if len(find) else ():
@@ -220,7 +221,7 @@ def _calibrated(rows: DataFrame, lexicon: Lexicon, stands_for: dict[int, float])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([matcher.features(t) for t in _texts(batch)], dtype=float).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("toxic")], ["density", "found", "toxic"])
 
@@ -251,7 +252,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(shared)
-        for batch in batches:
+        for batch in slices(batches):
             scores = np.array([matcher.score(t or "") for t in batch.column("text").to_pylist()], dtype=float)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
