@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.arrow import slices, texts_of
+from quaero.llm.arrow import map_batches, slices, texts_of
 from quaero.llm.common import small, stored
 from quaero.llm.quality import grouped_word_hashes
 
@@ -109,13 +109,13 @@ def common_shingles(docs: DataFrame, size: int) -> DataFrame:
                 if len(keys) and seen.first(_print(keys)):
                     fresh.append(keys)
                     held += len(keys)
-                if held > 1_000_000:
+                if held > 500_000:
                     yield common()
                     fresh, held = [], 0
         if fresh:
             yield common()
 
-    found = docs.select("text").mapInArrow(build, "key bigint, n bigint")
+    found = map_batches(docs.select("text"), build, "key bigint, n bigint")
     return found.groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -148,8 +148,7 @@ def shingle_table(docs: DataFrame, late: np.ndarray, size: int, percent: int) ->
                 ["doc_id", "digest", "n", "print", "prefix"],
             )
 
-    return docs.select("doc_id", "text", text_digest().alias("digest")).mapInArrow(
-        build, f"doc_id {key}, digest string, n int, print binary, prefix array<bigint>"
+    return map_batches(docs.select("doc_id", "text", text_digest().alias("digest")), build, f"doc_id {key}, digest string, n int, print binary, prefix array<bigint>"
     )
 
 
@@ -170,7 +169,7 @@ def reordered_prefixes(docs: DataFrame, before: np.ndarray, late: np.ndarray, si
                         prefixes.append(new)
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), _lists(prefixes)], ["print", "new"])
 
-    return docs.select("text").mapInArrow(build, "print binary, new array<bigint>")
+    return map_batches(docs.select("text"), build, "print binary, new array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -200,7 +199,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     sets.append(keys)
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), _lists(sets)], ["print", "keys"])
 
-    sets = docs.select(hashed.bitwiseAND(F.lit(bits - 1)).alias("bit"), "text").mapInArrow(build, "print binary, keys array<bigint>")
+    sets = map_batches(docs.select(hashed.bitwiseAND(F.lit(bits - 1)).alias("bit"), "text"), build, "print binary, keys array<bigint>")
     classes = wanted.select("class_id", "print").distinct()
     return sets.join(classes, "print").select("class_id", "keys").dropDuplicates(["class_id"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaero.llm.arrow import slices, texts_of
+from quaero.llm.arrow import map_batches, slices, texts_of
 from quaero.llm.common import small, stored
 from quaero.llm.encoding import encoder, tokenizer_path
 
@@ -111,8 +111,7 @@ def pieces(docs: DataFrame, capacity: int, path: str) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    return map_batches(docs.select("doc_id", "text"), cut, f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint"
     )
 
 
@@ -152,6 +151,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return numbered_within_length(cut, sum(counts.values())).select("doc_id", "piece", "start", "length", "ids_crc32", "k").mapInArrow(
-        assign, f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+    return map_batches(numbered_within_length(cut, sum(counts.values())).select("doc_id", "piece", "start", "length", "ids_crc32", "k"), assign, f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     )

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.arrow import slices, texts_of
+from quaero.llm.arrow import ROWS, map_batches, slices, texts_of
 from quaero.llm.common import small
 from quaero.llm.encoding import BLOCK, KINDS, SPACE, blocks, hashes
 
@@ -24,7 +24,7 @@ from quaero.llm.encoding import BLOCK, KINDS, SPACE, blocks, hashes
 SAMPLE = 10_000
 GRAM = 5
 # Bytes of text that are parted at a time.
-SPAN = 1 << 19
+SPAN = 1 << 18
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_marks", "n_digits", "n_distinct"]
 WHITE, SYMBOLS, MARKS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"!?"
@@ -125,12 +125,14 @@ def statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *columns], [*keys, *BASE, *MORE])
 
     kinds = [f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} bigint" for c in BASE + MORE]
-    return docs.select(*keys, "text").mapInArrow(measure, ", ".join(kinds))
+    return map_batches(docs.select(*keys, "text"), measure, ", ".join(kinds))
 
 
 def with_statistics(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with the counts as a structure ``name``; the other columns do not pass through Python."""
 
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+
     @F.pandas_udf(", ".join(f"{c} bigint" for c in BASE + MORE))
     def measure(texts: pd.Series) -> pd.DataFrame:
         plain = [t or "" for t in texts]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.arrow import slices, texts_of
+from quaero.llm.arrow import map_batches, slices, texts_of
 from quaero.llm.encoding import CACHED, LONGEST, WordEncoder, encoder, parted, tokenizer_path
 
 LIMIT = 2048
@@ -39,7 +39,7 @@ def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_words(docs: DataFrame, size: int = TABLE) -> list[bytes]:
     """At most ``size`` words that are frequent in some task's share of the documents, most frequent first."""
-    tops = docs.select("text").mapInArrow(_tops, "word binary, n bigint")
+    tops = map_batches(docs.select("text"), _tops, "word binary, n bigint")
     rows = tops.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
     return [bytes(r.word) for r in rows]
 
@@ -106,6 +106,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             )
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        count, f"doc_id {key}, n_bytes bigint, n_tokens bigint, over_limit boolean"
+    return map_batches(docs.select("doc_id", "text"), count, f"doc_id {key}, n_bytes bigint, n_tokens bigint, over_limit boolean"
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaero.llm.arrow import slices, texts_of
+from quaero.llm.arrow import map_batches, slices, texts_of
 from quaero.llm.common import new_folder, small
 from quaero.llm.encoding import encoder, tokenizer_path
 
@@ -112,8 +112,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None) -> None:
 
     tie = F.xxhash64("text").alias("tie")
     ordered = docs.select("doc_id", "text", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.select("doc_id", "text").mapInArrow(
-        blocks, f"part int, block int, n_ids bigint, doc_ids array<{key}>, payload binary"
+    map_batches(ordered.select("doc_id", "text"), blocks, f"part int, block int, n_ids bigint, doc_ids array<{key}>, payload binary"
     ).write.option("compression", "none").parquet(folder)
 
 
@@ -128,7 +127,8 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 ids = unpack_block(row["payload"])
                 lengths = np.array([len(d) for d in ids], dtype=np.int64)
                 n = len(ids)
@@ -141,7 +141,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     ["part", "block", "doc_id", "before", "n_tokens", "ids_crc32"],
                 )
 
-    return files.mapInArrow(documents, f"part int, block int, doc_id {key}, before bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_batches(files, documents, f"part int, block int, doc_id {key}, before bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def block_starts(spark: SparkSession, folder: str) -> DataFrame:

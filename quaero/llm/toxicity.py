@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.arrow import slices
+from quaero.llm.arrow import map_batches, slices
 from quaero.llm.common import small, stored
 
 # At most so many labelled rows of each class are used to learn from, chosen by a hash of their number.
@@ -141,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Lexicon(exceptions=exceptions)
-    toxic = rows.filter("toxic = 1").select("text").mapInArrow(_toxic_entries, "entry string, n bigint")
+    toxic = map_batches(rows.filter("toxic = 1").select("text"), _toxic_entries, "entry string, n bigint")
     found = toxic.groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "entry").limit(CANDIDATES)
     candidates = {r.entry: r.n for r in found.collect()}
     clean = _clean_counts(rows, candidates)
@@ -160,7 +160,7 @@ def _clean_counts(rows: DataFrame, candidates: dict[str, int]) -> dict[str, int]
                 counts.update(_entries(text) & shared.value)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
 
-    counted = rows.filter("toxic = 0").select("text").mapInArrow(count, "entry string, n bigint")
+    counted = map_batches(rows.filter("toxic = 0").select("text"), count, "entry string, n bigint")
     return {r.entry: r.n for r in counted.groupBy("entry").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -207,7 +207,7 @@ def _harmless(rows: DataFrame, weights: dict[str, float]) -> list[str]:
             ["pair", "toxic", "n"],
         )
 
-    counted = rows.mapInArrow(pairs, "pair string, toxic int, n bigint").groupBy("pair").agg(
+    counted = map_batches(rows, pairs, "pair string, toxic int, n bigint").groupBy("pair").agg(
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"),
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
     )
@@ -225,7 +225,7 @@ def _calibrated(rows: DataFrame, lexicon: Lexicon, stands_for: dict[int, float])
             x = np.array([matcher.features(t) for t in _texts(batch)], dtype=float).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("toxic")], ["density", "found", "toxic"])
 
-    measured = rows.mapInArrow(measure, "density double, found double, toxic int").collect()
+    measured = map_batches(rows, measure, "density double, found double, toxic int").collect()
     x = np.array([(1.0, r.density, r.found) for r in measured])
     y = np.array([float(r.toxic) for r in measured])
     w = np.array([stands_for[r.toxic] for r in measured])
@@ -259,8 +259,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
-        judge, f"doc_id {key}, held_out boolean, score double, predicted int"
+    return map_batches(docs.select("doc_id", held_out().alias("held_out"), "text"), judge, f"doc_id {key}, held_out boolean, score double, predicted int"
     )
 
 
