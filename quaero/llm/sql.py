@@ -32,7 +32,7 @@ near_items AS (SELECT r, count(DISTINCT item_id) AS n_near
 hits AS (SELECT dw.r, dw.pos, win.gram, win.n FROM dw JOIN win ON win.head = dw.w JOIN d ON d.r = dw.r
          WHERE list_slice(d.ws, dw.pos + 1, dw.pos + win.n) = win.gram),
 covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY r),
-items AS (SELECT r, list(DISTINCT CAST(item_id AS VARCHAR) ORDER BY CAST(item_id AS VARCHAR)) AS ids
+items AS (SELECT r, list(DISTINCT CAST(item_id AS VARCHAR) ORDER BY CAST(item_id AS VARCHAR)) FILTER (item_id IS NOT NULL) AS ids
           FROM hits JOIN g USING (gram) GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
