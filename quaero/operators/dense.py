@@ -57,14 +57,10 @@ def _rank(scored: DataFrame, k: int, rank: str = "rank") -> DataFrame:
     return first_rows(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, rank)
 
 
-def _fits(queries: DataFrame, limit: int | None = None) -> tuple[list, int] | None:
-    """The query rows when they are few enough to send to every task, else ``None``."""
-    first = queries.select(F.size("embedding").alias("n")).filter("n > 0").first()
-    if first is None:
-        return [], 0
-    most = (limit or MAX_BROADCAST_VALUES) // first["n"]
-    rows = queries.limit(most + 1).collect()
-    return (rows, first["n"]) if len(rows) <= most else None
+def _fits(queries: DataFrame, limit: int | None = None) -> list | None:
+    """The query rows when their values are few enough to send to every task, else ``None``."""
+    values = queries.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0
+    return queries.collect() if values <= (limit or MAX_BROADCAST_VALUES) else None
 
 
 def dense_topk(
@@ -73,7 +69,8 @@ def dense_topk(
     """Exact cosine top-k: ``(query_id, chunk_id, score, rank)``, rank from 1.
 
     ``queries`` has (query_id, embedding), ``chunks`` (chunk_id, embedding);
-    rows without a usable vector are left out. A query batch of a checked size
+    rows without a usable vector are left out, and a query meets the chunks of
+    its own width. A query batch of a checked size
     goes to every task, which gives out only its k best per query and Arrow
     batch, so the corpus itself is never shuffled. A larger batch is cut into
     blocks, the corpus into shards, and each block meets each shard once.
@@ -83,16 +80,22 @@ def dense_topk(
     fitting = _fits(known, broadcast_values)
     if fitting is None:
         return _rank(_blockwise(known, corpus, k), k)
-    rows, width = fitting
-    query_ids = [r["query_id"] for r in rows]
-    matrix = _matrix(pd.Series([r["embedding"] for r in rows], dtype="object"), width)
-    held = chunks.sparkSession.sparkContext.broadcast((query_ids, matrix))
+    by_width: dict[int, list] = {}
+    for row in fitting:
+        by_width.setdefault(len(row["embedding"]), []).append(row)
+    held = chunks.sparkSession.sparkContext.broadcast(
+        [
+            ([r["query_id"] for r in rows], _matrix(pd.Series([r["embedding"] for r in rows], dtype="object"), width))
+            for width, rows in sorted(by_width.items())
+        ]
+    )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = held.value
         for batch in batches:
-            if len(ids) and len(batch):
-                yield _best(ids, q, batch["chunk_id"], _matrix(batch["embedding"], q.shape[1]), k)
+            for ids, q in held.value if len(batch) else ():
+                chunk_rows = _matrix(batch["embedding"], q.shape[1])
+                for at in range(0, len(ids), QUERIES_PER_BLOCK):
+                    yield _best(ids[at : at + QUERIES_PER_BLOCK], q[at : at + QUERIES_PER_BLOCK], batch["chunk_id"], chunk_rows, k)
 
     return _rank(corpus.mapInPandas(score, SCORED), k)
 

@@ -93,7 +93,7 @@ def is_sitemap(url: Column) -> Column:
     return low.endswith(".xml") | low.contains("/sitemap") | F.substring_index(low, "/", -1).contains("sitemap")
 
 
-def harvest_sitemaps(roots: DataFrame, stored: DataFrame, cap: int = 8000, max_rounds: int = 20) -> DataFrame:
+def harvest_sitemaps(roots: DataFrame, stored: DataFrame, cap: int = 8000) -> DataFrame:
     """``(host, url)``: pages named by each host's sitemaps and those they point to.
 
     ``roots`` has (host, url), ``stored`` (url, status, content). Every round
@@ -102,16 +102,15 @@ def harvest_sitemaps(roots: DataFrame, stored: DataFrame, cap: int = 8000, max_r
     """
     bodies = stored.filter((F.col("status") < 400) & (F.length("content") > 0)).select("url", "content")
     todo = cut_lineage(roots.select("host", "url").distinct())
-    tried, pages = todo, None
-    for step in range(max_rounds):
-        if todo.isEmpty():
-            break
+    tried, pages, step = todo, None, 0
+    while not todo.isEmpty():  # each round reads only what none has read, so it ends
         inside = todo.join(bodies, "url").select("host", F.explode(locations(F.col("content"))).alias("url")).distinct()
         inside = cut_lineage(inside.withColumn("_map", is_sitemap(F.col("url"))))
         found = inside.filter(~F.col("_map")).select("host", "url", F.lit(step).alias("_round"))
         pages = found if pages is None else pages.unionByName(found)
         todo = cut_lineage(inside.filter("_map").select("host", "url").join(tried, ["host", "url"], "left_anti"))
         tried = tried.unionByName(todo)
+        step += 1
     if pages is None:
         return roots.select("host", "url").limit(0)
     unique = pages.groupBy("host", "url").agg(F.min("_round").alias("_round"))

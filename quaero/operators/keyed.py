@@ -168,15 +168,25 @@ def contains_join(
 ) -> DataFrame:
     """Every pair of a text and a needle that stands in it, without a cross join.
 
-    Needles have at least ``seed`` characters. A needle's first ``seed``
-    characters must stand in the text, which is an equality join; the few
-    candidates are then checked in full. When there are few distinct seeds
-    (counted first), each text only gives out the pieces that are seeds;
-    otherwise all its pieces are joined.
+    A needle's first ``seed`` characters, or all of a shorter one, must stand
+    in the text, which is an equality join; the few candidates are then checked
+    in full. When there are few distinct seeds (counted first), each text only
+    gives out the pieces that are seeds; otherwise all its pieces are joined.
+    An empty needle stands in no text.
     """
-    seeded = needles.filter(F.length(needle) >= seed).withColumn(
-        "_seed", F.substring(F.col(needle), 1, seed)
-    )
+    size = F.least(F.length(needle), F.lit(seed))
+    lengths = [r[0] for r in needles.select(size.alias("n")).filter("n > 0").distinct().collect()]
+    found = None
+    for length in sorted(lengths, reverse=True):
+        some = _contains_from(texts, text, needles.filter(size == length), needle, length)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return _contains_from(texts, text, needles.limit(0), needle, seed)
+    return found
+
+
+def _contains_from(texts: DataFrame, text: str, needles: DataFrame, needle: str, seed: int) -> DataFrame:
+    seeded = needles.withColumn("_seed", F.substring(F.col(needle), 1, seed))
     seeds = [r[0] for r in seeded.select("_seed").distinct().limit(MAX_SEEDS + 1).collect()]
     pieces = F.array_distinct(substrings(F.col(text), seed))
     if len(seeds) <= MAX_SEEDS:

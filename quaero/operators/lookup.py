@@ -220,8 +220,10 @@ def related_chunks(hits: DataFrame, chunks: DataFrame, documents: DataFrame, per
 def read_documents(wanted: DataFrame, documents: DataFrame, preview: int = 2500) -> DataFrame:
     """One document per request by id, exact address, or the last 80 characters of it.
 
-    ``wanted`` has (request_id, document_id, url). Suffixes are compared by
-    equality: of a request's address and of each stored one.
+    ``wanted`` has (request_id, document_id, url). An address that no document
+    has exactly is looked for as the end of a stored one: its last 80
+    characters, or all of a shorter one, equal the stored address's last as
+    many. There are at most 80 such lengths.
     """
     rows = documents.select(
         "document_id", "title", "url", "mime_type",
@@ -232,9 +234,11 @@ def read_documents(wanted: DataFrame, documents: DataFrame, preview: int = 2500)
     exact = asked.join(rows, F.col("_url") == F.col("url"))
     rest = asked.join(exact.select("request_id"), "request_id", "left_anti")
     tail = F.lower(F.when(F.length("_url") > 80, F.substring("_url", -80, 80)).otherwise(F.col("_url")))
-    inside = contains_join(
-        rows.withColumn("_low", F.lower("url")), "_low", rest.withColumn("_tail", tail), "_tail"
-    )
+    ends = rest.withColumn("_tail", tail).filter("_tail <> ''")
+    lengths = [r[0] for r in ends.select(F.length("_tail")).distinct().collect()]
+    low, n = F.lower("url"), F.col("_n")
+    cut = rows.withColumn("_n", F.explode(F.array(*[F.lit(x) for x in lengths]).cast("array<int>")))
+    inside = cut.filter(F.length(low) >= n).withColumn("_tail", F.right(low, n)).join(ends, "_tail")
     columns = ["request_id", *rows.columns]
     every = (
         by_id.select(*columns).withColumn("_rank", F.lit(0))

@@ -25,7 +25,9 @@ LOG_SCHEMA = index.DOCUMENT_SCHEMA + ", deleted boolean, batch long"
 def _log(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(f"{path}/{name}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # only a log that is not there yet is empty
+            raise
         return spark.createDataFrame([], schema)
 
 
