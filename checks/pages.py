@@ -127,7 +127,7 @@ def _(t):
 @query("page_main_text")
 def _(t):
     return html.extract_pages(page_rows(t)).select(
-        "page_id", F.length("content").alias("chars"), F.substring("content", 1, 200).alias("opening"),
+        "page_id", F.length("content").alias("chars"), F.md5("content").alias("content"),
         F.size("links").alias("links"), F.size("assets").alias("assets"),
     )
 

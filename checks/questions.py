@@ -8,7 +8,7 @@ from checks.registry import joined, query
 from checks.sqlre import like, sql_text
 from checks.text import FOLD
 from quaero.operators import conversations, facts, questions
-from quaero.values import patterns
+from quaero.values import patterns, replies
 
 # Every customer asks one of these. Known results: intent, lists, present, job, mode, language,
 # institution, sector, relevant, reason, what is compared.
@@ -85,13 +85,15 @@ def _(t):
     return questions.scope(questions.analyze(asked(t)), classifier=judge).select("query_id", "scope.relevant", "scope.source")
 
 
+REPLIES_SQL = "CASE language WHEN 'ru' THEN '{0}' WHEN 'en' THEN '{1}' ELSE '{2}' END"
+IDENTITY, OFF_TOPIC = ([sql_text(said[x].replace("{assistant}", "Bot")) for x in ("ru", "en", "ro")] for said in (replies.IDENTITY, replies.OFF_TOPIC))
+
+
 @query("canned_replies", f"""
-WITH {examples_sql()} SELECT query_id, CASE WHEN reason = 'identity' THEN 'Sunt **Bot**' ELSE 'Această ' END AS opening FROM asked WHERE NOT relevant""")
+WITH {examples_sql()} SELECT query_id, CASE WHEN reason = 'identity' THEN {REPLIES_SQL.format(*IDENTITY)} ELSE {REPLIES_SQL.format(*OFF_TOPIC)} END AS reply FROM asked WHERE NOT relevant""")
 def _(t):
     judged = questions.scope(questions.analyze(asked(t)), assistant="Bot").filter("not scope.relevant")
-    return judged.select(
-        "query_id", F.when(F.col("scope.kind") == "identity", F.substring("scope.reply", 1, 12)).otherwise(F.substring("scope.reply", 1, 8)).alias("opening")
-    )
+    return judged.select("query_id", F.col("scope.reply").alias("reply"))
 
 
 @query("question_institution", f"WITH {examples_sql()} SELECT query_id, institution, sector, compared FROM asked")

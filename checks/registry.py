@@ -22,6 +22,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.unionOutputPartitioning", "false")
             return fn(lambda table: read_table(spark, sf_dir, table, TEXTS.get(table, ())))
 
         QUERIES[name] = run

@@ -29,12 +29,22 @@ def documents(t):
     )
 
 
+# A vector that both engines can work out from any text: how often it has each of the letters a to z.
+LETTERS_SQL = "list_transform(range(97, 123), lambda c: (len({c}) - len(translate({c}, chr(c::INT) || chr(c::INT - 32), '')))::DOUBLE)"
+
+
+def letters(text):
+    had = lambda c: F.length(text) - F.length(F.translate(text, c + c.upper(), ""))
+    return F.array(*[had(chr(c)).cast("float") for c in range(97, 123)])
+
+
 def chunks(t):
-    """One chunk per document, with the vector of the same number where there is one."""
+    """One chunk per document, with its vector."""
     return documents(t).select(
         F.col("document_id").alias("chunk_id"), "document_id", "content",
         F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("section"),
-    ).join(t("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+        letters(F.col("content")).alias("embedding"),
+    )
 
 
 def asked(t):
@@ -73,14 +83,6 @@ def _(t):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
-@query("dense_hits_with_documents", f"""
-WITH {CENTROIDS_SQL}, {CORPUS_SQL} SELECT query_id, rank::BIGINT AS rank, document_id, title AS document_title, url AS document_url FROM near JOIN docs ON document_id = chunk_id""")
-def _(t):
-    found = dense.dense_topk(centroids(t), vectors(t))
-    told = dense.with_documents(found, chunks(t), documents(t))
-    return told.select("query_id", F.col("rank").cast("long"), "document_id", "document_title", "document_url")
-
-
 @query("dense_single_query", """
 WITH q AS (SELECT list(v ORDER BY pos) AS q FROM (SELECT pos, avg(v) AS v FROM (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY pos)),
 s AS (SELECT vec_id AS chunk_id, list_dot_product(q, embedding::DOUBLE[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM q, embeddings)
@@ -186,11 +188,15 @@ def _(t):
 
 # --- fusion ------------------------------------------------------------------------------
 
+NEAR_SQL = f"""
+qv AS (SELECT item_id AS query_id, text AS question, {LETTERS_SQL.format(c='text')} AS q FROM benchmark),
+dv AS (SELECT doc_id AS chunk_id, {LETTERS_SQL.format(c='text')} AS v FROM documents),
+dn AS (SELECT query_id, chunk_id, round(list_dot_product(q, v) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(v, v)), 12) AS score
+  FROM qv, dv WHERE list_dot_product(q, q) > 0 AND list_dot_product(v, v) > 0),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn QUALIFY rank <= 18)"""
+
 HYBRID_SQL = f"""{BM25_SQL}, {CORPUS_SQL},
-qv AS (SELECT item_id AS query_id, text AS question, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
-dn AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(q, embedding::DOUBLE[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score
-  FROM qv, embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
-near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn QUALIFY rank <= 18),
+{NEAR_SQL},
 fused AS (SELECT coalesce(n.query_id, s.query_id) AS query_id, coalesce(n.chunk_id, s.chunk_id) AS chunk_id, n.rank AS nr, s.rank AS sr,
    coalesce(1.0::DOUBLE / (60 + n.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS rrf FROM near n FULL JOIN (SELECT said.* FROM said JOIN qv USING (query_id)) s ON n.query_id = s.query_id AND n.chunk_id = s.chunk_id),
 pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, nr NULLS LAST, sr NULLS LAST, chunk_id) AS pos FROM fused QUALIFY pos <= 24)"""
@@ -204,8 +210,7 @@ floor_cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rpos)
 
 
 def question_vectors(t):
-    vectors_by_id = t("embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return asked(t).join(vectors_by_id, "query_id")
+    return asked(t).withColumn("embedding", letters(F.col("question")))
 
 
 def both_lists(t):
@@ -213,6 +218,14 @@ def both_lists(t):
     return dense.dense_topk(q, chunks(t)), lexical.bm25_topk(chunks(t), q.select("query_id", "question"))
 
 
+@query("dense_hits_with_documents", f"""
+WITH {NEAR_SQL}, {CORPUS_SQL} SELECT query_id, rank::BIGINT AS rank, document_id, title AS document_title, url AS document_url FROM near JOIN docs ON document_id = chunk_id""")
+def _(t):
+    found = dense.dense_topk(question_vectors(t), chunks(t))
+    told = dense.with_documents(found, chunks(t), documents(t))
+    return told.select("query_id", F.col("rank").cast("long"), "document_id", "document_title", "document_url")
+
+
 @query("reciprocal_rank_fusion", f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(rrf, 9) AS rrf FROM fused")
 def _(t):
     fused = fusion.reciprocal_rank_fusion(*both_lists(t))

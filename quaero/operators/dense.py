@@ -17,6 +17,8 @@ from quaero.operators.keyed import first_rows
 # Query vectors held by every task: checked before they are sent.
 MAX_BROADCAST_VALUES = 4_000_000
 QUERIES_PER_BLOCK = 1_024
+# Scores alike to so many places are ties: the last ones depend on the order in which products are summed.
+TIED = 12
 CHUNKS_PER_SHARD = 50_000
 
 
@@ -33,7 +35,7 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 def _best(query_ids, queries: np.ndarray, chunk_ids, chunks: np.ndarray, k: int) -> pd.DataFrame:
     """Each query's best ``k`` of these chunks, ties by chunk id."""
-    scores = queries @ chunks.T
+    scores = np.round(queries @ chunks.T, TIED)
     frames = []
     ids = np.asarray(chunk_ids)
     for query_id, row in zip(query_ids, scores):

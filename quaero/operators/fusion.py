@@ -21,27 +21,19 @@ Scorer = Callable[[Column, Column], Column]
 
 
 def reciprocal_rank_fusion(dense: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Both lists have (query_id, chunk_id, score, rank from 1); ranks add up as 1/(60+rank).
+    """Both lists have (query_id, chunk_id, score, rank from 1), a pair once; ranks add up as 1/(60+rank).
 
     Ties go to the better dense rank, then to the better lexical one.
     """
-    both = dense.select(
-        "query_id", "chunk_id", F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank"),
-        F.lit(None).cast("double").alias("lexical_score"), F.lit(None).cast("int").alias("lexical_rank"),
-    ).unionByName(
-        lexical.select(
-            "query_id", "chunk_id", F.lit(None).cast("double").alias("dense_score"),
-            F.lit(None).cast("int").alias("dense_rank"),
-            F.col("score").alias("lexical_score"), F.col("rank").alias("lexical_rank"),
-        )
+    near = dense.select(
+        "query_id", "chunk_id", F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank")
+    )
+    said = lexical.select(
+        "query_id", "chunk_id", F.col("score").alias("lexical_score"), F.col("rank").alias("lexical_rank")
     )
     point = lambda c: F.coalesce(1.0 / (RRF_CONSTANT + F.col(c)), F.lit(0.0))
-    return both.groupBy("query_id", "chunk_id").agg(
-        F.max("dense_score").alias("dense_score"),
-        F.max("lexical_score").alias("lexical_score"),
-        F.min("dense_rank").alias("dense_rank"),
-        F.min("lexical_rank").alias("lexical_rank"),
-    ).withColumn("rrf", point("dense_rank") + point("lexical_rank"))
+    both = near.join(said, ["query_id", "chunk_id"], "full")
+    return both.withColumn("rrf", point("dense_rank") + point("lexical_rank"))
 
 
 def candidates(fused: DataFrame, n: int = CANDIDATES) -> DataFrame:
