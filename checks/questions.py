@@ -13,22 +13,22 @@ from quaero.values import patterns, replies
 # Every customer asks one of these. Known results: intent, lists, present, job, mode, language,
 # institution, sector, relevant, reason, what is compared.
 EXAMPLES = [
-    ("Care este termenul pentru autorizația de construire?", "deadline", False, False, False, "deadline", "ro", None, None, True, "classifier_unavailable", "duration_days"),
-    ("Ce telefon are primăria?", "contact", False, False, False, "contact", "ro", None, None, True, "named_authority_and_service", None),
-    ("Există concursuri publice deschise acum?", "concurs", True, True, True, "list", "ro", None, None, True, "classifier_unavailable", None),
-    ("dar funcții deschise la sectorul Ciocana?", "concurs", True, True, True, "list", "ro", "ciocana", "ciocana", True, "sector_job_question", None),
-    ("What documents do I need to build a new house?", "general", False, False, False, "fact", "en", None, None, True, "classifier_unavailable", None),
-    ("Cine ești tu?", "general", False, False, False, "fact", "ro", None, None, False, "identity", None),
-    ("Vremea la Paris mâine dimineață", "general", False, False, False, "fact", "ro", None, None, False, "clear_offtopic", None),
-    ("Какие конкурсы открыты сейчас?", "concurs", False, True, True, "list", "ru", None, None, True, "classifier_unavailable", None),
-    ("Cum obțin certificatul de urbanism de la primărie?", "autorizatie", False, False, False, "howto", "ro", "dgaurf", None, True, "named_authority_and_service", None),
-    ("Cât costă certificatul de urbanism?", "autorizatie", False, False, False, "fact", "ro", "dgaurf", None, True, "classifier_unavailable", "fee"),
-    ("Date de contact pretura Botanica", "contact", False, False, False, "contact", "ro", "botanica", "botanica", True, "named_authority_and_service", None),
-    ("Ce posturi vacante sunt în sectorul Buiucani acum?", "concurs", True, True, True, "list", "ro", "buiucani", "buiucani", True, "sector_job_question", None),
-    ("Salut!", "general", False, False, False, "fact", "ro", None, None, False, "clear_offtopic", None),
-    ("How long does the building permit take?", "autorizatie", False, False, False, "howto", "en", None, None, True, "classifier_unavailable", "duration_days"),
-    ("Autorizație veche în centru, pretura unde este?", "autorizatie", False, False, False, "fact", "ro", "centru", "centru", True, "named_authority_and_service", None),
-    ("Sesizare despre gunoi la Râșcani", "general", False, False, False, "fact", "ro", "rascani", "rascani", True, "classifier_unavailable", None),
+    ("În cât timp primesc autorizația pentru un gard nou?", "deadline", False, False, False, "deadline", "ro", None, None, True, "classifier_unavailable", "duration_days"),
+    ("La ce telefon răspunde primăria?", "contact", False, False, False, "contact", "ro", None, None, True, "named_authority_and_service", None),
+    ("Există vreun concurs anunțat acum?", "concurs", True, True, True, "list", "ro", None, None, True, "classifier_unavailable", None),
+    ("dar posturi vacante la sectorul Botanica?", "concurs", False, True, True, "list", "ro", "botanica", "botanica", True, "sector_job_question", None),
+    ("What documents are required to build a garage?", "general", False, False, False, "fact", "en", None, None, True, "classifier_unavailable", None),
+    ("Cum te cheamă?", "general", False, False, False, "howto", "ro", None, None, False, "identity", None),
+    ("Vremea la Oslo duminică seara", "general", False, False, False, "fact", "ro", None, None, False, "clear_offtopic", None),
+    ("Есть конкурсы на службу сейчас?", "concurs", False, True, True, "list", "ru", None, None, True, "classifier_unavailable", None),
+    ("Cum ridic certificatul de urbanism de la primărie?", "autorizatie", False, False, False, "howto", "ro", "dgaurf", None, True, "named_authority_and_service", None),
+    ("Ce taxă are un certificat de urbanism?", "autorizatie", False, False, False, "fact", "ro", "dgaurf", None, True, "classifier_unavailable", "fee"),
+    ("Adresa și telefonul preturii Râșcani", "contact", False, False, False, "contact", "ro", "rascani", "rascani", True, "named_authority_and_service", None),
+    ("Ce posturi vacante are acum sectorul Râșcani?", "concurs", True, True, True, "list", "ro", "rascani", "rascani", True, "sector_job_question", None),
+    ("Bună ziua!", "general", False, False, False, "fact", "ro", None, None, False, "clear_offtopic", None),
+    ("How long until a building permit is issued?", "autorizatie", False, False, False, "howto", "en", None, None, True, "classifier_unavailable", "duration_days"),
+    ("Autorizația mea e pierdută, pretura Centru o reface?", "autorizatie", False, False, False, "fact", "ro", "centru", "centru", True, "named_authority_and_service", None),
+    ("Sesizare: felinar stins la Buiucani", "general", False, False, False, "fact", "ro", "buiucani", "buiucani", True, "classifier_unavailable", None),
 ]
 NAMES = "question intent lists present job mode language institution sector relevant reason compared".split()
 
@@ -106,12 +106,12 @@ def _(t):
 
 VACANCIES = "concurs pentru ocuparea funcției publice vacante anunț dosar specialist funcții publice vacante AVIZ CONCURS "
 SEARCHED = [r[0] for r in EXAMPLES]
-SEARCHED[1] = "date de contact telefon email adresă Ce telefon are primăria?"
-SEARCHED[2] = VACANCIES + "concursuri"
-SEARCHED[3] = "Pretura sectorului Ciocana concurs funcții vacante"
-SEARCHED[7] = VACANCIES + "Какие конкурсы открыты сейчас"
-SEARCHED[10] = "date de contact telefon email adresă Pretura sectorului Botanica botanica pretura"
-SEARCHED[11] = "Pretura sectorului Buiucani concurs funcții vacante"
+SEARCHED[1] = "date de contact telefon email adresă La ce telefon răspunde primăria?"
+SEARCHED[2] = VACANCIES + "vreun concurs anunțat"
+SEARCHED[3] = "Pretura sectorului Botanica concurs funcții vacante"
+SEARCHED[7] = VACANCIES + "конкурсы службу сейчас"
+SEARCHED[10] = "date de contact telefon email adresă Pretura sectorului Râșcani rascani pretura"
+SEARCHED[11] = "Pretura sectorului Râșcani concurs funcții vacante"
 
 
 @query("search_wording", f"WITH {examples_sql({'searched': SEARCHED})} SELECT query_id, searched FROM asked")
@@ -122,22 +122,22 @@ def _(t):
 
 
 ALTERNATIVES = [
-    "autorizație autorizatie|zile lucrătoare deadline|termenul autorizația construire",
-    "contact email|telefon primăria",
-    "funcție vacantă functii vacante|există concursuri publice deschise acum",
-    "pretura botanicaciocana|Pretura sectorului Ciocana|dar funcții deschise sectorul ciocana",
-    "documents need build new house",
-    "cine ești",
-    "vremea paris mâine dimineață",
-    "какие конкурсы открыты сейчас",
-    "dgaurf arhitecturădgaurf|DGAURF|cum obțin certificatul urbanism primărie",
-    "dgaurf arhitecturădgaurf|DGAURF|cât costă certificatul urbanism",
-    "telefon emailbotanica|sector buiucanibotanica|Pretura sectorului Botanica telefon email adresă|contact botanica pretura",
-    "pretura botanicabuiucani|Pretura sectorului Buiucani|posturi vacante sectorul buiucani acum",
-    "salut",
-    "autorizație autorizatie|long does building permit take",
-    "autorizatie permiscentru|sector botanicacentru|Pretura sectorului Centru|autorizație veche centru pretura unde",
-    "pretura sectorrascani|petiție petitierascani|Pretura sectorului Râșcani|sesizare gunoi râșcani",
+    "cât timp primesc autorizația gard nou",
+    "contact email|telefon răspunde primăria",
+    "funcție vacantă functii vacante|există vreun concurs anunțat acum",
+    "pretura buiucanibotanica|Pretura sectorului Botanica|dar posturi vacante sectorul botanica",
+    "documents required build garage",
+    "cum cheamă",
+    "vremea oslo duminică seara",
+    "есть конкурсы службу сейчас",
+    "dgaurf arhitecturădgaurf|DGAURF|cum ridic certificatul urbanism primărie",
+    "dgaurf arhitecturădgaurf|DGAURF|taxă certificat urbanism",
+    "contact emailrascani|pretura sectorrascani|Pretura sectorului Râșcani telefon email adresă|contact rascani pretura",
+    "pretura botanicarascani|Pretura sectorului Râșcani|posturi vacante acum sectorul râșcani",
+    "bună ziua",
+    "autorizație autorizatie|long until building permit issued",
+    "sector botanicacentru|Pretura sectorului Centru|autorizația mea pierdută pretura centru reface",
+    "pretura sectorbuiucani|petiție petitiebuiucani|Pretura sectorului Buiucani|sesizare felinar stins buiucani",
 ]
 
 
@@ -157,10 +157,10 @@ def _(t):
 
 
 TOPICS = [
-    "termenul|autorizația|construire", "telefon|primăria", "Există|concursuri|publice|deschise", "funcții|deschise|sectorul|Ciocana", "documents|build|house",
-    "", "Vremea|Paris|mâine|dimineață", "Какие|конкурсы|открыты|сейчас", "obțin|certificatul|urbanism|primărie",
-    "costă|certificatul|urbanism", "contact|pretura|Botanica", "posturi|vacante|sectorul|Buiucani", "Salut", "building|permit",
-    "Autorizație|veche|centru|pretura", "Sesizare|gunoi|Râșcani",
+    "primesc|autorizația", "telefon|răspunde|primăria", "Există|vreun|concurs|anunțat", "posturi|vacante|sectorul|Botanica",
+    "documents|required|build|garage", "cheamă", "Vremea|duminică|seara", "конкурсы|службу|сейчас", "ridic|certificatul|urbanism|primărie",
+    "certificat|urbanism", "Adresa|telefonul|preturii|Râșcani", "posturi|vacante|sectorul|Râșcani", "", "until|building|permit|issued",
+    "Autorizația|pierdută|pretura|Centru|reface", "Sesizare|felinar|stins|Buiucani",
 ]
 
 @query("topic_terms", f"WITH {examples_sql({'topics': TOPICS})} SELECT query_id, topics FROM asked")
@@ -245,14 +245,14 @@ def _(t):
 
 
 # Orders as turns of their customer's session: an opening about jobs, then short follow-ups.
-FOLLOW_UPS = ["Dar în sectorul Ciocana?", "What about Botanica?", "Dar ce acte sunt necesare?", "Există concursuri publice deschise acum?", "Are there job openings?"]
+FOLLOW_UPS = ["Dar în sectorul Centru?", "What about Buiucani?", "Dar unde se depune dosarul?", "Ce posturi vacante are primăria acum?", "Any job opening there?"]
 
 
 @query("follow_ups", f"""
 WITH m AS (SELECT o_custkey AS session_id, o_orderkey AS turn, o_orderkey % 5 AS k FROM orders),
 p AS (SELECT *, lag(k) OVER (PARTITION BY session_id ORDER BY turn) AS pk FROM m)
-SELECT session_id, turn, CASE WHEN k = 0 AND pk = 3 THEN 'Există concursuri publice deschise acum în sectorul Ciocana?' WHEN k = 0 AND pk = 4 THEN 'Există concursuri publice în sectorul Ciocana?'
-  WHEN k = 1 AND pk = 3 THEN 'What job openings are available now in Botanica sector?' WHEN k = 1 AND pk = 4 THEN 'What job openings are available in Botanica sector?'
+SELECT session_id, turn, CASE WHEN k = 0 AND pk = 3 THEN 'Există concursuri publice deschise acum în sectorul Centru?' WHEN k = 0 AND pk = 4 THEN 'Există concursuri publice în sectorul Centru?'
+  WHEN k = 1 AND pk = 3 THEN 'What job openings are available now in Buiucani sector?' WHEN k = 1 AND pk = 4 THEN 'What job openings are available in Buiucani sector?'
   ELSE ['{"', '".join(FOLLOW_UPS)}'][k + 1] END AS question FROM p""")
 def _(t):
     text = F.element_at(F.array(*[F.lit(x) for x in FOLLOW_UPS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
