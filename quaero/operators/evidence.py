@@ -570,17 +570,28 @@ def _link_words(links: DataFrame, split: bool) -> DataFrame:
     return parts[0].unionByName(parts[1]).filter(F.length("word") >= 4)
 
 
-def topic_scores(asked: DataFrame, links: DataFrame, split: bool = False) -> DataFrame:
-    """``(query_id, link_id, score)``: two points per word of the topic that the question holds."""
+def topic_scores(asked: DataFrame, links: DataFrame, split: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(_q, topic_id, score)``, two points per word of a topic that a question in lower case holds, and
+    ``(link_id, topic_id)``. Every distinct question and topic is scored once; a topic is named by its first link."""
+    named = links.groupBy("topic_ro", "topic_ru").agg(F.min("link_id").alias("topic_id"))
+    topics = named.withColumnRenamed("topic_id", "link_id")
+    said = asked.select(F.lower(T.text_or_empty("question")).alias("_q")).distinct()
+    found = contains_join(said, "_q", _link_words(topics, split), "word")
+    scores = found.groupBy("_q", F.col("link_id").alias("topic_id")).agg((F.count("*") * 2).alias("score"))
+    same = links["topic_ro"].eqNullSafe(named["topic_ro"]) & links["topic_ru"].eqNullSafe(named["topic_ru"])
+    return scores, links.join(named, same).select("link_id", "topic_id")
+
+
+def _best_topics(asked: DataFrame, scores: DataFrame) -> DataFrame:
+    """``(query_id, link_id, score)``: the best topic is chosen once per distinct question."""
     low = asked.select("query_id", F.lower(T.text_or_empty("question")).alias("_q"))
-    found = contains_join(low, "_q", _link_words(links, split), "word")
-    return found.groupBy("query_id", "link_id").agg((F.count("*") * 2).alias("score"))
+    best = first_rows(scores, ["_q"], [F.desc("score"), F.asc("topic_id")], 1)
+    return low.join(best, "_q").select("query_id", F.col("topic_id").alias("link_id"), "score")
 
 
 def topic_link(asked: DataFrame, links: DataFrame) -> DataFrame:
     """Each question's best topic link, if any of its words occur."""
-    best = topic_scores(asked, links).filter("score >= 2")
-    return first_rows(best, ["query_id"], [F.desc("score"), F.asc("link_id")], 1).join(links, "link_id")
+    return _best_topics(asked, topic_scores(asked, links)[0]).join(links, "link_id")
 
 
 def next_action(asked: DataFrame, links: DataFrame, evidence_urls: DataFrame) -> DataFrame:
@@ -589,15 +600,17 @@ def next_action(asked: DataFrame, links: DataFrame, evidence_urls: DataFrame) ->
     ``evidence_urls`` has (query_id, pos, url). A link that is itself evidence
     gains three points; it is found by its address, not by trying every link.
     """
-    spoken = topic_scores(asked, links, split=True)
+    scores, topic_of = topic_scores(asked, links, split=True)
     bare = F.rtrim("url", F.lit("/"))
+    low = asked.select("query_id", F.lower(T.text_or_empty("question")).alias("_q"))
     as_evidence = (
         evidence_urls.select("query_id", F.col("url").alias("_bare")).distinct()
         .join(links.filter("url is not null").select("link_id", bare.alias("_bare")), "_bare")
-        .select("query_id", "link_id", F.lit(3).cast("bigint").alias("score"))
+        .join(topic_of, "link_id").join(low, "query_id").join(scores, ["_q", "topic_id"], "left")
+        .select("query_id", "link_id", (F.coalesce("score", F.lit(0)) + 3).alias("score"))
     )
-    total = spoken.unionByName(as_evidence).groupBy("query_id", "link_id").agg(F.sum("score").alias("score"))
-    best = first_rows(total, ["query_id"], [F.desc("score"), F.asc("link_id")], 1).join(links, "link_id").select(
+    either = _best_topics(asked, scores).unionByName(as_evidence)
+    best = first_rows(either, ["query_id"], [F.desc("score"), F.asc("link_id")], 1).join(links, "link_id").select(
         "query_id",
         F.coalesce(F.nullif("contact_label", F.lit("")), F.col("topic_ro")).alias("label"),
         "url", F.col("contact_value").alias("contact"),
