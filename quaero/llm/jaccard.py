@@ -209,9 +209,18 @@ def least_shared(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b).cast("long") * percent / (100 + percent) - F.lit(1e-9))
 
 
-def _compatible(a: str, b: str) -> Column:
-    """Whether two classes may be similar by their sizes and what is known to be missing."""
-    return (F.col(f"{b}_n") <= F.col(f"{a}_most")) & (F.col(f"{a}_n") <= F.col(f"{b}_most"))
+def _largest(n: Column, missing: Column | int, percent: int) -> Column:
+    """The size of the largest set that may be similar to one of size ``n`` and lacks ``missing`` of its members."""
+    return F.floor((n - missing).cast("long") * (100 + percent) / percent - n + F.lit(1e-9))
+
+
+def _compatible(a: str, b: str, percent: int) -> Column:
+    """Whether two classes may be similar by their sizes and what is known to be missing: only a prefix that ends no sooner
+    shows what it lacks of the other, beyond the end of a shorter one its set may go on with the same members."""
+    fits = lambda x, y: F.col(f"{y}_n") <= F.when(
+        F.col(f"{y}_last") >= F.col(f"{x}_last"), F.col(f"{x}_most")
+    ).otherwise(_largest(F.col(f"{x}_n"), 0, percent))
+    return fits(a, b) & fits(b, a)
 
 
 def _side(classes: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -293,22 +302,23 @@ def links(docs: DataFrame, table: DataFrame, late: np.ndarray, size: int, percen
     """The classes, and links (a, b) between them that reach whatever a link reaches."""
     classes, counts = _classes(docs, table, late, size, percent)
     postings = stored(classes.select("class_id", F.explode("prefix").alias("key")).join(counts.select("key"), "key"), "postings")
-    # A shingle that no other prefix has is missing in every similar set, which bounds the size of those.
+    # A shingle that no other prefix has is missing in every set whose prefix does not end before this one's: those are at most
+    # of size ``most``.
     known = postings.groupBy("class_id").agg(F.count(F.lit(1)).alias("met"))
     missing = F.size("prefix") - F.col("met")
-    most = F.floor((F.col("n") - F.col("missing")).cast("long") * (100 + percent) / percent - F.col("n") + F.lit(1e-9))
+    most = _largest(F.col("n"), F.col("missing"), percent)
     sized = stored(
         classes.join(known, "class_id").withColumn("missing", missing).select(
             "class_id", "n", most.alias("most"), (F.col("missing") / F.col("n")).alias("odd"), F.element_at("prefix", -1).alias("last")
         ), "sized",
     )
     rows = stored(postings.join(sized, "class_id"), "rows")
-    best = F.min(F.struct("odd", "class_id", "n", "most")).alias("best")
+    best = F.min(F.struct("odd", "class_id", "n", "most", "last")).alias("best")
     centres = rows.groupBy("key").agg(best).select(
-        "key", F.col("best.class_id").alias("b"), F.col("best.n").alias("b_n"), F.col("best.most").alias("b_most")
+        "key", F.col("best.class_id").alias("b"), *[F.col(f"best.{c}").alias(f"b_{c}") for c in ("n", "most", "last")]
     )
-    around = rows.select("key", F.col("class_id").alias("a"), F.col("n").alias("a_n"), F.col("most").alias("a_most"))
-    stars = around.join(centres, "key").filter((F.col("a") != F.col("b")) & _compatible("a", "b"))
+    around = rows.select("key", F.col("class_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "most", "last")])
+    stars = around.join(centres, "key").filter((F.col("a") != F.col("b")) & _compatible("a", "b", percent))
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = stored(similar(stars, classes, docs, size, percent), "links")
     roots = components(first)
@@ -318,12 +328,15 @@ def links(docs: DataFrame, table: DataFrame, late: np.ndarray, size: int, percen
     grouped = stored(grouped.join(groups.select("grp", "members"), "grp"), "grouped")
     groups = stored(groups, "groups")
     placed = rows.select("key", "class_id").join(grouped, "class_id")
-    matrix = placed.groupBy("key", "grp", "members").agg(F.min("n").alias("min_n"), F.max("most").alias("max_most"))
-    matrix = matrix.select("key", F.col("grp").alias("g"), F.col("members").alias("g_members"), "min_n", "max_most")
+    matrix = placed.groupBy("key", "grp", "members").agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.max("most").alias("max_most"), F.min("last").alias("min_last"), F.max("last").alias("max_last"))
+    matrix = matrix.select("key", F.col("grp").alias("g"), F.col("members").alias("g_members"), "min_n", "max_n", "max_most", "min_last", "max_last")
+    # As in _compatible, for all members of a group that have the shingle.
+    reach = F.when(F.col("min_last") >= F.col("last"), F.col("most")).otherwise(_largest(F.col("n"), 0, percent))
+    g_reach = F.when(F.col("last") >= F.col("max_last"), F.col("max_most")).otherwise(_largest(F.col("max_n"), 0, percent))
     met = (
         placed.join(matrix, "key")
         .filter(F.struct("members", "grp") < F.struct("g_members", "g"))
-        .filter((F.col("min_n") <= F.col("most")) & (F.col("n") <= F.col("max_most")))
+        .filter((F.col("min_n") <= reach) & (F.col("n") <= g_reach))
         .select("class_id", "n", "g", "key").distinct()
         .join(groups.select(F.col("grp").alias("g"), "end", "g_n"), "g")
         .groupBy("class_id", "n", "g", "end", "g_n").agg(F.count_if(F.col("key") <= F.col("end")).alias("met"))
@@ -332,9 +345,9 @@ def links(docs: DataFrame, table: DataFrame, late: np.ndarray, size: int, percen
     absent = F.size(F.filter("prefix", lambda k: k <= F.col("end"))) - F.col("met")
     allowed = F.col("n") - least_shared(F.col("n"), F.col("g_n"), percent)
     opened = met.join(classes.select("class_id", "prefix"), "class_id").filter(absent <= allowed).select("class_id", "g")
-    queries = opened.join(_side(sized, "a", "n", "most"), F.col("class_id") == F.col("a")).drop("class_id")
-    members = grouped.select(F.col("grp").alias("g"), F.col("class_id").alias("b"), F.col("n").alias("b_n"), F.col("most").alias("b_most"))
-    pairs = queries.join(members, "g").filter(_compatible("a", "b")).select("a", "b").distinct()
+    queries = opened.join(_side(sized, "a", "n", "most", "last"), F.col("class_id") == F.col("a")).drop("class_id")
+    members = grouped.select(F.col("grp").alias("g"), F.col("class_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "most", "last")])
+    pairs = queries.join(members, "g").filter(_compatible("a", "b", percent)).select("a", "b").distinct()
     second = stored(similar(pairs, classes, docs, size, percent), "links")
     return classes, first.unionByName(second)
 

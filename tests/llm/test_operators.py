@@ -238,6 +238,23 @@ def test_jaccard_join_of_many_near_copies(spark, monkeypatch):
     assert collections.Counter(map(tuple, found)) == collections.Counter(components(texts))
 
 
+def test_jaccard_join_of_texts_inside_longer_ones(spark):
+    random = np.random.default_rng(4)
+    texts = []
+    for d in range(0, 1200, 2):
+        words = [f"w{d}x{i}" for i in range(random.integers(60, 160))]
+        similarity = random.uniform(0.85, 0.95)
+        more = [f"m{d}x{i}" for i in range(int((len(words) - 3) * (1 / similarity - 1)))]
+        cut = random.integers(0, len(more) + 1)
+        texts += [(d, " ".join(words)), (d + 1, " ".join(more[:cut] + words + more[cut:]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = jaccard.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()
+    # Only the two texts of a pair share words.
+    wanted = [row for d in range(0, 1200, 2) for row in components(texts[d : d + 2])]
+    assert sum(c != d for d, _, c in wanted) > 500
+    assert collections.Counter(map(tuple, found)) == collections.Counter(wanted)
+
+
 def repeated(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
