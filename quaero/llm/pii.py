@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaero.functions.text import let
 from quaero.llm.common import numbered
 
 # So many characters before and after a match are searched for context words.
@@ -72,19 +73,36 @@ def _passes(kind: Column, match: Column) -> Column:
     )
 
 
+def _beside(pieces: Column, i: Column) -> Column:
+    """The CONTEXT characters before match ``i`` of ``pieces`` (m, gap, next) and those after it, other matches among them.
+
+    A match has a character at least, so that CONTEXT neighbours reach as far; they are read only where a gap is shorter.
+    """
+    here = F.get(pieces, i)
+    near = lambda first, n: F.slice(pieces, first, n)
+    joined = lambda some, part: F.array_join(F.transform(some, part), "")
+    first = F.greatest(i - CONTEXT, F.lit(0))
+    back = joined(near(first + 1, i - first), lambda p: F.concat(F.right(p["gap"], F.lit(CONTEXT)), F.right(p["m"], F.lit(CONTEXT))))
+    on = joined(near(i + 2, F.lit(CONTEXT)), lambda p: F.concat(F.left(p["m"], F.lit(CONTEXT)), F.left(p["next"], F.lit(CONTEXT))))
+    full = lambda gap: F.length(gap) >= CONTEXT
+    before = F.when(full(here["gap"]), here["gap"]).otherwise(F.concat(back, here["gap"]))
+    after = F.when(full(here["next"]), here["next"]).otherwise(F.concat(here["next"], on))
+    return F.concat_ws(" ", F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT)))
+
+
 def _matches(text: Column, number: int, kind: Kind) -> Column:
-    """kind_no, i, gap (characters since the last match), match, before, after: all matches of one pattern."""
+    """kind_no, i, gap (characters since the last match), match, beside: all matches of one pattern."""
     gaps = F.split(text, kind.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("gap"), F.slice(gaps, 2, F.size(found)).alias("next"))
-    each = F.transform(
-        pieces,
+    each = let(pieces, lambda all_: F.transform(
+        all_,
         lambda p, i: F.struct(
             F.lit(number).alias("kind_no"), i.alias("i"), F.length(p["gap"]).cast("long").alias("gap"), p["m"].alias("match"),
-            F.right(p["gap"], F.lit(CONTEXT)).alias("before"), F.left(p["next"], F.lit(CONTEXT)).alias("after"),
+            _beside(all_, i).alias("beside"),
         ),
-    )
-    none = F.array().cast("array<struct<kind_no:int,i:int,gap:bigint,match:string,before:string,after:string>>")
+    ))
+    none = F.array().cast("array<struct<kind_no:int,i:int,gap:bigint,match:string,beside:string>>")
     present = F.contains(text, F.lit(kind.needs)) if kind.needs else F.lit(True)
     return F.when(present & text.rlike("[0-9@]") & text.rlike(kind.pattern), each).otherwise(none)
 
@@ -105,7 +123,7 @@ def spans(docs: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
     flat = found.select("row_id", "doc_id", "m.*").repartition("row_id")
     so_far = F.sum(F.col("gap") + F.length("match")).over(W.partitionBy("row_id", "kind_no").orderBy("i"))
     placed = flat.withColumn("end", so_far).withColumn("kind", F.get(names, F.col("kind_no")))
-    beside = F.lower(F.concat_ws(" ", "before", "after"))
+    beside = F.lower("beside")
     named = F.lit(False)
     for kind in kinds:
         named = F.when(F.col("kind") == kind.name, beside.rlike(kind.words)).otherwise(named)
@@ -155,18 +173,17 @@ def redact(docs: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
 
 
 def _redacted(text: Column, kind: Kind) -> Column:
-    def mask(match, before, after):
+    def mask(match, beside):
         sure = _passes(F.lit(kind.name), match)
         if not kind.base and kind.name != "iban":
-            beside = F.concat_ws(" ", F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT)))
             sure &= F.lower(beside).rlike(kind.words)
         return F.when(sure, F.lit(f"[{kind.name.upper()}]")).otherwise(match)
 
     gaps = F.split(text, kind.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.arrays_zip(found.alias("m"), gaps.alias("gap"), F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))).alias("next"))
-    masked = F.transform(
-        pieces, lambda p: F.concat(p["gap"], F.when(p["m"].isNotNull(), mask(p["m"], p["gap"], p["next"])).otherwise(""))
-    )
+    masked = let(pieces, lambda all_: F.transform(
+        all_, lambda p, i: F.concat(p["gap"], F.when(p["m"].isNotNull(), mask(p["m"], _beside(all_, i))).otherwise(""))
+    ))
     needs = F.contains(text, F.lit(kind.needs)) if kind.needs else F.lit(True)
     return F.when(needs & text.rlike("[0-9@]") & text.rlike(kind.pattern), F.array_join(masked, "")).otherwise(text)

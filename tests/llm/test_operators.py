@@ -255,6 +255,28 @@ def test_jaccard_join_of_texts_inside_longer_ones(spark):
     assert collections.Counter(map(tuple, found)) == collections.Counter(wanted)
 
 
+def test_personal_data_in_lists(spark):
+    rows = [f"{n:03}-{n % 90 + 10}-{n + 4000}" for n in range(100, 140)]
+    texts = [
+        "SSN list: 123-45-6789, 987-65-4321, 222-33-4444", "123-45-6789; 987-65-4321; 222-33-4444 (ssn)", ", ".join(["ssn", *rows]),
+        "ssn" + "1-" * 20 + "é 123-45-6789", "123-45-6789 " + "\U0001f600" * 40 + "ssn", "ssn " + "x " * 17 + "\U0001f600 123-45-6789",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted, masked = {}, {}
+    for d, text in enumerate(texts):
+        found = [
+            m for m in re.finditer("[0-9]{3}-[0-9]{2}-[0-9]{4}", text)
+            if re.search(r"\bssn\b", f"{text[max(0, m.start() - 40) : m.start()]} {text[m.end() : m.end() + 40]}".lower())
+        ]
+        wanted[d] = ",".join(f"ssn:{m.start()}:{m.end()}" for m in found)
+        for m in reversed(found):
+            text = text[: m.start()] + "[SSN]" + text[m.end() :]
+        masked[d] = text
+    assert [w.count("ssn") for w in wanted.values()] == [3, 3, 3, 0, 0, 1]
+    assert {r.doc_id: r.spans for r in pii.digest(docs).collect()} == wanted
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == masked
+
+
 def repeated(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
