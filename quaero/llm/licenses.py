@@ -1,8 +1,9 @@
-"""License scan: an exact set-similarity join of text blocks (lines) with license templates.
+"""License scan: an exact set-similarity join of text blocks (lines, and runs of words over them) with license templates.
 
 Tokens are ordered by their count in the whole corpus, rarest first. A block that holds at least ``threshold`` of a template's
 tokens must share one of the template's first tokens (prefix filter), have enough tokens (length filter), and have enough of
-them left at the shared token in either list (positional filter); what passes is counted exactly.
+them left at the shared token in either list (positional filter); what passes is counted exactly. Texts that hold enough of a
+template's tokens at all are also read in runs of twice the template's words, whatever lines these stand in.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaero.functions.text import let
 from quaero.llm.common import ascii_lower, ascii_words, numbered
 
 # The phrases of the base labels and sentences of public license notices.
@@ -34,8 +36,12 @@ TEMPLATES = [
 ]
 
 
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
 def template_tokens(text: str) -> list[str]:
-    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())))
+    return sorted(set(template_words(text)))
 
 
 def needed(size: int, threshold: float) -> int:
@@ -83,13 +89,31 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.when((last >= 0) & F.array_contains(words, parts[-1]), spots).otherwise(F.array().cast("array<int>"))
 
 
+def in_runs(words: Column, held: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """label, part of each template of which a run of twice its words holds ``threshold`` of the tokens; ``held`` are the
+    template tokens among ``words``."""
+
+    def one(label: str, text: str) -> Column:
+        tokens = template_tokens(text)
+        known = F.array(*[F.lit(t) for t in tokens])
+        shared = lambda i: F.size(F.array_intersect(F.slice(words, i + 1, 2 * len(template_words(text))), known))
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(known, F.get(words, i)))
+        need = needed(len(tokens), threshold)
+        found = let(F.array_max(F.transform(starts, shared)), lambda n: F.when(n >= need, F.struct(F.lit(label).alias("label"), (n / len(tokens)).alias("part"))))
+        return F.when(F.size(F.array_intersect(held, known)) >= need, found)
+
+    found = F.array(*[one(label, text) for label, text in templates]).cast("array<struct<label:string,part:double>>")
+    return F.array_compact(found)
+
+
 def scan(
     docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8
 ) -> DataFrame:
-    """One row per document: phrase places, labels and the best containment of a template in one of its lines.
+    """One row per document: phrase places, labels and the best containment of a template in one of its lines or runs.
 
     docs: doc_id, text; other columns are not read. Null and empty texts have no words: counts 0, no places, empty labels,
-    score 0. A document with a phrase scores 1, one with a template the largest part of a template's tokens found in a line.
+    score 0. A document with a phrase scores 1, one with a template the largest part of a template's tokens found in a line
+    or a run.
     Repeated rows give a row each; an empty table gives none.
     """
     spark = docs.sparkSession
@@ -110,6 +134,7 @@ def scan(
     based = line_words(docs).select(
         "row_id", "doc_id", "lines", F.size("words").cast("long").alias("n_words"),
         *[phrase_starts(F.col("words"), p).alias(c) for p, c in places.items()],
+        let(F.array_intersect("words", ordered), lambda held: in_runs(F.col("words"), held, templates, threshold)).alias("runs"),
     )
     every = F.flatten(F.array(*[F.col(c) for c in places.values()]))
     labels = F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(phrases[p])) for p, c in places.items()]))
@@ -117,8 +142,9 @@ def scan(
         "row_id", "doc_id", "lines", "n_words", F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(labels)).alias("base_labels"),
+        F.array_sort(F.array_distinct(F.col("runs.label"))).alias("run_labels"), F.array_max("runs.part").alias("run_part"),
     )
-    doc = ["row_id", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    doc = ["row_id", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "run_labels", "run_part"]
     blocks = based.select(*doc, F.posexplode_outer("lines").alias("line", "words")).select(
         *doc, "line", F.when(F.size("words") >= least, F.array_distinct("words")).alias("block")
     )
@@ -140,7 +166,7 @@ def scan(
         .agg(F.collect_set("label").alias("found"), F.max("part").alias("part"))
         .select(
             "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
-            F.array_join(F.array_sort(F.array_union("base_labels", "found")), ",").alias("labels"),
-            F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("part", F.lit(0.0))).alias("score"),
+            F.array_join(F.array_sort(F.array_union(F.array_union("base_labels", "run_labels"), "found")), ",").alias("labels"),
+            F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.greatest("part", "run_part"), F.lit(0.0))).alias("score"),
         )
     )

@@ -3,6 +3,7 @@ numbers, columns whose names the operators use themselves; and on an empty table
 
 import collections
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from checks.compare import rows_of
-from quaero.llm import encoding, jaccard, packing, pii, quality, queries, sharding, sql, token_files, toxicity
+from quaero.llm import encoding, jaccard, licenses, packing, pii, quality, queries, sharding, sql, token_files, toxicity
 
 BASE = " ".join(f"word{i % 57}x{i % 7} tail{i}" for i in range(60))
 PASSAGE = "the quiet harbour lights shine over seven wooden boats while gulls sleep near old ropes"
@@ -277,6 +278,18 @@ def test_personal_data_in_lists(spark):
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == masked
 
 
+@pytest.mark.parametrize("width", [12, 30, 60])
+def test_license_notices_over_several_lines(spark, width):
+    filler = "some other words of the file stand here"
+    texts = [f"{filler}\n * " + "\n * ".join(textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False)) + f"\n{filler}" for _, t in licenses.TEMPLATES]
+    far = f"\n{filler} {filler} {filler} {filler}\n".join(licenses.TEMPLATES[2][1].split())
+    docs = spark.createDataFrame(list(enumerate([*texts, far, filler])), "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in found[i].labels.split(",") and found[i].score == 1
+    assert [(found[i].labels, found[i].score) for i in (len(texts), len(texts) + 1)] == [("", 0), ("", 0)]
+
+
 def repeated(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
