@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaero.llm import decontamination, jaccard, licenses, packing, pii, quality, sharding, sql, token_counts, token_files, toxicity
+from quaero.llm import (
+    decontamination, jaccard, licenses, packing, periodic_runs, pii, quality, sharding, simhash, sql, token_counts, token_files, toxicity,
+)
 from quaero.llm.common import read_documents, read_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +73,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.with_planted_runs(read_documents(spark, sf_dir)))
+
+
+@query("op13_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_documents(spark, sf_dir))
