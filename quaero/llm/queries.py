@@ -39,7 +39,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_sharding", sql.SHARDING)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(read_documents(spark, sf_dir))
+    return sharding.shard(read_documents(spark, sf_dir), sharding.QUERY_BYTES)
 
 
 @query("op6_pii", sql.PII)

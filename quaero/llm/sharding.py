@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quaero.llm.common import small, stored
 
 SHARD_BYTES = 64 * 1024 * 1024
+# The limit of the registered query: small enough that the buckets of small tables are split, too.
+QUERY_BYTES = 256 * 1024
 # The hash has 128 bits. Sums are kept for cells of so many bits more than the directory is expected to need.
 HASH_BITS, FINER = 128, 6
 

@@ -72,23 +72,25 @@ _BITS = " || ".join(f"lpad(bin(CAST('0x' || substr(h, {at}, 8) AS BIGINT)), 32,
 
 def sharding_sql(limit: int) -> str:
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest FROM documents),
 c AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, digest,
              row_number() OVER (PARTITION BY doc_id, digest) - 1 AS copy FROM d),
 h AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || digest || '|' || copy) AS h FROM c),
-b AS (SELECT row_number() OVER () AS r, doc_id, copy, n_bytes, {_BITS} AS bits FROM h),
-each AS (SELECT b.*, unnest(range(0, 129)) AS depth FROM b),
-s AS (SELECT r, doc_id, copy, n_bytes, substr(bits, 1, depth) AS shard, depth FROM each),
-sums AS (SELECT depth, shard, sum(n_bytes) AS shard_bytes, count(*) AS shard_rows FROM s GROUP BY ALL),
-first AS (SELECT r, min(depth) AS depth FROM s JOIN sums USING (depth, shard)
-          WHERE shard_bytes <= {limit} OR shard_rows = 1 GROUP BY r)
-SELECT doc_id, CAST(copy AS BIGINT) AS copy, n_bytes, shard, CAST(depth AS INT) AS depth,
+b AS (SELECT doc_id, copy, n_bytes, {_BITS} AS bits FROM h),
+level AS (
+  SELECT *, 0 AS depth, sum(n_bytes) OVER () AS shard_bytes, count(*) OVER () AS shard_rows FROM b
+  UNION ALL
+  SELECT doc_id, copy, n_bytes, bits, depth + 1, sum(n_bytes) OVER (PARTITION BY left(bits, depth + 1)),
+         count(*) OVER (PARTITION BY left(bits, depth + 1))
+  FROM level WHERE shard_bytes > {limit} AND shard_rows > 1 AND depth < 128
+)
+SELECT doc_id, CAST(copy AS BIGINT) AS copy, n_bytes, left(bits, depth) AS shard, CAST(depth AS INT) AS depth,
        CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_rows
-FROM s JOIN first USING (r, depth) JOIN sums USING (depth, shard)
+FROM level WHERE shard_bytes <= {limit} OR shard_rows = 1 OR depth = 128
 """
 
 
-SHARDING = sharding_sql(sharding.SHARD_BYTES)
+SHARDING = sharding_sql(sharding.QUERY_BYTES)
 
 _PLAIN = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", ""),
@@ -101,7 +103,6 @@ _PLAIN = [
 _MATCHES = " UNION ALL ".join(
     f"SELECT r, {k} AS kind_no, '{name}' AS kind, unnest(regexp_extract_all(text, '{pattern}')) AS m, "
     f"unnest(regexp_split_to_array(text, '{pattern}')) AS gap, "
-    f"unnest(list_slice(regexp_split_to_array(text, '{pattern}'), 2, 1000000000)) AS next, "
     f"generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) AS i FROM d"
     for k, (name, pattern, _) in enumerate(_PLAIN)
 )
@@ -120,13 +121,14 @@ _MOD97 = (
 PII = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 m AS (SELECT * FROM ({_MATCHES}) WHERE m IS NOT NULL),
-placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY r, kind_no ORDER BY i) AS e FROM m),
+ends AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY r, kind_no ORDER BY i) AS BIGINT) AS e FROM m),
+placed AS (SELECT ends.*, text FROM ends JOIN d USING (r)),
 kept AS (SELECT r, kind_no, kind, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM placed WHERE CASE kind
   WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'), lambda p: TRY_CAST(p AS HUGEINT))) <= 255
   WHEN 'card' THEN length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}
   WHEN 'phone' THEN length({_DIGITS}) BETWEEN 8 AND 15
   WHEN 'iban' THEN {_MOD97}
-  WHEN 'ssn' THEN regexp_matches(lower(right(gap, 40) || ' ' || left(next, 40)), '{_PLAIN[5][2]}')
+  WHEN 'ssn' THEN regexp_matches(lower(right(left(text, e - length(m)), 40) || ' ' || substr(text, e + 1, 40)), '{_PLAIN[5][2]}')
   ELSE true END),
 per AS (SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
   count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
