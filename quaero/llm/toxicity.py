@@ -11,9 +11,11 @@ import functools
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -85,7 +87,11 @@ class Matcher:
                 else:
                     hits.append((end - size + 1, end, weight))
         if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
+            # Both lists come by their ends: of the exceptions that end no sooner than a hit, the first start is what counts.
+            ends = [b for _, b in spared]
+            first = list(accumulate((a for a, _ in reversed(spared)), min))[::-1]
+            behind = [bisect_left(ends, end) for _, end, _ in hits]
+            hits = [h for h, k in zip(hits, behind) if k == len(ends) or h[0] < first[k]]
         best: dict[int, float] = {}
         for start, _, weight in hits:  # of the entries that begin at one word, the heaviest counts
             best[start] = max(weight, best.get(start, 0.0))
