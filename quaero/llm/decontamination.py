@@ -114,11 +114,15 @@ def find_phrases(docs: DataFrame, items: DataFrame, window: int = 10, rare: int
         )
     )
     others = rare_words.filter("rank > 1").select("window_id", "rank", "term", F.col("off").alias("other_off"))
-    lists = index.filter("term is not null").select("row_id", "term", F.col("pos").alias("other_pos"))
-    shift = F.col("other_pos") - F.col("start") - F.col("other_off")
-    wanted = found.join(small(others), "window_id")
+    # Postings are met by cells of positions, so that a word that fills a document does not meet all its own places.
+    cell = lambda position: F.floor(position / (2 * slop + 1))
+    lists = index.filter("term is not null").select("row_id", "term", cell(F.col("pos")).alias("cell"), F.col("pos").alias("other_pos"))
+    place = F.col("start") + F.col("other_off")
+    shift = F.col("other_pos") - place
+    cells = F.explode(F.array_distinct(F.array(cell(place - slop), cell(place + slop)))).alias("cell")
+    wanted = found.join(small(others), "window_id").select("*", cells)
     agreeing = (
-        wanted.join(lists, ["row_id", "term"])
+        wanted.join(lists, ["row_id", "term", "cell"])
         .filter(F.abs(shift) <= slop)
         .groupBy("row_id", "window_id", "start", "len", "ranks", "same", "rank")
         .agg(F.max(shift == 0).alias("in_place"))
