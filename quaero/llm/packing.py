@@ -115,11 +115,12 @@ def pieces(docs: DataFrame, capacity: int, path: str) -> DataFrame:
     )
 
 
-def numbered_within_length(cut: DataFrame, total: int) -> DataFrame:
+def numbered_within_length(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
     """``cut`` with ``k``, the number of a piece among those of its length, from 0. No length meets in one task: pieces are
-    numbered within lots by a hash, and the lots' sizes are added up."""
-    lots = max(1, total // LOT)
-    spread = cut.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lots)))
+    numbered within lots of about LOT by a hash, and the lots' sizes are added up. ``counts``: the pieces of each length."""
+    many = [F.lit(x) for length, n in counts.items() if n > LOT for x in (length, -(-n // LOT))]
+    lots = F.coalesce(F.try_element_at(F.create_map(*many), "length"), F.lit(1)) if many else F.lit(1)
+    spread = cut.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), lots))
     sizes = spread.groupBy("length", "lot").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("lot").rowsBetween(W.unboundedPreceding, -1))
     bases = sizes.select("length", "lot", F.coalesce(before, F.lit(0)).alias("base"))
@@ -151,5 +152,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return map_batches(numbered_within_length(cut, sum(counts.values())).select("doc_id", "piece", "start", "length", "ids_crc32", "k"), assign, f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+    return map_batches(numbered_within_length(cut, counts).select("doc_id", "piece", "start", "length", "ids_crc32", "k"), assign, f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     )
