@@ -131,13 +131,14 @@ def statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
 def with_statistics(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with the counts as a structure ``name``; the other columns do not pass through Python."""
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-
     @F.pandas_udf(", ".join(f"{c} bigint" for c in BASE + MORE))
     def measure(texts: pd.Series) -> pd.DataFrame:
-        plain = [t or "" for t in texts]
-        counts = _measured([t.encode() for t in plain], [len(t) for t in plain])
-        return pd.DataFrame(dict(zip(BASE + MORE, counts, strict=True)))
+        parts = []
+        for at in range(0, len(texts), ROWS):
+            plain = [t or "" for t in texts.iloc[at : at + ROWS]]
+            counts = _measured([t.encode() for t in plain], [len(t) for t in plain])
+            parts.append(pd.DataFrame(dict(zip(BASE + MORE, counts, strict=True))))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=BASE + MORE, dtype="int64")
 
     return docs.withColumn(name, measure("text"))
 
