@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows that a task takes at a time, so that its memory does not follow the size of Spark's batches.
 ROWS = 500
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a job of ours runs, Spark hands out batches of ROWS rows; then the session's own setting holds again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow``; Spark holds its batches under 64 MB, and ``function`` goes through them in slices of ROWS rows."""
     return df.mapInArrow(function, schema)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaero.llm.arrow import small_batches
 from quaero.session import shared_folder
 
 # Letters, digits and everything beyond ASCII; the rest separates words.
@@ -49,7 +50,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps neither repeat it nor depend on one executor."""
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    with small_batches(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

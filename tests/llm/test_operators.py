@@ -373,3 +373,16 @@ def test_pipeline(spark, hard, tokenizer):
     check_packed(stage["best_fit_packing"](spark, masked, hard).collect(), 2048)
     whole = corpus_pipeline.run(spark, hard)
     assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in clean.collect()}
+
+
+def test_token_files_rank_ids_over_all_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(f"k{i:02}", "the " * i + "rare" * (i % 3)) for i in range(40)], "doc_id string, text string")
+    token_files.write_files(docs, str(tmp_path / "files"))
+    table = np.frombuffer(spark.read.parquet(str(tmp_path / "files/ranks")).first().ids, "<u4")
+    rows = token_files.read_files(spark, str(tmp_path / "files")).collect()
+    counts = collections.Counter()
+    one = encoding.encoder(encoding.tokenizer_path())
+    for r in docs.collect():
+        counts.update([*next(iter(one.encode([r.text.encode()]))).tolist(), token_files.END])
+    assert [counts[i] for i in table.tolist()] == sorted(counts.values(), reverse=True)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
