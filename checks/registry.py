@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,17 @@ from quaero.sources.tables import read_table
 # Tables of texts and what tells their rows apart.
 TEXTS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 
+@dataclass(frozen=True)
+class Reader:
+    """The tables of a folder by name."""
+
+    spark: SparkSession
+    folder: str
+
+    def __call__(self, table: str) -> DataFrame:
+        return read_table(self.spark, self.folder, table, TEXTS.get(table, ()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -23,7 +35,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-            return fn(lambda table: read_table(spark, sf_dir, table, TEXTS.get(table, ())))
+            return fn(Reader(spark, sf_dir))
 
         QUERIES[name] = run
         if sql:

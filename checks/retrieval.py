@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from checks.text import WORDS, overlap_sql, tokens_sql
 from quaero.operators import dense, fusion, lexical, lookup
 from quaero.operators.vector_aggregates import avg_vectors
 from quaero.plans import search
-from quaero.session import cut_lineage
+from quaero.plans.store import SearchIndex
+from quaero.session import cut_lineage, shared_folder
 from quaero.sources.tables import search_log_rows
 
 TODAY = datetime.date(2026, 9, 27)
@@ -47,6 +49,27 @@ def chunks(t):
     )
 
 
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def stored_index(t) -> SearchIndex:
+    """The stored index of the chunks, written once per session and folder of tables; chunks of a language share cells."""
+    key = t.spark.sparkContext.applicationId, t.folder
+    if key not in _INDEXES:
+        path = f"{shared_folder(t.spark).rstrip('/')}/search-index-{uuid.uuid4().hex}"
+        index = SearchIndex(t.spark, path)
+        rows = t("documents").select(
+            F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), letters(F.col("text")).alias("embedding"), "lang"
+        )
+        index.change(rows, cluster=F.col("lang"))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+def corpus_of(t) -> search.Corpus:
+    return search.Corpus(documents(t), chunks(t), index=stored_index(t))
+
+
 def asked(t):
     return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
@@ -126,10 +149,20 @@ said AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM said")
 def _(t):
-    found = lexical.bm25_topk(chunks(t), asked(t))
+    """From the stored index, as the next ones."""
+    return ranked(stored_index(t).words.bm25_topk(asked(t)))
+
+
+def ranked(found):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
+@query("bm25_topk_direct", f"WITH {BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM said")
+def _(t):
+    """From the texts, without an index."""
+    return ranked(lexical.bm25_topk(chunks(t), asked(t)))
+
+
 # All words of a query must stand in the chunk; shortest stretches by the last place of each word.
 COVER_SQL = f"""{PARTS_SQL},
 need AS (SELECT DISTINCT query_id, unnest(ws) AS term, unnest(ws) AS operand FROM qwords),
@@ -141,20 +174,25 @@ lasts AS (SELECT o.query_id, o.chunk_id, o.pos AS e, x.operand, max(x.pos) AS la
   JOIN occ x ON x.query_id = o.query_id AND x.chunk_id = o.chunk_id AND x.pos <= o.pos GROUP BY ALL),
 ends AS (SELECT query_id, chunk_id, e, min(last) AS b FROM lasts JOIN wanted USING (query_id) GROUP BY query_id, chunk_id, e, operands HAVING count(*) = operands),
 cover AS (SELECT query_id, chunk_id, b, min(e) AS e FROM ends GROUP BY ALL),
-sized AS (SELECT c.query_id, c.chunk_id, b, e, count(DISTINCT x.pos) AS inside FROM cover c JOIN occ x ON x.query_id = c.query_id AND x.chunk_id = c.chunk_id AND x.pos BETWEEN b AND e GROUP BY ALL)
-SELECT query_id, chunk_id, round(sum(0.4 / (1 + greatest(0, (e - b) - (inside - 1)))), 6) AS score FROM sized GROUP BY ALL"""
+sized AS (SELECT c.query_id, c.chunk_id, b, e, count(DISTINCT x.pos) AS inside FROM cover c JOIN occ x ON x.query_id = c.query_id AND x.chunk_id = c.chunk_id AND x.pos BETWEEN b AND e GROUP BY ALL),
+covered AS (SELECT query_id, chunk_id, sum(0.4 / (1 + greatest(0, (e - b) - (inside - 1)))) AS score FROM sized GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::BIGINT AS rank
+FROM covered QUALIFY rank <= 18"""
 
 
 @query("lexical_topk", f"WITH {COVER_SQL}")
 def _(t):
-    found = lexical.lexical_topk(chunks(t), asked(t), k=1_000_000)
-    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return ranked(stored_index(t).words.lexical_topk(asked(t)))
 
 
 @query("lexical_topk_plain", f"WITH {COVER_SQL}")
 def _(t):
-    found = lexical.lexical_topk(chunks(t), asked(t), k=1_000_000, plain=True)
-    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return ranked(stored_index(t).words.lexical_topk(asked(t), plain=True))
+
+
+@query("lexical_topk_direct", f"WITH {COVER_SQL}")
+def _(t):
+    return ranked(lexical.lexical_topk(chunks(t), asked(t)))
 
 
 @query("phrase_matches", f"""
@@ -241,8 +279,7 @@ def _(t):
 @query("hybrid_search", f"""
 WITH {RERANK_SQL} SELECT query_id, final_pos::BIGINT AS pos, chunk_id, round(rerank_score, 6) AS rerank_score FROM floor_cut""")
 def _(t):
-    corpus = search.Corpus(documents(t), chunks(t))
-    found = search.hybrid_search(corpus, question_vectors(t), any_word=True)
+    found = search.hybrid_search(corpus_of(t), question_vectors(t), any_word=True)
     return found.select("query_id", F.col("pos").cast("long"), "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
@@ -250,16 +287,20 @@ def _(t):
 WITH {RERANK_SQL} SELECT query_id, final_pos::BIGINT AS pos, document_id, title AS document, url, md5(substr(content, 1, 600)) AS quote
 FROM floor_cut JOIN docs ON document_id = chunk_id""")
 def _(t):
-    corpus = search.Corpus(documents(t), chunks(t))
-    shown = lookup.hit_view(search.hybrid_search(corpus, question_vectors(t), any_word=True))
+    shown = lookup.hit_view(search.hybrid_search(corpus_of(t), question_vectors(t), any_word=True))
     return shown.select("query_id", F.col("pos").cast("long"), "document_id", "document", "url", F.md5("quote").alias("quote"))
 
 
-@query("hybrid_search_all_words")
+ALL_WORDS_SQL = RERANK_SQL.replace(BM25_SQL, COVER_SQL[: COVER_SQL.rindex("SELECT query_id, chunk_id, round(score, 6)")] + """,
+said AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM covered QUALIFY rank <= 18)""")
+
+
+@query("hybrid_search_all_words", f"""
+WITH {ALL_WORDS_SQL} SELECT query_id, final_pos::BIGINT AS pos, chunk_id, round(rerank_score, 6) AS rerank_score FROM floor_cut""")
 def _(t):
     """The default: words must all match."""
-    corpus = search.Corpus(documents(t), chunks(t))
-    return search.hybrid_search(corpus, question_vectors(t)).select("query_id", "pos", "chunk_id", "rerank_score")
+    found = search.hybrid_search(corpus_of(t), question_vectors(t))
+    return found.select("query_id", F.col("pos").cast("long"), "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query("merged_hits", f"""
@@ -275,8 +316,7 @@ def _(t):
 WITH {RERANK_SQL}, n AS (SELECT query_id, count(*) AS n FROM floor_cut GROUP BY 1)
 SELECT query_id, question AS query, 'ro' AS language, coalesce(n, 0)::BIGINT AS result_count FROM qv LEFT JOIN n USING (query_id)""")
 def _(t):
-    corpus = search.Corpus(documents(t), chunks(t))
-    found = search.hybrid_search(corpus, question_vectors(t), any_word=True)
+    found = search.hybrid_search(corpus_of(t), question_vectors(t), any_word=True)
     rows = search_log_rows(question_vectors(t).select("query_id", "question"), found, F.current_timestamp())
     return rows.select("query_id", "query", "language", "result_count")
 

@@ -55,7 +55,7 @@ def _best(query_ids, queries: np.ndarray, chunk_ids, chunks: np.ndarray, k: int)
 SCORED = "query_id long, chunk_id long, score double"
 
 
-def _rank(scored: DataFrame, k: int, rank: str = "rank") -> DataFrame:
+def first_by_score(scored: DataFrame, k: int, rank: str = "rank") -> DataFrame:
     return first_rows(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, rank)
 
 
@@ -73,15 +73,15 @@ def dense_topk(
     ``queries`` has (query_id, embedding), ``chunks`` (chunk_id, embedding);
     rows without a usable vector are left out, and a query meets the chunks of
     its own width. A query batch of a checked size
-    goes to every task, which gives out only its k best per query and Arrow
-    batch, so the corpus itself is never shuffled. A larger batch is cut into
+    goes to every task, which gives out only its k best per query, so the
+    corpus itself is never shuffled. A larger batch is cut into
     blocks, the corpus into shards, and each block meets each shard once.
     """
     known = queries.select("query_id", "embedding").filter(F.size("embedding") > 0)
     corpus = chunks.select("chunk_id", "embedding").filter(F.size("embedding") > 0)
     fitting = _fits(known, broadcast_values)
     if fitting is None:
-        return _rank(_blockwise(known, corpus, k), k)
+        return first_by_score(_blockwise(known, corpus, k), k)
     by_width: dict[int, list] = {}
     for row in fitting:
         by_width.setdefault(len(row["embedding"]), []).append(row)
@@ -93,13 +93,20 @@ def dense_topk(
     )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: pd.DataFrame | None = None
         for batch in batches:
+            found = [] if kept is None else [kept]
             for ids, q in held.value if len(batch) else ():
                 chunk_rows = _matrix(batch["embedding"], q.shape[1])
                 for at in range(0, len(ids), QUERIES_PER_BLOCK):
-                    yield _best(ids[at : at + QUERIES_PER_BLOCK], q[at : at + QUERIES_PER_BLOCK], batch["chunk_id"], chunk_rows, k)
+                    found.append(_best(ids[at : at + QUERIES_PER_BLOCK], q[at : at + QUERIES_PER_BLOCK], batch["chunk_id"], chunk_rows, k))
+            found = [f for f in found if len(f)]
+            if found:
+                kept = pd.concat(found).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if kept is not None:
+            yield kept
 
-    return _rank(corpus.mapInPandas(score, SCORED), k)
+    return first_by_score(corpus.mapInPandas(score, SCORED), k)
 
 
 def _blockwise(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -205,7 +212,7 @@ class CellIndex:
             "query_id", "chunk_id",
             V.cosine_similarity(F.col("embedding"), F.col("_query")).alias("score"),
         )
-        return _rank(scored.filter("score is not null"), k)
+        return first_by_score(scored.filter("score is not null"), k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

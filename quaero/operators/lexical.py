@@ -73,7 +73,7 @@ def query_terms(queries: DataFrame, plain: bool = False) -> DataFrame:
     return operands
 
 
-def _distinct_operands(terms: DataFrame) -> DataFrame:
+def distinct_operands(terms: DataFrame) -> DataFrame:
     """Operands of an alternative that ask for the same words count once."""
     shaped = terms.groupBy("query_id", "alt", "operand", "negate").agg(
         F.array_sort(F.collect_list(F.struct("part", "term"))).alias("_shape")
@@ -93,21 +93,30 @@ def lexical_matches(chunks: DataFrame, terms: DataFrame, index: DataFrame | None
     of words and inverse weights. An alternative with nothing but negations
     matches no chunk.
     """
-    terms = _distinct_operands(terms)
+    terms = distinct_operands(terms)
     index = index if index is not None else postings(chunks, terms)
     required = terms.filter(~F.col("negate")).select("query_id", "alt", "term").distinct()
     needed = required.groupBy("query_id", "alt").agg(F.count("*").alias("_needed"))
-    group = ["query_id", "alt", "chunk_id"]
     candidates = (
         index.select("chunk_id", "term").join(required, "term")
         .groupBy("chunk_id", "query_id", "alt").agg(F.count("*").alias("_have"))
         .join(needed, ["query_id", "alt"]).filter("_have = _needed")
-        .select(*group)
+        .select("query_id", "alt", "chunk_id")
+    )
+    placed = candidates.join(terms, ["query_id", "alt"]).join(
+        index.select("chunk_id", "term", "positions"), ["chunk_id", "term"]
     )
+    return occurrences(placed, terms)
+
+
+def occurrences(placed: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(query_id, alt, chunk_id, occurrences)`` of the candidates that satisfy an alternative.
+
+    ``placed`` has a row for each candidate and word of an operand that stands in it, with its ``positions``.
+    """
+    group = ["query_id", "alt", "chunk_id"]
     starts = (
-        candidates.join(terms, ["query_id", "alt"])
-        .join(index.select("chunk_id", "term", "positions"), ["chunk_id", "term"])
-        .select(*group, "operand", "negate", "_parts", "part", F.explode("positions").alias("_p"))
+        placed.select(*group, "operand", "negate", "_parts", "part", F.explode("positions").alias("_p"))
         .groupBy(*group, "operand", "negate", "_parts", (F.col("_p.pos") - F.col("part")).alias("pos"))
         .agg(F.count("*").alias("_found"), F.min("_p.weight").alias("_weight"))
         .filter("_found = _parts")
@@ -178,10 +187,14 @@ def cover_density(occurrences: Column) -> Column:
 def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = 18, plain: bool = False,
                  index: DataFrame | None = None) -> DataFrame:
     """``(query_id, chunk_id, score, rank)`` of the best matching chunks by cover density."""
-    matched = lexical_matches(chunks, query_terms(queries, plain), index)
+    return best_covers(lexical_matches(chunks, query_terms(queries, plain), index), k)
+
+
+def best_covers(matched: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` chunks per query by cover density; scores alike to nine places are ties."""
     scored = matched.select("query_id", "chunk_id", cover_density(F.col("occurrences")).alias("score"))
     best = scored.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return first_rows(best, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, "rank")
+    return first_rows(best, ["query_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")], k, "rank")
 
 
 def collection_stats(chunks: DataFrame) -> DataFrame:

@@ -6,6 +6,11 @@ is unique among stored documents.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,22 +63,97 @@ def line_changes(old: Column, new: Column) -> Column:
     return F.struct(F.array_except(a, b).alias("removed"), F.array_except(b, a).alias("added"))
 
 
-def upsert(current: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """The documents after the arrivals: updated in place, new ones added with a null id."""
-    columns = current.columns
-    changed = arrivals.join(
-        current.select("url", "content_hash"), ["url", "content_hash"], "left_anti"
-    )
-    renamed = changed.select("url", *[F.col(c).alias(f"_new_{c}") for c in changed.columns if c != "url"])
-    joined = current.join(renamed, "url", "full_outer")
-    fresh = F.col("_new_content_hash").isNotNull()
+def _anchors(old: list[str], new: list[str], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    """Pairs of equal lines between a to b of ``old`` and c to d of ``new``, in the order of both.
+
+    Lines that stand once on either side; failing those, lines that stand as often on both, the n-th with the n-th. Of these
+    the longest chain that keeps the order, by patience sorting.
+    """
+    places: dict[str, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+    for i in range(a, b):
+        places[old[i]][0].append(i)
+    for j in range(c, d):
+        places[new[j]][1].append(j)
+    both = [p for p in places.values() if len(p[0]) == len(p[1])]
+    pairs = [(i[0], j[0]) for i, j in both if len(i) == 1] or sorted(x for p in both for x in zip(*p))
+    tops, ends, before = [], [], {}
+    for i, j in pairs:
+        at = bisect_left(tops, j)
+        before[i] = ends[at - 1] if at else None
+        tops[at : at + 1], ends[at : at + 1] = [j], [(i, j)]
+    chain, link = [], ends[-1] if ends else None
+    while link:
+        chain.append(link)
+        link = before[link[0]]
+    return chain[::-1]
+
+
+def _blocks(old: list[str], new: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    """What differs: stretches a to b of ``old`` and c to d of ``new``, in order."""
+    open_ = [(0, len(old), 0, len(new))]
+    while open_:
+        a, b, c, d = open_.pop()
+        while a < b and c < d and old[a] == new[c]:
+            a, c = a + 1, c + 1
+        while a < b and c < d and old[b - 1] == new[d - 1]:
+            b, d = b - 1, d - 1
+        chain = _anchors(old, new, a, b, c, d) if a < b and c < d else []
+        if chain:
+            starts = [(a, c), *[(i + 1, j + 1) for i, j in chain]]
+            stops = [*chain, (b, d)]
+            open_ += [(a, b, c, d) for (a, c), (b, d) in zip(reversed(starts), reversed(stops))]
+        elif a < b or c < d:
+            yield a, b, c, d
+
+
+HUNKS = "array<struct<old_line:int,removed:array<string>,new_line:int,added:array<string>>>"
+
+
+def hunks_of(old: str, new: str) -> list[tuple[int, list[str], int, list[str]]]:
+    """The changes from ``old`` to ``new`` in order: where in the old text, which lines go, where in the new one, which come."""
+    a, b = old.split("\n"), new.split("\n")
+    return [(i + 1, a[i:j], k + 1, b[k:m]) for i, j, k, m in _blocks(a, b)]
+
+
+def line_hunks(old: Column, new: Column) -> Column:
+    """The ordered line diff of two texts, null as empty: lines that stand once in both texts anchor it, what lies between two
+    anchors is solved alike."""
+
+    @F.pandas_udf(HUNKS)
+    def diff(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([hunks_of(a or "", b or "") for a, b in zip(old, new)], dtype="object")
+
+    return diff(old, new)
+
+
+def apply_hunks(text: Column, hunks: Column) -> Column:
+    """The new text from the old one and its hunks."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+    def step(acc: Column, hunk: Column) -> Column:
+        kept = F.slice(acc["rest"], F.lit(1), hunk["old_line"] - acc["next"])
+        after = hunk["old_line"] + F.size(hunk["removed"])
+        return F.struct(
+            F.concat(acc["done"], kept, hunk["added"]).alias("done"),
+            F.slice(acc["rest"], after - acc["next"] + 1, F.greatest(F.size(acc["rest"]), F.lit(1))).alias("rest"),
+            after.alias("next"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), lines.alias("rest"), F.lit(1).alias("next"))
+    return F.aggregate(hunks, start, step, lambda acc: F.array_join(F.concat(acc["done"], acc["rest"]), "\n"))
 
-    def after(c: str) -> Column:
-        if c == "url" or f"_new_{c}" not in renamed.columns or c == "document_id":
-            return F.col(c)
-        return F.when(fresh, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
 
-    return joined.select(*[after(c) for c in columns])
+def upsert(current: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The documents after the arrivals: updated in place, new ones added with a null id.
+
+    Numbers and hashes alone decide what changes; a stored text is only kept or left out.
+    """
+    known = current.select("url", "document_id", F.col("content_hash").alias("_old"))
+    changed = arrivals.drop("document_id").join(known, "url", "left").filter(
+        F.col("_old").isNull() | (F.col("_old") != F.col("content_hash"))
+    )
+    kept = current.join(changed.select("url"), "url", "left_anti")
+    return kept.select(*current.columns).unionByName(changed.select(*[c for c in current.columns if c in changed.columns]), allowMissingColumns=True)
 
 
 ID_BUCKETS = 4096

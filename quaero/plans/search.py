@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from quaero.operators.keyed import first_rows, unfold
 from quaero.session import cut_lineage
 from quaero.values import words
 
+if TYPE_CHECKING:
+    from quaero.plans.store import SearchIndex
+
 DENSE_K = 18
 LEXICAL_K = 18
 TOP_K = 12
@@ -27,12 +31,22 @@ class Corpus:
 
     documents (document_id, title, url, content), chunks (chunk_id,
     document_id, content, page, section, embedding), links (link_id, topic_ro,
-    topic_ru, url, contact_label, contact_value).
+    topic_ru, url, contact_label, contact_value). With a stored ``index`` of
+    the chunks, searches read that and no text but those of their hits.
     """
 
     documents: DataFrame
     chunks: DataFrame
     links: DataFrame | None = None
+    index: SearchIndex | None = None
+
+    def dense_topk(self, queries: DataFrame, k: int) -> DataFrame:
+        return self.index.dense_topk(queries, k) if self.index else dense.dense_topk(queries, self.chunks, k)
+
+    def words_topk(self, queries: DataFrame, k: int, any_word: bool) -> DataFrame:
+        if self.index:
+            return self.index.words.bm25_topk(queries, k) if any_word else self.index.words.lexical_topk(queries, k)
+        return (lexical.bm25_topk if any_word else lexical.lexical_topk)(self.chunks, queries, k)
 
 
 def hybrid_search(corpus: Corpus, queries: DataFrame, k: int = TOP_K, scorer: Scorer = T.overlap,
@@ -44,9 +58,9 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, k: int = TOP_K, scorer: Sc
     ``any_word`` BM25 over any of them takes that place.
     """
     chunks = corpus.chunks
-    near = dense.dense_topk(queries, chunks, DENSE_K)
+    near = corpus.dense_topk(queries, DENSE_K)
     asked = queries.select("query_id", "question")
-    said = lexical.bm25_topk(chunks, asked, LEXICAL_K) if any_word else lexical.lexical_topk(chunks, asked, LEXICAL_K)
+    said = corpus.words_topk(asked, LEXICAL_K, any_word)
     pool = fusion.candidates(fusion.reciprocal_rank_fusion(near, said))
     texts = chunks.select("chunk_id", "document_id", "content", "page", "section")
     titles = corpus.documents.select(

@@ -1,77 +1,39 @@
-"""Newly fetched pages into the stored index, batch by batch.
+"""Newly fetched pages into the stored corpus, batch by batch.
 
-The tables are logs: every batch adds the documents it changed, with their
-chunks, and marks the addresses that died. A document's latest entry is its
-state, and the chunks written by that batch are its chunks, so a batch never
-rewrites what it does not touch.
+A batch is one segment of the corpus: it writes what it changes and nothing else. Run again after a failure, it reads the
+segments before it and replaces its own.
 """
 
 from __future__ import annotations
 
 import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quaero.functions import urls as U
-from quaero.plans import index
+from quaero.plans.store import CorpusStore, SearchIndex
+from quaero.sources.merge_table import STEP
 
 FETCHED_SCHEMA = "page_id long, url string, final_url string, status int, content_type string, html string"
-LOG_SCHEMA = index.DOCUMENT_SCHEMA + ", deleted boolean, batch long"
+FILES_PER_BATCH = 16
 
 
-def _log(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(f"{path}/{name}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":  # only a log that is not there yet is empty
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def current_documents(spark: SparkSession, path: str, before: int | None = None,
-                      urls: DataFrame | None = None) -> DataFrame:
-    """Each address's latest entry, if it is not a deletion; only the given addresses, if any."""
-    log = _log(spark, path, "documents", LOG_SCHEMA)
-    if before is not None:
-        log = log.filter(F.col("batch") < before)
-    if urls is not None:
-        log = log.join(urls.select("url").distinct(), "url", "left_semi")
-    rest = [c for c in log.columns if c not in ("url", "batch")]
-    last = log.groupBy("url").agg(F.max("batch").alias("batch"), F.max_by(F.struct(*rest), "batch").alias("_row"))
-    return last.select("url", "batch", "_row.*").filter(~F.col("deleted")).drop("deleted")
+def current_documents(spark: SparkSession, path: str) -> DataFrame:
+    return CorpusStore(spark, path).documents.current()
 
 
 def current_chunks(spark: SparkSession, path: str) -> DataFrame:
-    chunks = _log(spark, path, "chunks", index.CHUNK_SCHEMA + ", batch long")
-    return chunks.join(current_documents(spark, path).select("document_id", "batch"), ["document_id", "batch"], "left_semi")
-
+    return CorpusStore(spark, path).chunks.current()
 
-def ingest_stream(spark: SparkSession, landing: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Read everything that has landed, then stop.
 
-    A batch that is run again after a failure reads only the batches before it
-    and overwrites only its own folders.
-    """
-    pages = spark.readStream.schema(FETCHED_SCHEMA).option("maxFilesPerTrigger", 16).parquet(landing)
+def ingest_stream(spark: SparkSession, landing: str, path: str, checkpoint: str, index: SearchIndex | None = None,
+                  files_per_batch: int = FILES_PER_BATCH) -> StreamingQuery:
+    """Read everything that has landed, then stop; the search index follows if one is given."""
+    pages = spark.readStream.schema(FETCHED_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        named = batch.select(U.normalize_url("url").alias("url")).unionByName(
-            batch.select(U.normalize_url("final_url").alias("url"))
-        )
-        documents = current_documents(spark, path, batch_id, named).drop("batch")
-        none = spark.createDataFrame([], index.CHUNK_SCHEMA)
         now = datetime.datetime.now(datetime.timezone.utc)
-        log = _log(spark, path, "documents", LOG_SCHEMA).filter(F.col("batch") < batch_id)
-        highest = log.agg(F.max("document_id")).first()[0] or 0
-        done = index.update(batch, documents, none, now, highest + 1)
-        gone = documents.join(done.dead, "url", "left_semi").withColumn("deleted", F.lit(True))
-        kept = done.touched.withColumn("deleted", F.lit(False))
-        kept.unionByName(gone).write.mode("overwrite").parquet(f"{path}/documents/batch={batch_id}")
-        done.fresh_chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
-        done.changes.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        CorpusStore(spark, path, index).ingest(batch, now, (batch_id + 1) * STEP)
 
     return (
         pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
