@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.text import WORDS, overlap_sql, tokens_sql
 from quaero.operators import dense, fusion, lexical, lookup
+from quaero.operators.gram_index import GramIndex
 from quaero.operators.vector_aggregates import avg_vectors
 from quaero.plans import search
 from quaero.plans.store import SearchIndex
@@ -332,6 +333,25 @@ def _(t):
     return found.select("query_id", "document_id", F.col("pos").cast("long"))
 
 
+@query("exact_phrase_indexed", f"""
+WITH {CORPUS_SQL}, words AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark),
+needles AS (SELECT item_id * 10 AS query_id, lower(trim(text, E' \t\n\r')) AS needle FROM benchmark UNION ALL SELECT item_id * 10 + 1, ws[1] FROM words WHERE len(ws) > 0
+  UNION ALL SELECT item_id * 10 + 2, left(ws[1], 2) FROM words WHERE len(ws) > 0 UNION ALL SELECT item_id * 10 + 3, left(ws[1], 1) FROM words WHERE len(ws) > 0),
+f AS (SELECT query_id, document_id FROM needles, docs WHERE contains(lower(content), needle))
+SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY document_id)::BIGINT AS pos FROM f QUALIFY pos <= 5""")
+def _(t):
+    """Whole questions, their first words, and one or two letters of those, in the stored index of pieces."""
+    index = GramIndex(t.spark, f"{shared_folder(t.spark).rstrip('/')}/gram-index-{uuid.uuid4().hex}")
+    index.add(chunks(t))
+    first = F.get(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]+"), F.lit(0)), F.lit(0))
+    forms = F.array(F.col("question"), first, F.substring(first, 1, 2), F.substring(first, 1, 1))
+    phrases = asked(t).select("query_id", F.posexplode(forms).alias("at", "phrase")).filter("phrase is not null").select(
+        (F.col("query_id") * 10 + F.col("at")).alias("query_id"), "phrase"
+    )
+    found = lookup.exact_phrase(phrases, chunks(t), documents(t), grams=index)
+    return found.select("query_id", "document_id", F.col("pos").cast("long"))
+
+
 @query("topic_rescue", f"""
 WITH {CORPUS_SQL}, w AS (SELECT item_id AS query_id, regexp_extract_all(text, '[\\p{{L}}]{{5,}}') AS ws FROM benchmark),
 terms AS (SELECT query_id, unnest(ws[1:5]) AS term FROM w),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quaero.functions import text as T
 from quaero.functions import urls as U
 from quaero.operators import facts
+from quaero.operators.gram_index import GramIndex
 from quaero.operators.keyed import contains_join, first_rows
 from quaero.values import patterns
 
@@ -37,17 +38,24 @@ def hit_view(hits: DataFrame) -> DataFrame:
     )
 
 
-def exact_phrase(phrases: DataFrame, chunks: DataFrame, documents: DataFrame, limit: int = 5) -> DataFrame:
-    """Chunks that hold a phrase of at least four characters, in any case.
+def exact_phrase(phrases: DataFrame, chunks: DataFrame, documents: DataFrame, limit: int = 5,
+                 grams: GramIndex | None = None) -> DataFrame:
+    """Chunks that hold a phrase, in any case: the first by number.
 
-    ``phrases`` has (query_id, phrase). The join starts from the phrase's first
-    four characters, so chunks without them never meet it.
+    ``phrases`` has (query_id, phrase). A phrase is looked up once, however many
+    ask for it: in the stored index ``grams``, or in the texts themselves, where
+    chunks without its first four characters never meet it.
     """
-    needles = phrases.select("query_id", F.lower(T.strip("phrase")).alias("_phrase"))
-    texts = chunks.select("chunk_id", "document_id", F.lower("content").alias("_low"))
-    found = contains_join(texts, "_low", needles, "_phrase").select("query_id", "chunk_id", "document_id")
-    few = first_rows(found, ["query_id"], _chunk_order(), limit, "pos")
-    return few.join(chunks.select("chunk_id", "content"), "chunk_id").join(
+    needles = phrases.select("query_id", F.lower(T.strip("phrase")).alias("needle"))
+    distinct = needles.select("needle").distinct()
+    if grams is not None:
+        first = grams.first_holding(distinct, chunks, limit)
+    else:
+        texts = chunks.select("chunk_id", F.lower("content").alias("_low"))
+        found = contains_join(texts, "_low", distinct, "needle").select("needle", "chunk_id")
+        first = first_rows(found, ["needle"], _chunk_order(), limit, "pos")
+    few = needles.join(first, "needle").drop("needle")
+    return few.join(chunks.select("chunk_id", "document_id", "content"), "chunk_id").join(
         documents.select("document_id", "title", "url"), "document_id"
     ).select("query_id", "pos", "chunk_id", "document_id", "title", "url",
              F.substring("content", 1, 280).alias("snippet"))
@@ -95,7 +103,10 @@ def topic_rescue(terms: DataFrame, documents: DataFrame, chunks: DataFrame, limi
             | T.like_any(F.col("content"), patterns.JOB_ONLY_CONTENT_LIKE)
         )
         heads = heads.join(jobs.select("document_id"), "document_id", "left_semi")
-    found = contains_join(heads, "_head", clean, "_low").select("query_id", "document_id").distinct()
+    # The newest of a question are among the newest of its terms, which are looked up once each.
+    named = contains_join(heads, "_head", clean.select("_low").distinct(), "_low").select("_low", "document_id")
+    per_term = first_rows(named, ["_low"], [F.desc("document_id")], limit * 3)
+    found = clean.select("query_id", "_low").join(per_term, "_low").select("query_id", "document_id").distinct()
     newest = first_rows(found, ["query_id"], [F.desc("document_id")], limit * 3, "_new")
     needed = newest.select("document_id").distinct()
     few = documents.join(needed, "document_id", "left_semi")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaero.operators import dense, lexical, versioning
+from quaero.operators import dense, lexical, lookup, versioning
+from quaero.operators.gram_index import GramIndex
 from quaero.operators.postings_index import PostingsIndex
 from quaero.operators.quantized import QuantizedIndex
 from quaero.plans.store import CorpusStore, SearchIndex
@@ -198,3 +199,32 @@ def test_store_follows_its_pages(spark, tmp_path, twice):
     before = sorted(map(tuple, store.documents.current().collect()))
     store.compact()
     assert sorted(map(tuple, store.documents.current().collect())) == before
+
+
+def test_pieces_find_what_the_texts_hold(spark, tmp_path):
+    rows = [(i, c.upper() if i % 4 == 0 else c) for i, c in texts(600)] + [(900, None), (901, ""), (902, "x"), (903, "Ăș ăș țț")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    index = GramIndex(spark, str(tmp_path))
+    index.add(chunks.filter("chunk_id < 300"), 1)
+    index.add(chunks.filter("chunk_id >= 300"), 2)
+    needles = ["w1", "w", "ăș ă", "w1 w2", "only17", "w3 only", "zz", "", "x", "w0 w1 w2 w3", "ly1", "țț", " w5 w", "w1 w1 w1", "%_"]
+    found = {(r.needle, r.pos): r.chunk_id for r in index.first_holding(spark.createDataFrame([(n,) for n in needles], "needle string"), chunks, 3).collect()}
+    for n in needles:
+        held = [i for i, c in rows if n and n in (c or "").lower()][:3]
+        assert [found[n, p] for p in range(1, 4) if (n, p) in found] == held, n
+    # Only chunks with the rarest pieces of a needle are compared with it.
+    few = index.candidates(spark.createDataFrame([("w3 only",), ("only17 nowhere",)], "needle string"))
+    assert 0 < few.filter("needle = 'w3 only'").count() < 200 and few.filter("needle != 'w3 only'").count() == 0
+
+
+def test_a_needle_that_all_questions_share_is_looked_up_once(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, i, c) for i, c in texts(300)], "chunk_id long, document_id long, content string")
+    documents = chunks.select("document_id", F.lit("t").alias("title"), F.lit("u").alias("url"))
+    phrases = spark.createDataFrame([(q, "w1 w2" if q % 2 else " W1 w2 ") for q in range(200)], "query_id long, phrase string")
+    index = GramIndex(spark, str(tmp_path))
+    index.add(chunks)
+    direct = sorted(map(tuple, lookup.exact_phrase(phrases, chunks, documents).select("query_id", "pos", "chunk_id").collect()))
+    assert direct == sorted(map(tuple, lookup.exact_phrase(phrases, chunks, documents, grams=index).select("query_id", "pos", "chunk_id").collect()))
+    held = sum("w1 w2" in c for _, c in texts(300))
+    assert len(direct) == 200 * min(5, held)
+    assert index.candidates(phrases.select(F.lower(F.trim("phrase")).alias("needle")).distinct()).select("needle").distinct().count() == 1
