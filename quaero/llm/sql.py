@@ -41,7 +41,7 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r) LEFT JOIN near_item
 """
 
 _TEMPLATES = ", ".join(
-    f"({i}, '{label}', {licenses.template_tokens(text)!r})" for i, (label, text) in enumerate(licenses.TEMPLATES)
+    f"({i}, '{label}', {licenses.template_tokens(text)!r}, {2 * len(licenses.template_words(text))})" for i, (label, text) in enumerate(licenses.TEMPLATES)
 )
 _PHRASES = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())
 
@@ -49,10 +49,15 @@ LICENSES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {WORDS} AS ws FROM documents),
 lines AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM d),
 blocks AS (SELECT DISTINCT r, list_distinct({WORDS}) AS ws FROM lines),
-t(id, label, tokens) AS (VALUES {_TEMPLATES}),
+t(id, label, tokens, span) AS (VALUES {_TEMPLATES}),
 p(phrase, label) AS (VALUES {_PHRASES}),
+told AS (SELECT r, ws, id, label, tokens, span, unnest(range(0, len(ws))) AS i
+         FROM d, t WHERE len(list_intersect(list_distinct(ws), tokens)) >= ceil(0.8 * len(tokens) - 1e-9)),
+runs AS (SELECT r, label, max(len(list_intersect(list_distinct(list_slice(ws, i + 1, i + span)), tokens))) AS n, any_value(len(tokens)) AS size
+         FROM told WHERE list_contains(tokens, ws[i + 1]) GROUP BY r, id, label),
 held AS (SELECT r, label, len(list_intersect(ws, tokens)) AS n, len(tokens) AS size
-         FROM blocks, t WHERE len(list_intersect(ws, tokens)) >= ceil(0.8 * len(tokens) - 1e-9)),
+         FROM blocks, t WHERE len(list_intersect(ws, tokens)) >= ceil(0.8 * len(tokens) - 1e-9)
+         UNION ALL SELECT r, label, n, size FROM runs WHERE n >= ceil(0.8 * size - 1e-9)),
 dw AS (SELECT r, ws, unnest(range(0, len(ws))) AS pos FROM d WHERE list_contains(ws, 'license')),
 places AS (SELECT r, pos, label FROM dw, p WHERE list_slice(ws, pos + 1, pos + len(phrase)) = phrase),
 base AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS z FROM places GROUP BY r),

@@ -53,6 +53,8 @@ def tables(folder, texts, items=ITEMS):
         "doc_id": pa.array([d for d, _ in texts], pa.int64()), "quality": pa.array([1] * n, pa.int32()),
         "toxic": pa.array([0] * n, pa.int32()),
     })
+    none = {"vec_id": pa.int64(), "label": pa.int32(), "embedding": pa.list_(pa.float32())}
+    write(folder, "embeddings", {c: pa.array([], kind) for c, kind in none.items()})
     return str(folder)
 
 
