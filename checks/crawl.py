@@ -9,6 +9,7 @@ from checks.pages import EXTENSIONS, PATH, SKIPPED, VARIED_SQL, host, normal, va
 from checks.registry import query
 from quaero.functions import urls as U
 from quaero.operators import frontier, links
+from quaero.plans import crawl
 from quaero.sources import catalog
 from quaero.values import words
 
@@ -254,3 +255,22 @@ def _(t):
     return frontier.crawl(both, seeds, 2).select("url", F.col("depth").cast("long"))
 
 
+
+
+@query("crawl_job", """
+WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, CASE WHEN l_orderkey % 50 = 0 THEN 'cart/o' ELSE 'o' END || l_orderkey AS b, l_orderkey FROM lineitem),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e WHERE l_orderkey % 7 <> 0),
+reach AS (SELECT 's1' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM reach JOIN both_ways ON a = node WHERE depth < 2 AND NOT contains(b, 'cart/'))
+SELECT 'https://x.example.org/' || node AS url, min(depth)::BIGINT AS depth, node LIKE 'o%' AND substr(node, 2)::BIGINT % 7 = 0 AS missing FROM reach GROUP BY node""")
+def _(t):
+    """The same graph with pages that cannot be fetched and addresses that are not worth a visit; the budget reaches for all."""
+    order = F.concat(F.when(F.col("l_orderkey") % 50 == 0, "cart/o").otherwise("o"), F.col("l_orderkey").cast("string"))
+    page = lambda name: F.concat(F.lit("https://x.example.org/"), name)
+    edges = t("lineitem").select(page(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("a"), page(order).alias("b"), (F.col("l_orderkey") % 7 == 0).alias("gone"))
+    links = edges.select(F.col("a").alias("page_url"), F.col("b").alias("url")).unionByName(edges.select(F.col("b").alias("page_url"), F.col("a").alias("url"))).distinct()
+    pages = edges.select(F.col("a").alias("url"), F.lit(200).alias("status")).unionByName(
+        edges.select(F.col("b").alias("url"), F.when(F.col("gone"), 404).otherwise(200).alias("status"))
+    ).distinct()
+    one = lambda value, name: t.spark.createDataFrame([(value,)], f"{name} string")
+    found = crawl.crawl_job(pages, links, one("https://x.example.org/s1", "url"), one("x.example.org", "host"), max_pages=10_000_000, max_depth=2, batch=20_000)
+    return found.select("url", F.col("depth").cast("long"), (F.col("status") >= 400).alias("missing"))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from quaero.sources.tables import read_table
 
-# Tables of texts and what tells their rows apart.
-TEXTS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+# Tables that texts are read or made from, and what tells their rows apart.
+TEXTS = {
+    "documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"],
+    "lineitem": ["l_orderkey", "l_linenumber"], "orders": ["o_orderkey"],
+}
 
 @dataclass(frozen=True)
 class Reader:

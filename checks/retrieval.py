@@ -11,6 +11,7 @@ from checks.registry import query
 from checks.text import WORDS, overlap_sql, tokens_sql
 from quaero.operators import dense, fusion, lexical, lookup
 from quaero.operators.gram_index import GramIndex
+from quaero.operators.quantized import QuantizedIndex
 from quaero.operators.vector_aggregates import avg_vectors
 from quaero.plans import search
 from quaero.plans.store import SearchIndex
@@ -131,6 +132,28 @@ def _(t):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
+def quantized(t, vectors, cells=None):
+    return QuantizedIndex.build(vectors, f"{shared_folder(t.spark).rstrip('/')}/quantized-{uuid.uuid4().hex}", cells)
+
+
+@query("quantized_recall", "SELECT item_id AS query_id, true AS nine_of_ten FROM benchmark")
+def _(t):
+    """Compressed vectors in cells, loaded again, against the exact search: the share of all exact hits that is found."""
+    built = quantized(t, stored_index(t).vectors())
+    found = QuantizedIndex.load(t.spark, built.path).topk(question_vectors(t))
+    told = dense.recall(found, dense.dense_topk(question_vectors(t), stored_index(t).vectors()))
+    share = told.agg((F.avg("recall") >= 0.9).alias("nine_of_ten"))
+    return told.select("query_id").join(F.broadcast(share))
+
+
+@query("quantized_topk_all_cells", f"WITH {CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM near")
+def _(t):
+    """With all cells opened and enough candidates the compressed search is exact."""
+    index = quantized(t, vectors(t), 8)
+    found = index.topk(centroids(t), probes=8, reranked=1_000)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
 # --- words -------------------------------------------------------------------------------
 
 PARTS_SQL = f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import joined, query
+from quaero.functions import sparse
 from quaero.functions import vectors as V
 from quaero.operators.vector_aggregates import avg_vectors, sum_vectors
 from quaero.sources.tables import parse_embeddings
@@ -139,3 +140,47 @@ def _(t):
         "chunk_id", V.dims(F.col("embedding")).cast("long").alias("dims"),
         F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"),
     )
+
+
+# An order as a sparse vector over forty million places: its parts' places and quantities. Neighbouring orders are compared.
+SPARSE_SQL = """
+cells AS (SELECT l_orderkey AS id, (l_partkey % 40) * 1000003 + 1 AS i, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL),
+norms AS (SELECT id, sqrt(sum(v * v)) AS n FROM cells GROUP BY id),
+pairs AS (SELECT a.id AS left_id, b.id AS right_id, a.n AS left_norm, b.n AS right_norm FROM norms a JOIN norms b ON b.id = a.id + 1),
+sides AS (SELECT left_id, i, v AS x, 0.0::DOUBLE AS y FROM pairs JOIN cells ON id = left_id UNION ALL SELECT left_id, i, 0, v FROM pairs JOIN cells ON id = right_id),
+merged AS (SELECT left_id, i, sum(x) AS x, sum(y) AS y FROM sides GROUP BY ALL),
+told AS (SELECT left_id, sum(x * y) AS ip, sqrt(sum((x - y) * (x - y))) AS l2, sum(abs(x - y)) AS l1 FROM merged GROUP BY 1)"""
+
+
+@query("sparse_distances", f"""
+WITH {SPARSE_SQL} SELECT left_id, round(ip, 6) AS inner_product, round(-ip, 6) AS negative_inner_product, round(l2, 6) AS l2_distance, round(l1, 6) AS l1_distance,
+  round(1 - ip / left_norm / right_norm, 6) AS cosine_distance, round(left_norm, 6) AS norm FROM told JOIN pairs USING (left_id)""")
+def _(t):
+    place = (F.col("l_partkey") % 40) * 1_000_003 + 1
+    pair = F.struct(place.alias("index"), F.col("l_quantity").cast("double").alias("value"))
+    vectors = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        sparse.of_pairs(F.lit(40 * 1_000_003), F.collect_list(pair)).alias("v")
+    )
+    both = vectors.select(F.col("id").alias("left_id"), F.col("v").alias("a")).join(
+        vectors.select((F.col("id") - 1).alias("left_id"), F.col("v").alias("b")), "left_id"
+    )
+    a, b = F.col("a"), F.col("b")
+    told = {
+        "inner_product": sparse.inner_product(a, b), "negative_inner_product": sparse.negative_inner_product(a, b),
+        "l2_distance": sparse.l2_distance(a, b), "l1_distance": sparse.l1_distance(a, b),
+        "cosine_distance": sparse.cosine_distance(a, b), "norm": sparse.norm(a),
+    }
+    return both.select("left_id", *[F.round(c, 6).alias(name) for name, c in told.items()])
+
+
+@query("sparse_normalized", f"""
+WITH {SPARSE_SQL} SELECT id, count(*)::BIGINT AS entries, round(sum(v / n), 6) AS total, max(i) AS last_index FROM cells JOIN norms USING (id) GROUP BY id""")
+def _(t):
+    place = (F.col("l_partkey") % 40) * 1_000_003 + 1
+    cell = t("lineitem").groupBy(F.col("l_orderkey").alias("id"), place.alias("i")).agg(F.sum("l_quantity").alias("v"))
+    text = F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat_ws(":", F.col("i").cast("string"), F.col("v").cast("string"))), ","), F.lit("}/40000120"))
+    unit = cell.groupBy("id").agg(text.alias("t")).select("id", sparse.normalize(sparse.parse(F.col("t"))).alias("u"))
+    return unit.select(
+        "id", F.size("u.indices").cast("long").alias("entries"), F.round(F.aggregate("u.values", F.lit(0.0), lambda a, v: a + v), 6).alias("total"),
+        F.array_max("u.indices").alias("last_index"),
+    )

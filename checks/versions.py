@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 
+from checks.pages import normal
 from checks.registry import query
 from quaero.functions import text as T
+from quaero.functions import urls as U
 from quaero.operators import versioning
+from quaero.operators.keyed import first_rows
+from quaero.plans.store import CorpusStore
+from quaero.session import shared_folder
+from quaero.sources.merge_table import MergeTable
+from quaero.sources.tables import fetched_pages
 
 HASH = r"sha256(regexp_replace(trim({c}, E' \t\n\r'), '\s+', ' ', 'g'))"
 # What is stored, and what arrives: some texts changed, some gone, some new.
@@ -140,3 +150,106 @@ def _(t):
         F.col("doc_id").alias("document_id"), "source", T.content_hash("text").alias("content_hash")
     )
     return versioning.keep_first_copies(docs)
+
+
+def merged_table(t, *segments):
+    """The stored rows as first segment, the arrivals as second one."""
+    table = MergeTable(
+        t.spark, f"{shared_folder(t.spark).rstrip('/')}/merge-table-{uuid.uuid4().hex}",
+        "document_id long, url string, title string, content string, content_hash string, mime_type string", "url", ["document_id", "content_hash"], parts=8,
+    )
+    for rows, removed in segments:
+        table.apply(rows, removed)
+    return table
+
+
+def changed_rows(t):
+    """New and updated documents, and the addresses that die."""
+    st = status(t).filter("status IN ('new', 'updated')").select("url", "document_id")
+    rows = arrivals(t).join(st, "url")
+    dead = stored(t).filter("document_id % 11 = 0").select("url").join(rows.select("url"), "url", "left_anti")
+    return rows, dead
+
+
+MERGED_SQL = f"""
+WITH {STATE_SQL}, dead AS (SELECT url FROM status WHERE document_id % 11 = 0 AND status <> 'updated')
+SELECT s.url, s.document_id, coalesce(CASE WHEN s.status IN ('new', 'updated') THEN a.content_hash END, s.old_hash) AS content_hash,
+  CASE WHEN s.status IN ('new', 'updated') THEN 't2' ELSE 't' END AS title FROM status s LEFT JOIN arrivals a USING (url) WHERE s.url NOT IN (SELECT url FROM dead)"""
+
+
+@query("merged_documents", MERGED_SQL)
+def _(t):
+    """Rows are merged when they are read; the second segment holds what changed and nothing else."""
+    table = merged_table(t, (stored(t), None), changed_rows(t))
+    return table.current().select("url", "document_id", "content_hash", "title")
+
+
+@query("merged_keys", MERGED_SQL.replace(", CASE WHEN s.status IN ('new', 'updated') THEN 't2' ELSE 't' END AS title", "").replace(",\n  CASE WHEN s.status IN ('new', 'updated') THEN 't2' ELSE 't' END AS title", ""))
+def _(t):
+    """The narrow log alone, after parts with dead rows have been rewritten."""
+    table = merged_table(t, (stored(t), None), changed_rows(t))
+    table.compact(0.1)
+    return table.keys().select("url", "document_id", "content_hash")
+
+
+@query("change_hunks", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, unnest(range(1, len(string_split(text, E'\n')) + 1)) AS no FROM documents),
+n AS (SELECT doc_id, no * 2 AS place, CASE WHEN no % 7 = 3 THEN line || ' nou' ELSE line END AS line FROM l WHERE no % 5 <> 0 UNION ALL SELECT doc_id, no * 2 + 1, 'linie ' || no FROM l WHERE no % 4 = 1),
+made AS (SELECT doc_id, string_agg(line, E'\n' ORDER BY place) AS text, count(*)::BIGINT AS lines FROM n GROUP BY 1), c AS (SELECT doc_id, count(*)::BIGINT AS lines FROM l GROUP BY 1)
+SELECT doc_id, md5(made.text) AS made, made.lines - c.lines AS more FROM made JOIN c USING (doc_id)""")
+def _(t):
+    """Texts with lines left out, changed and put in; the ordered hunks turn the old text into the new one."""
+    lines = t("documents").select("doc_id", "text", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("no", F.col("at") + 1)
+    changed = F.when(F.col("no") % 7 == 3, F.concat("line", F.lit(" nou"))).otherwise(F.col("line"))
+    kept = lines.filter("no % 5 != 0").select("doc_id", (F.col("no") * 2).alias("at"), changed.alias("line"))
+    more = lines.filter("no % 4 = 1").select("doc_id", (F.col("no") * 2 + 1).alias("at"), F.concat(F.lit("linie "), F.col("no").cast("string")).alias("line"))
+    new = kept.unionByName(more).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "line")))["line"], "\n").alias("new"))
+    both = t("documents").select("doc_id", "text").join(new, "doc_id").withColumn("hunks", versioning.line_hunks(F.col("text"), F.col("new")))
+    grown = F.aggregate("hunks", F.lit(0), lambda n, h: n + F.size(h["added"]) - F.size(h["removed"]))
+    return both.select("doc_id", F.md5(versioning.apply_hunks(F.col("text"), F.col("hunks"))).alias("made"), grown.cast("long").alias("more"))
+
+
+def corpus_store(t):
+    return CorpusStore(t.spark, f"{shared_folder(t.spark).rstrip('/')}/corpus-{uuid.uuid4().hex}")
+
+
+AT = datetime.datetime(2026, 1, 1)
+
+
+@query("manual_documents", r"""
+WITH m AS (SELECT doc_id, trim(split_part(text, E'\n', 1), E' \t\n\r') AS title, CASE WHEN doc_id % 3 = 0 THEN 'https://' || source || '.example.org/' || (doc_id // 2) ELSE '' END AS url, trim(text, E' \t\n\r') AS text FROM documents),
+u AS (SELECT doc_id, CASE WHEN url <> '' THEN url ELSE 'manual://admin/' || substr(title, 1, 80) END AS url, title FROM m WHERE len(text) >= 40)
+SELECT url, substr(arg_max(title, doc_id), 1, 512) AS title, 'text/plain' AS mime_type, 'new' AS status FROM u GROUP BY url""")
+def _(t):
+    """Texts handed in twice: the second time nothing changes."""
+    i = F.col("doc_id")
+    texts = t("documents").select(
+        F.split("text", "\n")[0].alias("title"), "text", i.alias("seq"),
+        F.when(i % 3 == 0, F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.floor(i / 2).cast("string"))).alias("url"),
+    )
+    store = corpus_store(t)
+    status = store.add_manual(texts, AT)
+    again = store.add_manual(texts, AT).filter("status != 'unchanged'")
+    now = store.documents.current().select("url", "title", "mime_type")
+    return now.join(status.select("url", "status"), "url").join(again.select("url"), "url", "left_anti")
+
+
+@query("refreshed_documents", f"""
+WITH p AS (SELECT page_id, {normal('url')} AS url FROM pages), one AS (SELECT url, max(page_id) AS page_id FROM p GROUP BY url)
+SELECT url, CASE WHEN page_id % 3 = 0 THEN 'updated' ELSE 'kept' END AS status, (page_id % 3 = 0)::BIGINT AS changes FROM one""")
+def _(t):
+    """Pages as stored long ago, every third under a menu's title, extracted again from what is fetched now."""
+    pages = t("pages").select(F.col("page_id"), U.normalize_url("url").alias("url"), "html")
+    latest = first_rows(pages, ["url"], [F.desc("page_id")], 1)
+    old = latest.select(
+        "url", F.when(F.col("page_id") % 3 == 0, "Cariera: meniu").otherwise("titlu vechi").alias("title"),
+        F.concat(F.lit("Text vechi al paginii, destul de lung pentru a fi păstrat "), F.col("page_id").cast("string")).alias("content"),
+        F.lit("text/html").alias("mime_type"), F.col("page_id").alias("seq"),
+    )
+    store = corpus_store(t)
+    store.apply(versioning.prepare(old), t.spark.createDataFrame([], "url string"), AT)
+    status = store.refresh(fetched_pages(latest), AT)
+    changes = store.change_lines().filter(F.size("hunks") > 0).groupBy("url").agg(F.count("*").alias("changes"))
+    return store.documents.current().select("url").join(status.select("url", "status"), "url", "left").join(changes, "url", "left").select(
+        "url", F.coalesce("status", F.lit("kept")).alias("status"), F.coalesce("changes", F.lit(0)).alias("changes")
+    )

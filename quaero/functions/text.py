@@ -120,7 +120,10 @@ def fold(c: Column | str) -> Column:
     spelled = low
     for char, plain in FOLD_LONGER.items():
         spelled = F.replace(spelled, F.lit(char), F.lit(plain))
-    return F.when(~low.rlike("[^\\x00-\\x7F]"), low).otherwise(F.translate(spelled, FOLD_FROM, FOLD_TO))
+    has_longer = low.rlike("[" + "".join(FOLD_LONGER) + "]")
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(
+        F.translate(F.when(has_longer, spelled).otherwise(low), FOLD_FROM, FOLD_TO)
+    )
 
 
 def folded_words(folded: Column) -> Column:

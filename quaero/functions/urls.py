@@ -53,11 +53,6 @@ def host(url: Column | str) -> Column:
     return F.regexp_replace(F.lower(authority(text_or_empty(url))), r"^www\.", "")
 
 
-def site_root(url: Column | str) -> Column:
-    u = text_or_empty(url)
-    return F.concat(scheme(u), F.lit("://"), authority(u), F.lit("/"))
-
-
 def source_code(url: Column | str) -> Column:
     """A slug of host and path, at most 64 characters."""
     u = text_or_empty(url)
@@ -105,17 +100,6 @@ def is_useful_reference(ref: Column) -> Column:
     return (bare != "") & ~bare.rlike(prefixes) & ~ends_with_any(bare, words.ASSET_EXTENSIONS)
 
 
-
-
-def host_suffixes(url: Column | str) -> Column:
-    """The host and each of its parents: ``a.b.c`` gives ``a.b.c``, ``b.c`` and ``c``."""
-    parts = F.split(host(url), r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
-    )
-
-
 @F.pandas_udf(T.StringType())
 def resolve(base: pd.Series, ref: pd.Series) -> pd.Series:
     """A reference made absolute against its page; null when it cannot be read."""

@@ -135,7 +135,10 @@ def score_hits(hits: DataFrame, today: datetime.date, min_rerank: float = 0.22,
     scored = prepared.withColumn("admitted", ~barred & admits).withColumn("evidence_score", score)
     extra = ["admitted", "evidence_score", "content_overlap", "title_overlap", "year", "current",
              "list_mode", "rich"]
-    return scored.select(*hits.columns, *[c for c in extra if c not in hits.columns])
+    # A filter on what comes out of an unfolded row is not carried below it, where it would work everything out again.
+    found = F.struct(*[F.col(c) for c in extra])
+    kept = [c for c in hits.columns if c not in extra]
+    return scored.select(*kept, F.inline_outer(F.array(found)))
 
 
 

@@ -245,29 +245,35 @@ def claims(title: Column, content: Column, field: Column, roots: Column) -> Colu
             F.split(text, T.uni(pattern), -1), F.regexp_extract_all(text, F.lit(T.uni(pattern)), F.lit(0))
         )
 
-        def read(span: Column, amount: Column) -> Column:
+        def around(span: Column, amount: Column) -> Column:
             begin = F.greatest(F.lit(0), span["start"] - 100)
             window = F.substring(text, begin + 1, span["end"] + 65 - begin)
-            near = F.concat_ws(" ", T.text_or_empty(title), window)
-            qualifiers = F.array_sort(F.transform(T.find_all(near, patterns.CLAIM_QUALIFIER), lambda m: T.fold(m)))
+            return F.struct(amount.alias("amount"), span["end"].alias("end"), window.alias("window"))
+
+        def named(found: Column) -> Column:
+            near = F.concat_ws(" ", T.text_or_empty(title), found["window"])
+            return F.struct(found["amount"].alias("amount"), found["end"].alias("end"), found["window"].alias("window"), near.alias("near"))
+
+        def spoken_of(found: Column) -> Column:
+            held = lambda folded: F.size(F.filter(roots, lambda r: F.contains(folded, r)))
+            return T.let(T.fold(found["near"]), held) >= F.least(F.lit(2), F.size(roots))
+
+        def read(found: Column) -> Column:
+            qualifiers = F.array_sort(F.transform(T.find_all(found["near"], patterns.CLAIM_QUALIFIER), lambda m: T.fold(m)))
             if days:
-                tail = T.fold(F.substring(text, span["end"] + 1, F.lit(25)))
-                kind = F.when(tail.rlike(patterns.WORKING_DAYS_TAIL), F.array(F.lit("working_days"))).when(
-                    tail.rlike(patterns.CALENDAR_DAYS_TAIL), F.array(F.lit("calendar_days"))
-                )
+                tail = T.fold(F.substring(text, found["end"] + 1, F.lit(25)))
+                kind = T.let(tail, lambda said: F.when(said.rlike(patterns.WORKING_DAYS_TAIL), F.array(F.lit("working_days"))).when(
+                    said.rlike(patterns.CALENDAR_DAYS_TAIL), F.array(F.lit("calendar_days"))
+                ))
                 qualifiers = F.concat(qualifiers, F.coalesce(kind, T.string_array([])))
-            spoken = F.size(F.filter(roots, lambda r: F.contains(T.fold(near), r)))
             return F.struct(
-                _plain_amount(field, amount).alias("amount"),
-                F.substring(T.strip(window), 1, 280).alias("quote"),
-                F.array_join(qualifiers, ",").alias("qualifier"),
-                (T.matches(window, cue) & (spoken >= F.least(F.lit(2), F.size(roots)))).alias("ok"),
+                _plain_amount(field, found["amount"]).alias("amount"),
+                F.substring(T.strip(found["window"]), 1, 280).alias("quote"), F.array_join(qualifiers, ",").alias("qualifier"),
             )
 
-        kept = F.filter(F.zip_with(where, amounts, read), lambda c: c["ok"])
-        return F.transform(kept, lambda c: F.struct(
-            c["amount"].alias("amount"), c["quote"].alias("quote"), c["qualifier"].alias("qualifier")
-        ))
+        # The cheap test first: most amounts have no cue next to them.
+        cued = F.filter(F.zip_with(where, amounts, around), lambda found: T.matches(found["window"], cue))
+        return F.transform(F.filter(F.transform(cued, named), spoken_of), read)
 
     return F.when(field == "fee", of(patterns.MONEY_AMOUNT, patterns.FEE_CUE, False)).when(
         field == "duration_days", of(patterns.DAYS_AMOUNT, patterns.DURATION_CUE, True)

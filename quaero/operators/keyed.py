@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quaero.functions.text import string_array
+from quaero.session import cut_lineage
 
 BUCKET_WIDTH = 10_000
 MAX_SEEDS = 2_000
@@ -57,16 +58,19 @@ def carry_forward(
     include_current: bool = False,
     width: int = BUCKET_WIDTH,
     tie: Sequence[Column] = (),
+    bucket_of: Column | None = None,
 ) -> DataFrame:
     """Into each row, the last value before it in its key that is not null.
 
     ``order`` is a numeric column. Rows are cut into buckets of ``width`` along
-    it; each bucket is solved alone and then receives what the earlier ones
-    carry, of which there is one row per bucket.
+    it, or by ``bucket_of``, which never falls along it; each bucket is solved
+    alone and then receives what the earlier ones carry, of which there is one
+    row per bucket.
     """
     keys = list(keys)
     bucket = [*keys, "_bucket"]
-    rows = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width))).withColumn("_value", value)
+    own = F.floor(F.col(order) / F.lit(width)) if bucket_of is None else bucket_of
+    rows = df.withColumn("_bucket", own).withColumn("_value", value)
     ordering = [F.col(order), *tie]
     inside = (
         Window.partitionBy(*bucket).orderBy(*ordering)
@@ -96,12 +100,13 @@ def asof_join(
     left_time: str,
     right_time: str,
     into: str,
-    width: int = 86_400,
 ) -> DataFrame:
     """Into each left row, the whole latest right row of its key at or before it.
 
     Both sides are laid along one time line, so no pair of rows is ever
-    produced. Times are timestamps; ``width`` is the bucket in seconds.
+    produced. The line of all keys is cut into runs of about equal size, however
+    many rows a key or an hour has; what a run ends with is carried into the
+    next ones. Times are timestamps.
     """
     payload = F.struct(*[F.col(c) for c in right.columns])
     shape = left.schema
@@ -120,8 +125,12 @@ def asof_join(
             F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_right"),
         )
     )
+    tied = F.when(F.col("_side") == 0, F.xxhash64("_right")).otherwise(F.xxhash64("_left"))
+    runs = events.withColumn("_tie", tied).repartitionByRange(*keys, "_at", "_side", "_tie")
+    # The cuts come from a sample: they are drawn once and stored with the rows.
+    laid = cut_lineage(runs.withColumn("_run", F.spark_partition_id()))
     joined = carry_forward(
-        events, keys, "_at", F.col("_right"), into, width=width * 1_000_000, tie=[F.col("_side")]
+        laid, keys, "_at", F.col("_right"), into, tie=[F.col("_side"), F.col("_tie")], bucket_of=F.col("_run")
     )
     return joined.filter(F.col("_side") == 1).select("_left.*", into)
 
@@ -197,24 +206,3 @@ def _contains_from(texts: DataFrame, text: str, needles: DataFrame, needle: str,
         .filter(F.contains(F.col(text), F.col(needle)))
         .drop("_seed")
     )
-
-
-def join_hot(
-    rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, how: str = "left"
-) -> DataFrame:
-    """Join ``rows`` to a table with one row per key when some keys are very common.
-
-    ``counts`` has (key, n). Keys with over a thousandth of all rows, of which
-    there can be at most a thousand, meet their table row by broadcast; the
-    others by an ordinary join.
-    """
-    total = counts.agg(F.sum("n").alias("_total"))
-    hot = (
-        counts.join(F.broadcast(total), F.col("n") * 1000 > F.col("_total"))
-        .select(F.col(key))
-    )
-    hot_table = table.join(F.broadcast(hot), key, "left_semi")
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    common = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot_table), key, how)
-    rare = marked.filter(F.col("_hot").isNull()).drop("_hot").join(table, key, how)
-    return common.unionByName(rare)

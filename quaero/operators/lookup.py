@@ -236,10 +236,7 @@ def read_documents(wanted: DataFrame, documents: DataFrame, preview: int = 2500)
     characters, or all of a shorter one, equal the stored address's last as
     many. There are at most 80 such lengths.
     """
-    rows = documents.select(
-        "document_id", "title", "url", "mime_type",
-        F.substring(T.text_or_empty("content"), 1, preview).alias("preview"),
-    )
+    rows = documents.select("document_id", "url")
     by_id = wanted.filter("document_id is not null").select("request_id", "document_id").join(rows, "document_id")
     asked = wanted.filter("document_id is null and url is not null").select("request_id", F.col("url").alias("_url"))
     exact = asked.join(rows, F.col("_url") == F.col("url"))
@@ -250,13 +247,17 @@ def read_documents(wanted: DataFrame, documents: DataFrame, preview: int = 2500)
     low, n = F.lower("url"), F.col("_n")
     cut = rows.withColumn("_n", F.explode(F.array(*[F.lit(x) for x in lengths]).cast("array<int>")))
     inside = cut.filter(F.length(low) >= n).withColumn("_tail", F.right(low, n)).join(ends, "_tail")
-    columns = ["request_id", *rows.columns]
+    columns = ["request_id", "document_id"]
     every = (
         by_id.select(*columns).withColumn("_rank", F.lit(0))
         .unionByName(exact.select(*columns).withColumn("_rank", F.lit(1)))
         .unionByName(inside.select(*columns).withColumn("_rank", F.lit(2)))
     )
-    return first_rows(every, ["request_id"], [F.asc("_rank"), F.asc("document_id")], 1).drop("_rank")
+    # Numbers and addresses decide; titles and texts are read for what is chosen.
+    chosen = first_rows(every, ["request_id"], [F.asc("_rank"), F.asc("document_id")], 1).drop("_rank")
+    return chosen.join(documents.select(
+        "document_id", "title", "url", "mime_type", F.substring(T.text_or_empty("content"), 1, preview).alias("preview")
+    ), "document_id").select("request_id", "document_id", "title", "url", "mime_type", "preview")
 
 
 def document_chunks(wanted: DataFrame, chunks: DataFrame, limit: int = 8, chars: int = 500) -> DataFrame:

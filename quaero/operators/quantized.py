@@ -5,8 +5,9 @@ is stored as the number of its nearest code word (a byte). A query looks its inn
 small tables, keeps its best candidates of the nearest cells, and those alone are scored from the vectors themselves.
 
 Centres and code words are learnt from at most ``SAMPLE`` vectors, the first by a hash of their number; everything is indexed.
-How many cells a query opens follows from that sample, too: the fewest that give its vectors the recall asked for. The exact way
-is ``dense.dense_topk`` over ``vectors()``.
+How many cells a query opens at first follows from that sample, too: the fewest that give its vectors the recall asked for. Then
+a query opens whatever other cell may hold a better row: one whose centre is nearer than its k-th distance so far and the radius
+within which REACH of the cell's rows lie. The exact way is ``dense.dense_topk`` over ``vectors()``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ PARTS, WORDS = 8, 256
 RERANKED = 12
 # Values of the query vectors that tasks hold at a time: 8 MB.
 QUERY_VALUES = 1 << 20
-TARGET = 0.95
+TARGET, REACH = 0.95, 0.95
 SCORED = "query_id long, chunk_id long, score double"
 
 
@@ -164,16 +165,20 @@ class QuantizedIndex:
                 rows = unit_rows(batch["embedding"], quantizer.width)
                 known = ~np.isnan(rows).any(axis=1)
                 cell, code = quantizer.encode(rows[known])
-                yield pd.DataFrame({"chunk_id": batch["chunk_id"][known], "code": [c.tobytes() for c in code], "cell": cell})
+                far = np.sqrt(((rows[known] - quantizer.centres[cell]) ** 2).sum(axis=1))
+                yield pd.DataFrame({"chunk_id": batch["chunk_id"][known], "code": [c.tobytes() for c in code], "far": far, "cell": cell})
 
         known = vectors.select("chunk_id", "embedding").filter(F.size("embedding") > 0)
         known.write.mode("overwrite").parquet(f"{self.path}/vectors/segment={segment}")
         written = self.spark.read.schema("chunk_id long, embedding array<float>").parquet(f"{self.path}/vectors/segment={segment}")
-        codes = written.mapInPandas(encode, "chunk_id long, code binary, cell int")
+        codes = written.mapInPandas(encode, "chunk_id long, code binary, far float, cell int")
         # Cells are laid out by ranges, so that a common one is spread over several files.
         codes.repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell").write.mode("overwrite").partitionBy("cell").parquet(
             f"{self.path}/codes/segment={segment}"
         )
+        stored = self.spark.read.schema("far float, cell int").parquet(f"{self.path}/codes/segment={segment}")
+        radii = stored.groupBy("cell").agg(F.percentile_approx("far", REACH).alias("radius"))
+        radii.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/radii/segment={segment}")
 
     def remove(self, chunks: DataFrame, segment: int) -> None:
         """Take ``chunks`` (chunk_id) out of all segments before this one."""
@@ -201,7 +206,8 @@ class QuantizedIndex:
         """``(query_id, chunk_id, score, rank)``: the best ``k`` by cosine of the ``probes`` nearest cells.
 
         Queries (query_id, embedding) of another width than the index find nothing. They are met in blocks of a proven size;
-        each task gives out its best candidates per query, and the candidates alone meet their vectors.
+        each task gives out its best candidates per query, and the candidates alone meet their vectors. Without ``probes``, the
+        cells that may hold better rows than those found first are opened, too.
         """
         width = self.quantizer.width
         asked = cut_lineage(queries.select("query_id", "embedding").filter(F.size("embedding") == width))
@@ -209,28 +215,50 @@ class QuantizedIndex:
         block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
         found = None
         for b in range(blocks):
-            part = asked.filter(block == b).toPandas()
-            some = self._candidates(part, k * reranked, probes or self.probes)
+            some = self._block_topk(asked.filter(block == b), k, probes, reranked)
             found = some if found is None else found.unionByName(some)
+        return first_by_score(found, k)
+
+    def _block_topk(self, asked: DataFrame, k: int, probes: int | None, reranked: int) -> DataFrame:
+        """The rows of one block of queries, scored from their vectors; at least the best ``k`` that were found."""
+        part = asked.toPandas()
+        rows = unit_rows(part["embedding"], self.quantizer.width)
+        known = ~np.isnan(rows).any(axis=1)
+        ids, rows = part["query_id"].to_numpy()[known], rows[known]
+        order = np.argsort(-(rows @ self.quantizer.centres.T), axis=1, kind="stable")
+        opened = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(opened, order[:, : probes or self.probes], True, axis=1)
+        first = self._scored(self._candidates(ids, rows, opened, k * reranked), asked, k, reranked)
+        if probes or opened.all():
+            return first
+        first = cut_lineage(first)
+        radii = {r["cell"]: r["radius"] for r in self._read("radii", "cell int, radius float, segment long").groupBy("cell").agg(F.max("radius").alias("radius")).collect()}
+        radius = np.array([radii.get(c, -np.inf) for c in range(len(self.quantizer.centres))])
+        last = {r["query_id"]: r["score"] for r in first_by_score(first, k).filter(F.col("rank") == k).collect()}
+        # Unit vectors: the distance of two follows from their cosine. Fewer than k rows so far: every cell may hold one.
+        limit = np.array([np.sqrt(max(0.0, 2 - 2 * last[q])) if q in last else np.inf for q in ids.tolist()])
+        apart = np.sqrt(np.maximum(0, 1 + (self.quantizer.centres**2).sum(axis=1)[None, :] - 2 * rows @ self.quantizer.centres.T))
+        more = ~opened & (apart - radius[None, :] <= limit[:, None])
+        second = self._scored(self._candidates(ids, rows, more, k * reranked), asked, k, reranked)
+        return first.unionByName(second)
+
+    def _scored(self, found: DataFrame, asked: DataFrame, k: int, reranked: int) -> DataFrame:
+        """Candidates with the cosine of their vectors."""
+        width = self.quantizer.width
         candidates = first_by_score(found, k * reranked).select("query_id", "chunk_id")
-        vectors = self.vectors().withColumnRenamed("embedding", "_vector")
-        pairs = candidates.join(vectors, "chunk_id").join(asked, "query_id")
+        pairs = candidates.join(self.vectors().withColumnRenamed("embedding", "_vector"), "chunk_id").join(asked, "query_id")
 
         def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 a, b = unit_rows(batch["embedding"], width), unit_rows(batch["_vector"], width)
                 yield pd.DataFrame({"query_id": batch["query_id"], "chunk_id": batch["chunk_id"], "score": np.round((a * b).sum(axis=1), TIED)})
 
-        return first_by_score(pairs.mapInPandas(exact, SCORED).filter(~F.isnan("score")), k)
+        return pairs.mapInPandas(exact, SCORED).filter(~F.isnan("score"))
 
-    def _candidates(self, part: pd.DataFrame, most: int, probes: int) -> DataFrame:
-        """The ``most`` best rows by estimate for each query and task, of the cells nearest to it."""
-        rows = unit_rows(part["embedding"], self.quantizer.width)
-        known = ~np.isnan(rows).any(axis=1)
-        ids, rows = part["query_id"].to_numpy()[known], rows[known]
+    def _candidates(self, ids: np.ndarray, rows: np.ndarray, opened: np.ndarray, most: int) -> DataFrame:
+        """The ``most`` best rows by estimate for each query and task, of the cells that it opens."""
         tables = self.quantizer.tables(rows)
-        opened = np.argsort(-tables[0], axis=1, kind="stable")[:, :probes]
-        by_cell = {int(c): np.flatnonzero((opened == c).any(axis=1)) for c in np.unique(opened)}
+        by_cell = {c: np.flatnonzero(opened[:, c]) for c in np.flatnonzero(opened.any(axis=0)).tolist()}
         shared = self.spark.sparkContext.broadcast((self.quantizer, tables, by_cell, ids))
 
         def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quaero.functions import text as T
 from quaero.operators.keyed import first_rows
+from quaero.operators.selection import beside, ranked_values
+from quaero.session import cut_lineage
 from quaero.values.prices import CORPUS_TARGET
 
 APPROVED_ROLES = ["admin", "manager"]
@@ -103,16 +105,28 @@ def feedback_list(feedback: DataFrame, limit: int = 50) -> DataFrame:
 def latency_summary(runs: DataFrame, keys: tuple[str, ...] = (), wall: str = "wall_ms", exact: bool = True) -> DataFrame:
     """Completed and failed runs, median, maximum and nearest-rank p95.
 
-    A failed run has no time. Exact percentiles keep one count per distinct
-    time and key; ``exact=False`` uses a sketch of fixed size.
+    A failed run has no time. Exact ranks are found by counting (``selection``),
+    so no key holds its times; ``exact=False`` uses a sketch of fixed size.
     """
-    if exact:
-        median, p95 = F.percentile(wall, F.lit(0.5)), F.expr(f"percentile_disc(0.95) within group (order by {wall})")
-    else:
-        median, p95 = F.percentile_approx(wall, 0.5), F.percentile_approx(wall, 0.95)
-    return runs.groupBy(*keys).agg(
-        F.count(wall).alias("completed"), (F.count("*") - F.count(wall)).alias("failed"),
-        F.bround(median).alias("median"), F.max(wall).alias("max"), p95.alias("p95"),
+    totals = [
+        F.count(wall).alias("completed"), (F.count("*") - F.count(wall)).alias("failed"), F.max(wall).alias("max"),
+    ]
+    if not exact:
+        return runs.groupBy(*keys).agg(
+            *totals, F.bround(F.percentile_approx(wall, 0.5)).alias("median"), F.percentile_approx(wall, 0.95).alias("p95")
+        ).select(*keys, "completed", "failed", "median", "max", "p95")
+    keyed = runs if keys else runs.withColumn("_all", F.lit(1))
+    by = list(keys) or ["_all"]
+    counts = cut_lineage(keyed.groupBy(*by).agg(*totals))
+    last = F.col("completed") - 1
+    # The two middle values and the nearest rank to 95 percent.
+    places = F.array(F.floor(last / 2), F.ceil(last / 2), F.ceil(F.col("completed") * 0.95).cast("long") - 1)
+    asked = counts.filter("completed > 0").select(*by, F.posexplode(places).alias("_what", "rank"))
+    found = ranked_values(keyed, by, wall, asked)
+    told = beside(asked.select(*by, "_what", "rank"), found, [*by, "rank"]).groupBy(*by).pivot("_what", [0, 1, 2]).agg(F.first("value"))
+    kind = runs.schema[wall].dataType
+    return beside(counts, told, by, "left").select(
+        *keys, "completed", "failed", F.bround((F.col("0") + F.col("1")) / 2).alias("median"), "max", F.col("2").cast(kind).alias("p95")
     )
 
 

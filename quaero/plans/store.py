@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaero.functions import text as T
 from quaero.functions import urls as U
-from quaero.operators import chunking, dense, versioning
+from quaero.operators import chunking, cleaning, dense, versioning
 from quaero.operators.postings_index import PostingsIndex
 from quaero.operators.quantized import QuantizedIndex
 from quaero.plans import index
@@ -26,6 +27,24 @@ def embed_chunks(chunks: DataFrame) -> DataFrame:
     return chunking.embed(chunks, "content")
 
 
+MANUAL_URL, MANUAL_TITLE_CHARS = "manual://admin/", 80
+
+
+def manual_arrivals(texts: DataFrame) -> DataFrame:
+    """Texts that people hand in, prepared like fetched pages: ``(url, title, content, mime_type, seq, content_hash)``.
+
+    ``texts`` has (title, text, url, seq). Without an address one is made from the title, so that a text that is handed in again
+    under its title replaces the first one; of several in one batch the last counts.
+    """
+    title = T.strip(T.text_or_empty("title"))
+    given = T.strip(T.text_or_empty("url"))
+    made = F.concat(F.lit(MANUAL_URL), F.substring(title, 1, MANUAL_TITLE_CHARS))
+    return versioning.prepare(texts.select(
+        F.when(given != "", given).otherwise(made).alias("url"), title.alias("title"), F.col("text").alias("content"),
+        F.lit("text/plain").alias("mime_type"), "seq",
+    ))
+
+
 class SearchIndex:
     """Stored postings and vectors of chunks; with ``quantized``, compressed vectors in cells, too.
 
@@ -99,6 +118,22 @@ class CorpusStore:
         )
         return self.apply(arrivals, dead, detected_at, segment)
 
+    def add_manual(self, texts: DataFrame, detected_at: datetime.datetime, segment: int | None = None) -> DataFrame:
+        """Texts that people hand in (title, text, url, seq) as one segment."""
+        none = self.spark.createDataFrame([], "url string")
+        return self.apply(manual_arrivals(texts), none, detected_at, segment)
+
+    def refresh(self, fetched: DataFrame, detected_at: datetime.datetime, segment: int | None = None) -> DataFrame:
+        """Documents whose text still holds menus are extracted again from their pages, as one segment.
+
+        Only good answers count, and only those for the documents chosen; a page that ends elsewhere is stored under that
+        address, as any other page.
+        """
+        segment = self.next_segment() if segment is None else segment
+        chosen = cleaning.polluted_documents(self.documents.current(before=segment), limit=None).select(F.col("url").alias("_known"))
+        wanted = fetched.filter("status < 400").join(chosen, U.normalize_url("url") == F.col("_known"), "left_semi")
+        return self.ingest(wanted, detected_at, segment)
+
     def apply(self, arrivals: DataFrame, dead: DataFrame, detected_at: datetime.datetime, segment: int | None = None) -> DataFrame:
         """Prepared arrivals (url, title, content, mime_type, content_hash) and dead addresses; returns what became of the
         arrivals: ``(url, status, document_id, old_hash, new_hash)``."""

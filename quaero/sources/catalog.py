@@ -61,14 +61,6 @@ def missing_sources(sources: DataFrame, arrivals: DataFrame) -> DataFrame:
     )
 
 
-def ensure_sources(sources: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """The catalogue with the missing sources; their id comes from their code."""
-    new = missing_sources(sources, arrivals).withColumn(
-        "source_id", F.xxhash64("code").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
-    )
-    return sources.unionByName(new, allowMissingColumns=True)
-
-
 def insert_absent(table: DataFrame, arrivals: DataFrame, key: str) -> DataFrame:
     """The table with those arrivals whose key it lacks."""
     return table.unionByName(arrivals.join(table.select(key), key, "left_anti"), allowMissingColumns=True)
@@ -92,17 +84,6 @@ def crawl_seeds(seeds: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def seed_arrivals(seeds: DataFrame, official: list[str]) -> DataFrame:
-    """Seeds as source arrivals: official addresses are P0, documents have their own type."""
-    first = T.contains_any(F.col("url"), official)
-    return seeds.select(
-        U.normalize_url("url").alias("url"), U.host("url").alias("name"), "category",
-        F.when(first, "P0").otherwise("P1").alias("priority"),
-        F.when(U.is_document("url"), "documents").otherwise("portal").alias("type"),
-        F.col("line_no").alias("seq"),
-    )
-
-
 def mark_crawled(sources: DataFrame, fetched: DataFrame) -> DataFrame:
     """Sources with their latest crawl; ``fetched`` has (source_id, fetched_at)."""
     last = fetched.groupBy("source_id").agg(F.max("fetched_at").alias("_last"))

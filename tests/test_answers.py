@@ -23,7 +23,7 @@ DOCUMENTS = [
      "Lucrări de amenajare a parcurilor din oraș au fost planificate pentru primăvară, cu pomi și bănci noi."),
 ]
 QUESTIONS = [
-    (1, "Care este termenul pentru autorizația de construire?"),
+    (1, "În câte zile se dă o autorizație de construire, care e termenul?"),
     (2, "Ce concursuri deschise sunt acum în sectorul Ciocana?"),
     (3, "Cine ești tu?"),
     (4, "Care este taxa pentru licența de pescuit a primăriei?"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaero.operators import frontier, html
-from quaero.plans import index
+from quaero.plans import crawl, index
 from quaero.streaming import ingest
 
 
@@ -129,3 +129,62 @@ def test_page_budget(spark):
     links = spark.createDataFrame([("https://h.example.org/a", f"https://h.example.org/{i}") for i in range(9)], "page_url string, url string")
     got = frontier.crawl(links, spark.createDataFrame([("https://h.example.org/a",)], "url string"), 3, max_pages=4)
     assert got.count() == 4 and got.filter(F.col("depth") == 0).count() == 1
+
+
+def simulated(pages, links, seeds, hosts, sitemaps, max_pages, max_depth, batch):
+    """The same crawl one row at a time."""
+    document = lambda u: u.endswith(".pdf")
+    host = lambda u: u.split("/")[2]
+    allowed = lambda u: any(host(u) == h or host(u).endswith("." + h) for h in hosts)
+    slashes = lambda u: u.rstrip("/").count("/")
+    rank = lambda u, d: d - 20 if document(u) else 40 + d * 8 - (5 if slashes(u) <= 3 else 0)
+    seen, frontier, served, out = set(), {}, {}, []
+
+    def enter(found):
+        least = {}
+        for u, d in found:
+            if u not in seen and (d <= max_depth or document(u)):
+                least[u] = min(d, least.get(u, d))
+        seen.update(least)
+        frontier.update(least)
+
+    enter([(u, 0) for u in seeds if allowed(u)])
+    turn = 0
+    while frontier and len(out) < max_pages:
+        turn += 1
+        rows = []
+        for h in {host(u) for u in frontier}:
+            own = sorted((rank(u, d), d, u) for u, d in frontier.items() if host(u) == h)
+            rows += [(served.get(h, 0) + i, *r) for i, r in enumerate(own)]
+        now = [(u, d) for _, _, d, u in sorted(rows)[: min(batch, max_pages - len(out))]]
+        out += [(u, d, turn, i) for i, (u, d) in enumerate(now, 1)]
+        found = [(v, d + 1) for u, d in now if pages.get(u, 500) < 400 for v in links.get(u, []) if allowed(v) and "/cart" not in v]
+        for h in {host(u) for u, _ in now} - set(served):
+            found += [(u, 1) for u in sitemaps.get(h, []) if allowed(u)]
+        for u, _ in now:
+            del frontier[u]
+            served[host(u)] = served.get(host(u), 0) + 1
+        enter(found)
+    return out
+
+
+@pytest.mark.parametrize("batch, max_pages", [(1, 25), (4, 40), (1000, 1000), (7, 60)])
+def test_crawl_job_equals_a_simulation(spark, batch, max_pages):
+    rng = random.Random(batch)
+    # One host owns most pages; one lies below an allowed host, one is not allowed.
+    hosts = ["big.org"] * 6 + ["small.org", "sub.small.org", "other.net"]
+    names = [f"https://{h}/{'cart/' if i % 23 == 0 else ''}p{i}{'.pdf' if i % 7 == 0 else ''}" for i, h in enumerate(rng.choice(hosts) for _ in range(120))]
+    pages = {u: 404 if i % 11 == 0 else 200 for i, u in enumerate(names) if i % 13}
+    links = {u: rng.sample(names, 4) for u in names}
+    sitemaps = {"small.org": rng.sample(names, 6), "big.org": rng.sample(names, 3)}
+    seeds = [u for u in names if "cart" not in u][:3] + ["https://nowhere.net/x"]
+    allow = ["big.org", "small.org"]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = crawl.crawl_job(
+        frame(list(pages.items()), "url string, status int"), frame([(u, v) for u, vs in links.items() for v in vs], "page_url string, url string"),
+        frame([(u,) for u in seeds], "url string"), frame([(h,) for h in allow], "host string"),
+        frame([(h, u) for h, us in sitemaps.items() for u in us], "host string, url string"), max_pages, 3, batch,
+    )
+    assert sorted((r["round"], r.place, r.url, r.depth) for r in got.collect()) == sorted(
+        (turn, i, u, d) for u, d, turn, i in simulated(pages, links, seeds, allow, sitemaps, max_pages, 3, batch)
+    )

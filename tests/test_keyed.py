@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quaero.operators import keyed
+from quaero.operators import keyed, selection
 
 
 def rows_with_hot_key(n=400):
@@ -57,7 +57,7 @@ def test_asof_join(spark):
     joined = keyed.asof_join(
         spark.createDataFrame(left, "id long, key string, asked timestamp"),
         spark.createDataFrame(right, "key string, told timestamp, n long"),
-        ["key"], "asked", "told", "prior", width=3_600,
+        ["key"], "asked", "told", "prior",
     )
     got = {r.id: (r.prior.n if r.prior else None) for r in joined.collect()}
     for i, key, asked in left:
@@ -78,11 +78,32 @@ def test_contains_join_with_few_and_many_seeds(spark, monkeypatch):
         assert sorted(got) == sorted(wanted)
 
 
-def test_join_hot(spark):
-    rows = spark.createDataFrame([("hot", i) for i in range(5_000)] + [(f"k{i}", i) for i in range(5_000)], "key string, n long")
-    table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 5_000, 2)], "key string, v long")
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    joined = keyed.join_hot(rows, table, "key", counts)
-    assert joined.count() == 10_000
-    assert joined.filter("key = 'hot' and v = 1").count() == 5_000
-    assert joined.filter("v is null").count() == 2_500
+def test_asof_join_spreads_a_hot_hour_over_runs(spark):
+    """A third of all events of one key in one hour: no run holds much more than its share."""
+    rng = random.Random(9)
+    start = datetime.datetime(2026, 1, 1)
+    at = lambda hot: start + datetime.timedelta(milliseconds=rng.randint(0, 3_600_000 if hot else 400_000_000))
+    left = [(i, "hot" if i % 3 else f"k{i % 40}", at(i % 3)) for i in range(1500)]
+    right = [("hot" if i % 3 else f"k{i % 40}", at(i % 3), i) for i in range(1500)]
+    joined = keyed.asof_join(
+        spark.createDataFrame(left, "id long, key string, asked timestamp"), spark.createDataFrame(right, "key string, told timestamp, n long"),
+        ["key"], "asked", "told", "prior",
+    )
+    got = {r.id: (r.prior.told if r.prior else None) for r in joined.collect()}
+    told = {}
+    for k, t, _ in right:
+        told.setdefault(k, []).append(t)
+    assert got == {i: max((t for t in told.get(k, []) if t <= a), default=None) for i, k, a in left}
+
+
+def test_ranked_values_are_those_of_sorted_lists(spark):
+    rng = random.Random(10)
+    values = {"a": [rng.gauss(0, 1) for _ in range(3000)], "b": [5.0] * 900, "c": [rng.choice([-1e308, 1e308, 0.0, 1e-300]) for _ in range(500)],
+              None: [float(i) for i in range(100)], "d": [1.0], "e": [rng.random() ** 40 for _ in range(2000)]}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("a", None), ("f", None)]
+    ranks = [(k, r) for k, vs in values.items() for r in {0, len(vs) // 2, len(vs) - 1, len(vs), 7, 450}] + [("f", 0), ("g", 0)]
+    df = spark.createDataFrame(rows, "key string, v double")
+    for bins, most in ((1024, 4096), (16, 10), (2, 1)):
+        found = selection.ranked_values(df, ["key"], "v", spark.createDataFrame(ranks, "key string, rank long"), bins, most)
+        got = {(r.key, r["rank"]): r.value for r in found.collect()}
+        assert got == {(k, r): sorted(values[k])[r] for k, r in ranks if k in values and r < len(values[k])}

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quaero.functions import sparse
 from quaero.functions import vectors as V
 from quaero.operators import chunking, dense
 
@@ -85,3 +86,35 @@ def test_embeddings_are_unit_vectors_in_batches(spark):
     made = chunking.embed(df, "text", batch=7)
     lengths = {round(r.n, 4) for r in made.select(V.norm(F.col("embedding")).alias("n")).collect()}
     assert lengths == {0.0, 1.0}
+
+
+def test_sparse_vectors_are_merged_by_their_indices(spark):
+    import math
+
+    rng = random.Random(6)
+    dims = 5_000_000_000
+
+    def made():
+        return {rng.choice([3, 9, 1_000_003, 4_999_999_999, rng.randint(1, dims)]): rng.choice([0.5, -2.0, 3.25]) for _ in range(rng.randrange(6))}
+
+    pairs = [(made(), made()) for _ in range(200)]
+    text = lambda d, n=dims: "{" + ",".join(f"{i}:{v}" for i, v in d.items()) + "}/" + str(n)
+    rows = [(k, text(a), text(b)) for k, (a, b) in enumerate(pairs)]
+    rows += [(900, "{1:1}/3", "{1:1}/4"), (901, "{5:1}/3", "{}/3"), (902, "{1:1,1:2}/3", "{}/3"), (903, "1:1/3", "{}/3"), (904, None, "{}/3"), (905, "{ 2 : 1e2 , 1:-.5 }/3", "{}/3")]
+    df = spark.createDataFrame(rows, "id int, s string, t string").select("id", sparse.parse(F.col("s")).alias("a"), sparse.parse(F.col("t")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    got = {r.id: r for r in df.select(
+        "id", a, sparse.inner_product(a, b).alias("ip"), sparse.l2_distance(a, b).alias("l2"), sparse.l1_distance(a, b).alias("l1"),
+        sparse.cosine_distance(a, b).alias("cos"), sparse.norm(a).alias("norm"), sparse.to_text(sparse.normalize(a)).alias("unit"),
+    ).collect()}
+    for k, (x, y) in enumerate(pairs):
+        both = set(x) | set(y)
+        ip = sum(x.get(i, 0) * y.get(i, 0) for i in both)
+        lengths = math.dist([0] * len(x), list(x.values())) * math.dist([0] * len(y), list(y.values()))
+        assert math.isclose(got[k].ip, ip, abs_tol=1e-9) and math.isclose(got[k].l2, math.sqrt(sum((x.get(i, 0) - y.get(i, 0)) ** 2 for i in both)), abs_tol=1e-9)
+        assert math.isclose(got[k].l1, sum(abs(x.get(i, 0) - y.get(i, 0)) for i in both), abs_tol=1e-9)
+        assert got[k].cos is None if not lengths else math.isclose(got[k].cos, 1 - ip / lengths, abs_tol=1e-9)
+        assert got[k].a.indices == sorted(x)
+    assert got[900].ip is None and all(got[k].a is None for k in (901, 902, 903, 904)) and got[905].a.values == [-0.5, 100.0]
+    dense_rows = spark.createDataFrame([(1, [0.0, 2.0, 0.0]), (2, None)], "id int, v array<float>").select(sparse.to_text(sparse.from_dense(F.col("v"))).alias("t"))
+    assert [r.t for r in dense_rows.collect()] == ["{2:2.0}/3", None]
