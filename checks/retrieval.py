@@ -38,7 +38,8 @@ LETTERS_SQL = "list_transform(range(97, 123), lambda c: (len({c}) - len(translat
 
 
 def letters(text):
-    had = lambda c: F.length(text) - F.length(F.translate(text, c + c.upper(), ""))
+    gone = lambda c: F.replace(F.replace(text, F.lit(c), F.lit("")), F.lit(c.upper()), F.lit(""))
+    had = lambda c: F.length(text) - F.length(gone(c))
     return F.array(*[had(chr(c)).cast("float") for c in range(97, 123)])
 
 

@@ -47,7 +47,7 @@ class GramIndex:
         grams = unfold(chunks.select("chunk_id", cell, _pieces(F.lower("content")).alias("_all")), ["chunk_id", "cell"], "_all", "_at", "gram")
         blocks = grams.groupBy("cell", "gram").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list("chunk_id")).alias("ids"))
         placed = blocks.select("gram", "cell", "n", "ids", self._bucket())
-        ordered = placed.repartitionByRange("bucket", "gram", "cell").sortWithinPartitions("bucket", "gram", "cell")
+        ordered = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "cell")
         ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segment={segment}")
 
     def _blocks(self, grams: DataFrame) -> DataFrame:

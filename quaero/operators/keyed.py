@@ -126,8 +126,8 @@ def asof_join(
         )
     )
     tied = F.when(F.col("_side") == 0, F.xxhash64("_right")).otherwise(F.xxhash64("_left"))
-    runs = events.withColumn("_tie", tied).repartitionByRange(*keys, "_at", "_side", "_tie")
-    # The cuts come from a sample: they are drawn once and stored with the rows.
+    # Stored before they are sampled for the cuts, as sampling goes through all rows once more; the cuts are drawn once.
+    runs = cut_lineage(events.withColumn("_tie", tied)).repartitionByRange(*keys, "_at", "_side", "_tie")
     laid = cut_lineage(runs.withColumn("_run", F.spark_partition_id()))
     joined = carry_forward(
         laid, keys, "_at", F.col("_right"), into, tie=[F.col("_side"), F.col("_tie")], bucket_of=F.col("_run")

@@ -109,16 +109,16 @@ class PostingsIndex:
             "term", "cell", "n", "max_tf", "least_length", F.transform("_all", posting).alias("postings"),
             F.transform("_all", lambda p: p["places"]).alias("places"), self._bucket().alias("bucket"),
         )
-        ordered = laid_out.repartitionByRange("bucket", "term", "cell").sortWithinPartitions("bucket", "term", "cell")
+        ordered = laid_out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "cell")
         self._write(ordered, "blocks", segment, "bucket")
 
         written = self.spark.read.schema(_without("blocks", "segment")).parquet(f"{self.path}/blocks/segment={segment}")
         self._write(written.groupBy("term", "bucket").agg(F.sum("n").alias("df")).filter("df > 0").repartition("bucket"), "terms", segment, "bucket")
-        n_words = chunks.select(F.sum(F.size(lexical.words_of("content"))).cast("long")).first()[0] or 0
+        n_words = written.agg(F.sum(F.aggregate(F.col("postings.tf"), F.lit(0).cast("long"), lambda a, tf: a + tf))).first()[0] or 0
         postings = written.filter("n > 0").select("term", "bucket", F.explode("postings").alias("_p")).select("term", "bucket", "_p.*").filter("tf > 0")
         share = _share(F.col("tf"), F.col("len"), max(1.0, n_words / max(1, n_chunks)), 1.2, 0.75)
         best = first_rows(postings, ["term"], [F.desc(share), F.asc("chunk_id")], CHAMPIONS)
-        self._write(best.repartitionByRange("bucket", "term"), "champions", segment, "bucket")
+        self._write(best.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "champions", segment, "bucket")
         self._commit(segment, n_chunks, n_words)
         return segment
 

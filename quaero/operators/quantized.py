@@ -172,8 +172,8 @@ class QuantizedIndex:
         known.write.mode("overwrite").parquet(f"{self.path}/vectors/segment={segment}")
         written = self.spark.read.schema("chunk_id long, embedding array<float>").parquet(f"{self.path}/vectors/segment={segment}")
         codes = written.mapInPandas(encode, "chunk_id long, code binary, far float, cell int")
-        # Cells are laid out by ranges, so that a common one is spread over several files.
-        codes.repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell").write.mode("overwrite").partitionBy("cell").parquet(
+        # Common cells are spread over several files, rare ones share a task.
+        codes.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(
             f"{self.path}/codes/segment={segment}"
         )
         stored = self.spark.read.schema("far float, cell int").parquet(f"{self.path}/codes/segment={segment}")

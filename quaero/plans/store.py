@@ -75,7 +75,9 @@ class SearchIndex:
             self.words.remove(removed, segment)
         self.words.add(added, segment + 1, cluster)
         out = None if removed is None else removed.select("chunk_id")
-        known = added.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")).filter(F.size("embedding") > 0)
+        # Unfolded first: a filter on the vector itself would work it out a second time.
+        held = added.select("chunk_id", F.explode_outer(F.array(F.col("embedding").cast("array<float>"))).alias("embedding"))
+        known = held.filter(F.size("embedding") > 0)
         self._vectors.apply(known, out, segment)
         if self.quantized:
             if out is not None:

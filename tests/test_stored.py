@@ -4,7 +4,6 @@ import datetime
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from quaero.operators import dense, lexical, lookup, versioning
@@ -41,7 +40,7 @@ def test_stored_words_find_what_the_direct_search_finds(spark, tmp_path):
     chunks, queries = chunk_rows(spark, texts(1200)), asked(spark, QUESTIONS)
     index = PostingsIndex(spark, str(tmp_path))
     index.add(chunks, cluster=F.col("chunk_id") % 3)
-    for k in (1, 5, 18):
+    for k in (1, 18):
         assert shown(index.bm25_topk(queries, k)) == shown(lexical.bm25_topk(chunks, queries, k))
         assert shown(index.lexical_topk(queries, k)) == shown(lexical.lexical_topk(chunks, queries, k))
         assert shown(index.lexical_topk(queries, k, plain=True)) == shown(lexical.lexical_topk(chunks, queries, k, plain=True))
@@ -171,9 +170,8 @@ def pages(spark, rows):
     )
 
 
-@pytest.mark.parametrize("twice", [False, True])
-def test_store_follows_its_pages(spark, tmp_path, twice):
-    """Two runs, the second perhaps run twice: documents, chunks, changes and both searches are those of the pages as they stand."""
+def test_store_follows_its_pages(spark, tmp_path):
+    """Two runs, the second run twice: documents, chunks, changes and both searches are those of the pages as they stand."""
     store = CorpusStore(spark, str(tmp_path / "corpus"), SearchIndex(spark, str(tmp_path / "index")))
     long = "plain sentence about harbour number {} and its boats, long enough to be kept as a document of its own."
     url = "https://example.org/{}".format
@@ -183,7 +181,7 @@ def test_store_follows_its_pages(spark, tmp_path, twice):
     ids = {r.url: r.document_id for r in store.documents.current().collect()}
     assert sorted(ids.values()) == list(range(1, 9))
     second = pages(spark, [(0, url(0), 200, long.format(0)), (1, url(1), 200, long.format("one hundred")), (2, url(2), 404, "gone"), (9, url(9), 200, long.format(9))])
-    for _ in range(2 if twice else 1):
+    for _ in range(2):
         status = {r.url: (r.status, r.document_id) for r in store.ingest(second, at, 2 * STEP).collect()}
     assert status == {url(0): ("unchanged", ids[url(0)]), url(1): ("updated", ids[url(1)]), url(9): ("new", 9)}
     documents = {r.url: r for r in store.documents.current().collect()}
