@@ -142,9 +142,9 @@ def _(t):
     """Compressed vectors in cells, loaded again, against the exact search: the share of all exact hits that is found."""
     built = quantized(t, stored_index(t).vectors())
     found = QuantizedIndex.load(t.spark, built.path).topk(question_vectors(t))
-    told = dense.recall(found, dense.dense_topk(question_vectors(t), stored_index(t).vectors()))
-    share = told.agg((F.avg("recall") >= 0.9).alias("nine_of_ten"))
-    return told.select("query_id").join(F.broadcast(share))
+    told = cut_lineage(dense.recall(found, dense.dense_topk(question_vectors(t), stored_index(t).vectors())))
+    share = told.agg(F.avg("recall")).first()[0]
+    return told.select("query_id", F.lit(share is not None and share >= 0.9).alias("nine_of_ten"))
 
 
 @query("quantized_topk_all_cells", f"WITH {CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM near")
