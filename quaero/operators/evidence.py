@@ -629,7 +629,8 @@ def contact_for(asked: DataFrame, links: DataFrame) -> DataFrame:
     """``(query_id, label, url, contact)``: the institution's, else the best topic's, else the front desk's.
 
     ``asked`` has institution. Topics are ranked by the share of the question's
-    words that they hold, at least 0.08.
+    words that they hold, at least 0.08; questions of the same words and topics of
+    the same words are compared once, a topic is named by its first link.
     """
     spark = asked.sparkSession
     known = questions.institutions(spark).select(
@@ -637,24 +638,26 @@ def contact_for(asked: DataFrame, links: DataFrame) -> DataFrame:
         F.concat_ws(" · ", "address", "phone", "email").alias("contact"),
     )
     by_institution = asked.join(known, "institution").select("query_id", "label", "url", "contact")
-    rest = asked.join(by_institution.select("query_id"), "query_id", "left_anti")
-    words_asked = rest.select("query_id", T.tokens(F.lower("question")).alias("_t"))
-    sized = unfold(words_asked.withColumn("_n", F.size("_t")), ["query_id", "_n"], "_t", "_at", "word")
+    rest = asked.join(by_institution.select("query_id"), "query_id", "left_anti").select(
+        "query_id", "question", F.array_sort(T.tokens(F.lower("question"))).alias("_said")
+    )
+    said = rest.select("_said").distinct().withColumn("_n", F.size("_said"))
     topic = F.concat_ws(" ", T.text_or_empty("topic_ro"), T.text_or_empty("topic_ru"))
-    told = links.select("link_id", F.explode(T.tokens(topic)).alias("word"))
-    shares = sized.join(told, "word").groupBy("query_id", "link_id").agg(
+    named = links.groupBy(F.array_sort(T.tokens(topic)).alias("_topic")).agg(F.min("link_id").alias("link_id"))
+    told = named.select("link_id", F.explode("_topic").alias("word"))
+    shares = unfold(said, ["_said", "_n"], "_said", "_at", "word").join(told, "word").groupBy("_said", "link_id").agg(
         (F.count("*") / F.first("_n")).alias("share")
     ).filter("share >= 0.08")
-    by_topic = first_rows(shares, ["query_id"], [F.desc("share"), F.asc("link_id")], 1).join(links, "link_id").select(
-        "query_id", F.coalesce(F.nullif("contact_label", F.lit("")), F.col("topic_ro")).alias("label"),
-        "url", F.col("contact_value").alias("contact"),
+    best = first_rows(shares, ["_said"], [F.desc("share"), F.asc("link_id")], 1).join(links, "link_id").select(
+        "_said", F.lit(True).alias("_found"), F.coalesce(F.nullif("contact_label", F.lit("")), F.col("topic_ro")).alias("_label"),
+        F.col("url").alias("_url"), F.col("contact_value").alias("_contact"),
     )
     permit = T.matches(F.lower("question"), patterns.PERMIT_OFFICE_WORDS)
-    choose = lambda i: F.when(permit, contacts.PERMIT_OFFICE[i]).otherwise(contacts.FRONT_DESK[i])
-    default = rest.join(by_topic.select("query_id"), "query_id", "left_anti").select(
-        "query_id", choose(0).alias("label"), choose(1).alias("url"), choose(2).alias("contact")
+    choose = lambda own, i: F.when(F.col("_found"), F.col(own)).when(permit, contacts.PERMIT_OFFICE[i]).otherwise(contacts.FRONT_DESK[i])
+    others = rest.join(best, "_said", "left").select(
+        "query_id", choose("_label", 0).alias("label"), choose("_url", 1).alias("url"), choose("_contact", 2).alias("contact")
     )
-    return by_institution.unionByName(by_topic).unionByName(default)
+    return by_institution.unionByName(others)
 
 
 # --- responses -------------------------------------------------------------------------

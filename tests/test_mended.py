@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quaero.operators import dense, frontier, keyed, lookup
+from quaero.operators import dense, evidence, frontier, keyed, lookup
 
 
 def test_an_address_is_found_by_its_end_only(spark):
@@ -44,3 +44,21 @@ def test_a_deep_tree_of_sitemaps_is_read_to_its_end(spark):
     roots = spark.createDataFrame([("h.org", "https://h.org/sitemap0.xml")], "host string, url string")
     found = frontier.harvest_sitemaps(roots, stored).select(F.col("url"))
     assert [r.url for r in found.collect()] == ["https://h.org/leaf"]
+
+
+def test_contacts_are_looked_up_once_for_equal_questions_and_topics(spark, monkeypatch):
+    seen = []
+    first_rows = evidence.first_rows
+    monkeypatch.setattr(evidence, "first_rows", lambda df, *rest: (seen.append(df.count()), first_rows(df, *rest))[1])
+    asked = spark.range(300).select(
+        F.col("id").alias("query_id"), F.when(F.col("id") % 3 < 2, "Caut parcare rezidențială").otherwise("zzz").alias("question"),
+        F.lit(None).cast("string").alias("institution"),
+    )
+    links = spark.range(1, 201).select(
+        F.col("id").alias("link_id"), F.lit("parcare rezidențială").alias("topic_ro"), F.lit(None).cast("string").alias("topic_ru"),
+        F.col("id").cast("string").alias("url"), F.concat(F.lit("Ghișeu "), F.col("id").cast("string")).alias("contact_label"),
+        F.lit("tel").alias("contact_value"),
+    )
+    found = {r.query_id: r.label for r in evidence.contact_for(asked, links).collect()}
+    assert len(found) == 300 and {found[i] for i in found if i % 3 < 2} == {"Ghișeu 1"} and "Ghișeu 1" not in {found[i] for i in range(2, 300, 3)}
+    assert seen == [1]  # one question meets one topic, not 200 questions 200 topics
