@@ -5,6 +5,8 @@ is stored as the number of its nearest code word (a byte). A query looks its inn
 small tables, keeps its best candidates of the nearest cells, and those alone are scored from the vectors themselves.
 
 Centres and code words are learnt from at most ``SAMPLE`` vectors, the first by a hash of their number; everything is indexed.
+Into how many parts a vector is cut follows from that sample: the fewest with which the candidates that its share of all rows
+would get hold the nearest rows. At the most, each component is a part of its own.
 How many cells a query opens at first follows from that sample, too: the fewest that give its vectors the recall asked for. Then
 a query opens whatever other cell may hold a better row: one whose centre is nearer than its k-th distance so far and the radius
 within which REACH of the cell's rows lie. The exact way is ``dense.dense_topk`` over ``vectors()``.
@@ -31,6 +33,8 @@ RERANKED = 12
 # Values of the query vectors that tasks hold at a time: 8 MB.
 QUERY_VALUES = 1 << 20
 TARGET, REACH = 0.95, 0.95
+# Of the rows that the sample's own rows are nearest to, how many the candidates must hold.
+HELD, SLACK = 0.99, 1e-12
 SCORED = "query_id long, chunk_id long, score double"
 
 
@@ -77,9 +81,9 @@ class Quantizer:
         return self.centres.shape[1]
 
     @classmethod
-    def learn(cls, rows: np.ndarray, cells: int, parts: int = PARTS, words: int = WORDS) -> Quantizer:
+    def learn(cls, rows: np.ndarray, cells: int, parts: int = PARTS, words: int = WORDS, centres: np.ndarray | None = None) -> Quantizer:
         rng = np.random.default_rng(SEED)
-        centres = centres_of(rows, cells, rng)
+        centres = centres_of(rows, cells, rng) if centres is None else centres
         # Widths that do not divide are filled up with zeros.
         rest = cls._parts(rows - centres[nearest(rows, centres)], parts)
         found = [centres_of(part, words, rng) for part in rest]
@@ -110,6 +114,17 @@ class Quantizer:
         return with_centres[query, cell] + with_words[query, np.arange(code.shape[1])[None, :], code].sum(axis=1)
 
 
+    def recall(self, rows: np.ndarray, k: int, candidates: int) -> float:
+        """The share of the nearest ``k`` rows of some of ``rows`` that is among the best ``candidates`` by estimate."""
+        k, candidates = min(k, len(rows)), min(candidates, len(rows))
+        asked = rows[:: max(1, len(rows) // 256)][:256]
+        (cell, code), tables, found = self.encode(rows), self.tables(asked), 0
+        for i, scores in enumerate(asked @ rows.T):
+            best = np.argpartition(-self.estimates(tables, i, cell, code), candidates - 1)[:candidates]
+            found += min(k, int((scores[best] >= np.partition(scores, -k)[-k] - SLACK).sum()))
+        return found / (k * len(asked))
+
+
 @dataclass
 class QuantizedIndex:
     """The index in folder ``path``: ``codes`` by cell, ``vectors`` by number, and the quantizer."""
@@ -122,15 +137,20 @@ class QuantizedIndex:
     @classmethod
     def build(cls, vectors: DataFrame, path: str, cells: int | None = None, parts: int = PARTS, k: int = 18,
               target: float = TARGET) -> QuantizedIndex:
-        """Learn from a sample of ``vectors`` (chunk_id, embedding), write all of them."""
+        """Learn from a sample of ``vectors`` (chunk_id, embedding), write all of them; ``parts`` at least."""
         spark = vectors.sparkSession
         known = vectors.select("chunk_id", "embedding").filter(F.size("embedding") > 0)
-        width = known.agg(F.mode(F.size("embedding"), deterministic=True)).first()[0] or 1
+        width, n = known.agg(F.mode(F.size("embedding"), deterministic=True), F.count("*")).first()
+        width = width or 1
         picked = known.filter(F.size("embedding") == width).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).select("embedding").toPandas()
         rows = unit_rows(picked["embedding"], width)
         rows = rows[~np.isnan(rows).any(axis=1)]
         rows = rows if len(rows) else np.eye(1, width)
         quantizer = Quantizer.learn(rows, cells or max(1, min(len(rows) // 8, int(2 * np.sqrt(len(rows))))), parts)
+        candidates = max(k, k * RERANKED * len(rows) // max(1, n))
+        while parts < width and quantizer.recall(rows, k, candidates) < HELD:
+            parts = min(width, parts * 2)
+            quantizer = Quantizer.learn(rows, len(quantizer.centres), parts, centres=quantizer.centres)
         index = cls(spark, path, quantizer, len(quantizer.centres))
         index.probes = index._fewest_probes(rows, k, target)
         table = [("centres", quantizer.centres.shape, quantizer.centres), ("words", quantizer.words.shape, quantizer.words),

@@ -114,6 +114,18 @@ def test_quantized_search_finds_nine_of_ten_and_is_loaded_again(spark, tmp_path)
     assert got[1] == 9500 and first not in got.values()
 
 
+def test_vectors_that_lie_close_together_are_cut_into_more_parts(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    made = lambda n, name: spark.createDataFrame(
+        [(i, [float(x) for x in r]) for i, r in enumerate(1 + rng.normal(size=(n, 64)) * 0.1)], f"{name} long, embedding array<float>"
+    )
+    chunks, queries = made(6000, "chunk_id").cache(), made(20, "query_id")
+    index = QuantizedIndex.build(chunks, str(tmp_path), cells=20)
+    assert len(index.quantizer.words) > 8
+    found = dense.recall(index.topk(queries), dense.dense_topk(queries, chunks)).agg(F.avg("recall")).first()[0]
+    assert found >= 0.9
+
+
 def table_rows(spark, rows):
     return spark.createDataFrame(rows, "url string, document_id long, content string")
 
