@@ -184,17 +184,20 @@ def cover_density(occurrences: Column) -> Column:
     return T.let(operands, covers)
 
 
-def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = 18, plain: bool = False,
+def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int | None = 18, plain: bool = False,
                  index: DataFrame | None = None) -> DataFrame:
     """``(query_id, chunk_id, score, rank)`` of the best matching chunks by cover density."""
     return best_covers(lexical_matches(chunks, query_terms(queries, plain), index), k)
 
 
-def best_covers(matched: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` chunks per query by cover density; scores alike to nine places are ties."""
+def best_covers(matched: DataFrame, k: int | None) -> DataFrame:
+    """The best ``k`` chunks per query by cover density, or all of them; scores alike to nine places are ties."""
     scored = matched.select("query_id", "chunk_id", cover_density(F.col("occurrences")).alias("score"))
     best = scored.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return first_rows(best, ["query_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")], k, "rank")
+    order = [F.desc(F.round("score", 9)), F.asc("chunk_id")]
+    if k is None:
+        return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return first_rows(best, ["query_id"], order, k, "rank")
 
 
 def collection_stats(chunks: DataFrame) -> DataFrame:

@@ -236,12 +236,17 @@ class PostingsIndex:
         together = lists.groupBy(*cell).agg(F.collect_list("_ids").alias("_lists"))
         found = self._alive(together.select(*cell, F.explode(shared).alias("chunk_id")), segments)
         words = cut_lineage(found).join(terms, ["query_id", "alt"])
-        read = blocks.select("segment", "cell", "term", F.arrays_zip(F.col("postings.chunk_id").alias("id"), F.col("places").alias("at")).alias("_all"))
-        own = F.get(F.filter("_all", lambda p: p["id"] == F.col("chunk_id")), F.lit(0))["at"]
-        placed = read.join(words, ["segment", "cell", "term"]).withColumn("positions", own).filter("positions is not null")
+        # A block is met once, whatever asks for it, and gives out the places of the chunks that are left.
+        wanted = words.groupBy("segment", "cell", "term").agg(F.collect_set("chunk_id").alias("_wanted"))
+        read = blocks.join(wanted, ["segment", "cell", "term"]).select(
+            "segment", "term", "_wanted", F.arrays_zip(F.col("postings.chunk_id").alias("id"), F.col("places").alias("at")).alias("_all")
+        )
+        kept = F.filter("_all", lambda p: F.array_contains("_wanted", p["id"]))
+        places = read.select("segment", "term", F.inline(kept).alias("chunk_id", "positions"))
+        placed = places.join(words, ["segment", "term", "chunk_id"])
         return lexical.occurrences(placed, terms)
 
-    def lexical_topk(self, queries: DataFrame, k: int = 18, plain: bool = False) -> DataFrame:
+    def lexical_topk(self, queries: DataFrame, k: int | None = 18, plain: bool = False) -> DataFrame:
         """``(query_id, chunk_id, score, rank)`` by cover density, as ``lexical.lexical_topk``."""
         return lexical.best_covers(self.matches(lexical.query_terms(queries, plain)), k)
 

@@ -79,6 +79,17 @@ def test_cells_that_cannot_hold_a_best_chunk_stay_closed(spark, tmp_path):
     assert "regexp_extract_all(content" not in plan and "regexp_extract_all" not in plan.split("== Optimized Logical Plan ==")[1]
 
 
+def test_all_matches_are_returned_when_no_number_is_given(spark, tmp_path):
+    rows = [(i, f"one two {'x ' * (i % 5)}three") for i in range(50)] + [(90, "one two")]
+    index, queries = PostingsIndex(spark, str(tmp_path)), asked(spark, ["three one", "three or two"])
+    index.add(chunk_rows(spark, rows))
+    found = {(r.query_id, r.chunk_id, r["rank"]) for r in index.lexical_topk(queries, k=None).collect()}
+    assert len(found) == 101 and found == {
+        (r.query_id, r.chunk_id, r["rank"]) for r in lexical.lexical_topk(chunk_rows(spark, rows), queries, k=None).collect()
+    }
+    assert {r for q, _, r in found if q == 0} == set(range(1, 51))
+
+
 def test_an_empty_index_finds_nothing(spark, tmp_path):
     index, queries = PostingsIndex(spark, str(tmp_path)), asked(spark, QUESTIONS)
     assert index.bm25_topk(queries).collect() == [] and index.lexical_topk(queries).collect() == []
