@@ -9,10 +9,15 @@ from pyspark.sql.window import Window
 from quaero.functions import text as T
 from quaero.functions.text import fold, string_array
 from quaero.operators.keyed import first_rows, unfold
+from quaero.session import cut_lineage
 
 WORD = "[\\p{L}\\p{N}]+"
 # Weights of the section and of the content.
 WEIGHTS = {"A": 1.0, "B": 0.4}
+# Pairs of a query and a chunk that a task adds up and orders at the most, as long as the tasks are not too many.
+PAIRS, MOST_TASKS = 1_000_000, 20_000
+# Words of queries that are sent to every task: counted before.
+SENT = 200_000
 
 
 def words_of(c: Column | str) -> Column:
@@ -205,34 +210,47 @@ def collection_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.avg(F.size(words_of("content"))).alias("avg_len"))
 
 
+def tasks_for(n_chunks: int, n_queries: int, least: int) -> int:
+    """How many tasks share the pairs of chunks and queries, so that a task's memory does not grow with either."""
+    return max(least, min(MOST_TASKS, -(-n_chunks * n_queries // PAIRS)))
+
+
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 18,
               k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(query_id, chunk_id, score, rank)`` by BM25 over any of a query's distinct words.
 
-    Only words of some query leave the scan. They are laid out by chunk once;
-    counting terms and adding up scores per (query, chunk) happen in place, and
-    each task gives out only its k best per query.
+    Only words of some query leave the scan. They are laid out by chunk once, in
+    as many tasks as the pairs of chunks and queries need: words are few bytes, but
+    each meets all queries that ask for it. Counting terms and adding up scores per
+    (query, chunk) happen in place, and each task gives out only its k best per query.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words_of("question"))).alias("term"))
-    vocabulary = asked.select("term").distinct()
+    asked = cut_lineage(queries.select("query_id", F.explode(F.array_distinct(words_of("question"))).alias("term")))
     split = chunks.select("chunk_id", words_of("content").alias("_words")).withColumn("_len", F.size("_words"))
-    lengths = unfold(split, ["chunk_id", "_len"], "_words", "_at", "term")
-    counted = (
-        lengths.join(vocabulary, "term", "left_semi").repartition("chunk_id")
-        .groupBy("chunk_id", "term", "_len").agg(F.count("*").alias("tf"))
+    # One pass for the words and the chunks: each chunk has a row without a word, too.
+    held = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct("_words"), string_array([])))
+    told = split.select("_len", F.explode_outer(held).alias("term")).groupBy("term").agg(
+        F.count("*").alias("df"), F.avg("_len").alias("avg_len")
     )
-    stats = collection_stats(chunks).first()
-    n_chunks, avg_len = stats["n_chunks"], stats["avg_len"] or 1.0
-    frequency = counted.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(frequency, "term").select(
+    vocabulary = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+    frequency = cut_lineage(told.join(vocabulary, "term", "left").filter("_asked or term is null"))
+    line = frequency.filter("term is null").first()
+    n_chunks, avg_len = (line["df"], line["avg_len"] or 1.0) if line else (0, 1.0)
+    weighted = cut_lineage(asked.join(frequency, "term").select(
         "query_id", "term",
         F.log(1 + (F.lit(n_chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+    ))
+    sent = F.broadcast if weighted.count() <= SENT else (lambda df: df)
+    tasks = tasks_for(n_chunks, queries.count(), chunks.sparkSession.sparkContext.defaultParallelism)
+    lengths = unfold(split, ["chunk_id", "_len"], "_words", "_at", "term")
+    counted = (
+        lengths.join(sent(weighted.select("term").distinct()), "term", "left_semi").repartition(tasks, "chunk_id")
+        .groupBy("chunk_id", "term", "_len").agg(F.count("*").alias("tf"))
     )
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.lit(avg_len))
     )
     scored = (
-        counted.join(weighted, "term").groupBy("chunk_id", "query_id")
+        counted.join(sent(weighted), "term").groupBy("chunk_id", "query_id")
         .agg(F.sum(part).alias("score")).select("query_id", "chunk_id", "score")
     )
     return first_rows(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")], k, "rank")

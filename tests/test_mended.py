@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.evidence import asks
-from quaero.operators import dense, evidence, frontier, keyed, lookup
+from quaero.operators import dense, evidence, frontier, keyed, lexical, lookup
 
 
 def test_an_address_is_found_by_its_end_only(spark):
@@ -69,3 +69,15 @@ def test_of_texts_alike_in_length_the_first_is_the_question(spark):
     for order in ("doc_id", "-doc_id"):
         docs = spark.createDataFrame([(i, f"text {i}" if i else None) for i in range(8)], "doc_id long, text string").orderBy(F.expr(order)).coalesce(1)
         assert [r.question for r in asks(lambda _: docs).collect()] == ["text 1"]
+
+
+def test_tasks_of_the_word_search_grow_with_chunks_and_queries(spark, monkeypatch):
+    assert lexical.tasks_for(3_000_000, 200, 8) == 600 and lexical.tasks_for(10, 10, 8) == 8
+    chunks = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" for j in range(1, 9))) for i in range(60)] + [(90, None), (91, "")], "chunk_id long, content string")
+    queries = spark.createDataFrame([(0, "w1 w5"), (1, "w7 w7 none"), (2, None)], "query_id long, question string")
+    shown = lambda: sorted((r.query_id, r.chunk_id, r["rank"], round(r.score, 9)) for r in lexical.bm25_topk(chunks, queries, 5).collect())
+    whole = shown()
+    assert len(whole) == 10
+    monkeypatch.setattr(lexical, "PAIRS", 10)
+    monkeypatch.setattr(lexical, "SENT", 0)
+    assert shown() == whole
