@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.evidence import asks
-from quaero.operators import dense, evidence, frontier, keyed, lexical, lookup
+from quaero.operators import dense, evidence, frontier, html, keyed, lexical, lookup
 
 
 def test_an_address_is_found_by_its_end_only(spark):
@@ -81,3 +81,11 @@ def test_tasks_of_the_word_search_grow_with_chunks_and_queries(spark, monkeypatc
     monkeypatch.setattr(lexical, "PAIRS", 10)
     monkeypatch.setattr(lexical, "SENT", 0)
     assert shown() == whole
+
+
+def test_pages_are_read_a_few_at_a_time():
+    rows = [{"page_id": i, "url": "https://x.org/a", "html": f"<p>t{i}<a href='/b'>c</a>" if i else None} for i in range(250)]
+    out = list(html.read_pages(iter([html.pa.RecordBatch.from_pylist(rows)])))
+    assert [b.num_rows for b in out] == [100, 100, 50]
+    assert [r["page_id"] for b in out for r in b.to_pylist()] == list(range(250))
+    assert out[0].to_pylist()[1]["pieces"][0]["t"] == "t1" and out[0].to_pylist()[0]["pieces"] == []
