@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quaero.functions import text as T
+
 KIND = "struct<dims:bigint,indices:array<bigint>,values:array<double>>"
 
 
@@ -21,24 +23,30 @@ def of_pairs(dims: Column, pairs: Column) -> Column:
         merged = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(p["i"].alias("i"), (last["v"] + p["v"]).alias("v"))))
         return F.when(F.size(done) == 0, F.array(p)).otherwise(F.when(last["i"] == p["i"], merged).otherwise(longer))
 
-    once = F.filter(F.aggregate(ordered, F.array().cast("array<struct<i:bigint,v:double>>"), add), lambda p: p["v"] != 0)
-    return F.struct(dims.cast("long").alias("dims"), once["i"].alias("indices"), once["v"].alias("values")).cast(KIND)
+    summed = F.filter(F.aggregate(ordered, F.array().cast("array<struct<i:bigint,v:double>>"), add), lambda p: p["v"] != 0)
+    return T.let(summed, lambda once: F.struct(dims.cast("long").alias("dims"), once["i"].alias("indices"), once["v"].alias("values")).cast(KIND))
 
 
 def parse(text: Column) -> Column:
     """From the text form ``{1:0.5,7:2}/10``; null if it is not of that form or an index is out of range."""
-    plain = F.regexp_replace(text, r"\s+", "")
     number = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-    fits = plain.rlike(r"^\{(?:[0-9]+:%s(?:,[0-9]+:%s)*)?\}/[0-9]+$" % (number, number))
-    dims = F.regexp_extract(plain, r"/([0-9]+)$", 1).try_cast("long")
-    entries = F.regexp_extract_all(plain, F.lit(r"([0-9]+):([^,}]+)"), F.lit(0))
-    pairs = F.transform(entries, lambda e: F.struct(
-        F.substring_index(e, ":", 1).try_cast("long").alias("index"), F.substring_index(e, ":", -1).try_cast("double").alias("value")
-    ))
-    made = of_pairs(dims, pairs)
-    inside = F.forall(pairs, lambda p: (p["index"] >= 1) & (p["index"] <= dims))
-    unique = F.size(F.array_distinct(F.transform(pairs, lambda p: p["index"]))) == F.size(pairs)
-    return F.when(fits & inside & unique, made)
+    shape = r"^\{(?:[0-9]+:%s(?:,[0-9]+:%s)*)?\}/[0-9]+$" % (number, number)
+
+    def read(plain: Column) -> Column:
+        entries = F.regexp_extract_all(plain, F.lit(r"([0-9]+):([^,}]+)"), F.lit(0))
+        pairs = F.transform(entries, lambda e: F.struct(
+            F.substring_index(e, ":", 1).try_cast("long").alias("index"), F.substring_index(e, ":", -1).try_cast("double").alias("value")
+        ))
+        told = F.struct(F.regexp_extract(plain, r"/([0-9]+)$", 1).try_cast("long").alias("dims"), pairs.alias("pairs"))
+        return F.when(plain.rlike(shape), T.let(told, made))
+
+    def made(told: Column) -> Column:
+        dims, pairs = told["dims"], told["pairs"]
+        inside = F.forall(pairs, lambda p: (p["index"] >= 1) & (p["index"] <= dims))
+        unique = F.size(F.array_distinct(F.transform(pairs, lambda p: p["index"]))) == F.size(pairs)
+        return F.when(inside & unique, of_pairs(dims, pairs))
+
+    return T.let(F.regexp_replace(text, r"\s+", ""), read)
 
 
 def to_text(a: Column) -> Column:
@@ -107,6 +115,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """The vector at length one; one without entries stays as it is."""
-    length = norm(a)
-    scaled = F.transform(a["values"], lambda v: v / length)
-    return F.when(length == 0, a).otherwise(F.struct(a["dims"].alias("dims"), a["indices"].alias("indices"), scaled.alias("values")).cast(KIND))
+
+    def scaled(x: Column, length: Column) -> Column:
+        values = F.transform(x["values"], lambda v: v / length)
+        return F.when(length == 0, x).otherwise(F.struct(x["dims"].alias("dims"), x["indices"].alias("indices"), values.alias("values")).cast(KIND))
+
+    return T.let(a, lambda x: T.let(norm(x), lambda length: scaled(x, length)))

@@ -118,3 +118,10 @@ def test_sparse_vectors_are_merged_by_their_indices(spark):
     assert got[900].ip is None and all(got[k].a is None for k in (901, 902, 903, 904)) and got[905].a.values == [-0.5, 100.0]
     dense_rows = spark.createDataFrame([(1, [0.0, 2.0, 0.0]), (2, None)], "id int, v array<float>").select(sparse.to_text(sparse.from_dense(F.col("v"))).alias("t"))
     assert [r.t for r in dense_rows.collect()] == ["{2:2.0}/3", None]
+
+
+def test_a_sparse_text_is_read_once(spark):
+    df = spark.createDataFrame([("{3:4,1:3}/9",)], "s string").select(sparse.normalize(sparse.parse(F.col("s"))).alias("u"))
+    assert df.first().u == (9, [1, 3], [0.6, 0.8])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 1 and plan.count("regexp_extract_all(") <= 1
