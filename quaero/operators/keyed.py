@@ -19,6 +19,14 @@ from quaero.session import cut_lineage
 
 BUCKET_WIDTH = 10_000
 MAX_SEEDS = 2_000
+# Narrow rows (numbers, words) that are sent to every task: counted before.
+SENT = 200_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """Stored narrow rows, marked for broadcast where they are few: after a checkpoint Spark no longer knows how many there are, and
+    would shuffle the large table that they pick rows from."""
+    return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
 
 
 def first_rows(

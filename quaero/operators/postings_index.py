@@ -17,13 +17,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaero.functions.text import string_array
 from quaero.operators import lexical
-from quaero.operators.keyed import first_rows, unfold
+from quaero.operators.keyed import first_rows, sent, unfold
 from quaero.session import cut_lineage
 
 CELL, CHAMPIONS, CLUSTERS = 256, 32, 256
@@ -46,16 +48,74 @@ def _share(tf: Column, length: Column, average: float, k1: float, b: float) -> C
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(average)))
 
 
-def _words(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, cell, len, term, pos, weight)``: section words first, then content; ``len`` counts the latter."""
+def _split(chunks: DataFrame, *keep: str) -> DataFrame:
+    """``(chunk_id, *keep, _n, len, _words)``: ``_n`` section words first, then content, whose words ``len`` counts."""
     section = lexical.words_of("section") if "section" in chunks.columns else string_array([])
-    cell = F.col("cell") if "cell" in chunks.columns else F.lit(0).alias("cell")
-    split = chunks.select("chunk_id", cell, section.alias("_section"), lexical.words_of("content").alias("_content")).select(
-        "chunk_id", "cell", F.size("_section").alias("_n"), F.size("_content").alias("len"), F.concat("_section", "_content").alias("_words")
+    return chunks.select("chunk_id", *keep, section.alias("_section"), lexical.words_of("content").alias("_content")).select(
+        "chunk_id", *keep, F.size("_section").alias("_n"), F.size("_content").alias("len"), F.concat("_section", "_content").alias("_words")
     )
-    rows = unfold(split, ["chunk_id", "cell", "_n", "len"], "_words", "_at", "term")
+
+
+def _words(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, len, term, pos, weight)``."""
+    rows = unfold(_split(chunks), ["chunk_id", "_n", "len"], "_words", "_at", "term")
     weight = F.when(F.col("_at") < F.col("_n"), "A").otherwise("B")
-    return rows.select("chunk_id", "cell", "len", "term", (F.col("_at") + 1).cast("int").alias("pos"), weight.alias("weight"))
+    return rows.select("chunk_id", "len", "term", (F.col("_at") + 1).cast("int").alias("pos"), weight.alias("weight"))
+
+
+# A block on its way to its folder: numbers in flat lists, a place of weight A below zero.
+PACKED = "term string, cell int, n int, max_tf int, least_length double, _ids array<bigint>, _tfs array<int>, _lens array<int>, _spots array<array<int>>"
+
+
+def _first_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where one of the keys differs from the row before."""
+    new = np.zeros(len(sorted_keys[0]), dtype=bool)
+    new[:1] = True
+    for key in sorted_keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def _cell_blocks(cell: pa.Table) -> pa.Table:
+    """The blocks of one cell, from the split texts of its chunks."""
+    words = pa.concat_arrays(cell.column("_words").chunks)
+    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    chunk, length, sections = (cell.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("chunk_id", "len", "_n"))
+    # Rows alike in number and length are one chunk.
+    known, row = np.unique(np.stack([chunk, length]), axis=1, return_inverse=True)
+    coded = words.flatten().dictionary_encode()
+    term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    plain = (at >= np.repeat(sections, sizes)).astype(np.int64)
+    owner = np.repeat(row.ravel(), sizes)
+    order = np.lexsort((plain, at, owner, term))
+    term, owner, at, plain = term[order], owner[order], at[order], plain[order]
+    posting = _first_of(term, owner)
+    tf = np.add.reduceat(plain, posting) if len(posting) else plain
+    owner, ends = owner[posting], np.append(posting, len(term))
+    block = _first_of(term[posting])
+    shorter = np.where(tf > 0, known[1][owner] / np.maximum(tf, 1), np.inf)
+    reduced = lambda of, values: of.reduceat(values, block) if len(block) else values
+    least = reduced(np.minimum, shorter)
+    stops = pa.array(np.append(block, len(posting)), pa.int32())
+    listed = lambda values, kind: pa.ListArray.from_arrays(stops, pa.array(values, kind))
+    spots = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.where(plain, at + 1, -at - 1), pa.int32()))
+    return pa.table({
+        "term": coded.dictionary.take(pa.array(term[posting][block])),
+        "cell": pa.array(np.full(len(block), cell.column("cell")[0].as_py()), pa.int32()),
+        "n": pa.array(reduced(np.add, (tf > 0).astype(np.int64)), pa.int32()),
+        "max_tf": pa.array(reduced(np.maximum, tf), pa.int32()),
+        "least_length": pa.array(least, pa.float64(), mask=np.isinf(least)),
+        "_ids": listed(known[0][owner], pa.int64()), "_tfs": listed(tf, pa.int32()), "_lens": listed(known[1][owner], pa.int32()),
+        "_spots": pa.ListArray.from_arrays(stops, spots),
+    })
+
+
+def _unpacked(blocks: DataFrame) -> DataFrame:
+    posting = F.arrays_zip(F.col("_ids").alias("chunk_id"), F.col("_tfs").alias("tf"), F.col("_lens").alias("len"))
+    place = lambda s: F.struct(F.abs(s).alias("pos"), F.when(s < 0, "A").otherwise("B").alias("weight"))
+    places = F.transform("_spots", lambda spots: F.transform(spots, place))
+    return blocks.select("term", "cell", "n", "max_tf", "least_length", posting.alias("postings"), places.alias("places"), "bucket")
 
 
 @dataclass
@@ -93,24 +153,11 @@ class PostingsIndex:
             first += -(-n // CELL)
         own = F.element_at(F.create_map(*numbers), F.col("_group")) if numbers else F.struct(F.lit(0).alias("first"), F.lit(1).alias("cells"))
         cell = (own["first"] + F.pmod(F.xxhash64("chunk_id"), own["cells"])).cast("int").alias("cell")
-        per_chunk = (
-            _words(chunks.withColumn("cell", cell)).repartition("cell", "term")
-            .groupBy("cell", "term", "chunk_id", "len")
-            .agg(F.count_if(F.col("weight") == "B").cast("int").alias("tf"), F.array_sort(F.collect_list(F.struct("pos", "weight"))).alias("places"))
-        )
-        counted = F.col("tf") > 0
-        blocks = per_chunk.groupBy("cell", "term").agg(
-            F.count_if(counted).cast("int").alias("n"), F.max("tf").alias("max_tf"),
-            F.min(F.when(counted, F.col("len") / F.col("tf"))).alias("least_length"),
-            F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "len", "places"))).alias("_all"),
-        )
-        posting = lambda p: F.struct(p["chunk_id"].alias("chunk_id"), p["tf"].alias("tf"), p["len"].alias("len"))
-        laid_out = blocks.select(
-            "term", "cell", "n", "max_tf", "least_length", F.transform("_all", posting).alias("postings"),
-            F.transform("_all", lambda p: p["places"]).alias("places"), self._bucket().alias("bucket"),
-        )
+        # Texts go to the task of their cell, which lays out its blocks in place: a shuffled row is a text or a block, never a word.
+        dealt = chunks.withColumn("cell", cell).repartition("cell")
+        laid_out = _split(dealt, "cell").groupBy("cell").applyInArrow(_cell_blocks, PACKED).withColumn("bucket", self._bucket())
         ordered = laid_out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "cell")
-        self._write(ordered, "blocks", segment, "bucket")
+        self._write(_unpacked(ordered), "blocks", segment, "bucket")
 
         written = self.spark.read.schema(_without("blocks", "segment")).parquet(f"{self.path}/blocks/segment={segment}")
         self._write(written.groupBy("term", "bucket").agg(F.sum("n").alias("df")).filter("df > 0").repartition("bucket"), "terms", segment, "bucket")
@@ -175,43 +222,57 @@ class PostingsIndex:
     def weights(self, queries: DataFrame, segments: list[int], n_chunks: int) -> DataFrame:
         """``(query_id, term, idf)`` of the words of the queries that the index has."""
         asked = cut_lineage(queries.select("query_id", F.explode(F.array_distinct(lexical.words_of("question"))).alias("term")))
-        counts = self._of("terms", segments, self._buckets(asked)).join(asked.select("term").distinct(), "term", "left_semi")
+        counts = self._of("terms", segments, self._buckets(asked)).join(sent(asked.select("term").distinct()), "term", "left_semi")
         frequency = counts.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
         idf = F.log(1 + (F.lit(n_chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return cut_lineage(asked.join(frequency, "term").select("query_id", "term", idf.alias("idf")))
 
-    def open_cells(self, weighted: DataFrame, segments: list[int], average: float, k: int, k1: float, b: float) -> DataFrame:
-        """``(query_id, segment, cell, bound, open)``: the cells that have a word of the query, and whether they may hold one
-        of its best ``k`` chunks."""
-        buckets = self._buckets(weighted)
-        champions = self._alive(self._of("champions", segments, buckets), segments).join(weighted, "term")
+    def floors(self, weighted: DataFrame, segments: list[int], average: float, k: int, k1: float, b: float) -> DataFrame:
+        """``(query_id, floor)``: no score of a query's best ``k`` chunks is lower, as ``k`` of its terms' champions reach it."""
+        champions = self._alive(self._of("champions", segments, self._buckets(weighted)), segments).join(sent(weighted), "term")
         partial = champions.groupBy("query_id", "chunk_id").agg(
             F.sum(F.col("idf") * _share(F.col("tf"), F.col("len"), average, k1, b)).alias("score")
         )
-        floors = (
+        return cut_lineage(
             first_rows(partial, ["query_id"], [F.desc("score")], k).groupBy("query_id")
             .agg(F.count("*").alias("_n"), F.min("score").alias("floor")).filter(F.col("_n") == k).select("query_id", "floor")
         )
-        heads = self._of("blocks", segments, buckets).filter("n > 0").select("segment", "cell", "term", "max_tf", "least_length")
+
+    def open_cells(self, weighted: DataFrame, segments: list[int], average: float, k: int, k1: float, b: float,
+                   floors: DataFrame | None = None) -> DataFrame:
+        """``(query_id, segment, cell, bound, open)``: the cells that have a word of the query, and whether they may hold one
+        of its best ``k`` chunks."""
+        floors = self.floors(weighted, segments, average, k, k1, b) if floors is None else floors
+        heads = self._of("blocks", segments, self._buckets(weighted)).filter("n > 0").select("segment", "cell", "term", "max_tf", "least_length")
         most = _share(F.col("max_tf"), F.col("least_length") * F.col("max_tf"), average, k1, b)
-        bounds = heads.join(weighted, "term").groupBy("query_id", "segment", "cell").agg(F.sum(F.col("idf") * most).alias("bound"))
+        bounds = heads.join(sent(weighted), "term").groupBy("query_id", "segment", "cell").agg(F.sum(F.col("idf") * most).alias("bound"))
         reach = F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - SLACK
-        return bounds.join(floors, "query_id", "left").select("query_id", "segment", "cell", "bound", reach.alias("open"))
+        return bounds.join(sent(floors), "query_id", "left").select("query_id", "segment", "cell", "bound", reach.alias("open"))
 
     def bm25_topk(self, queries: DataFrame, k: int = 18, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """``(query_id, chunk_id, score, rank)`` by BM25 over any of a query's distinct words, as ``lexical.bm25_topk``."""
+        """``(query_id, chunk_id, score, rank)`` by BM25 over any of a query's distinct words, as ``lexical.bm25_topk``.
+
+        Only blocks of words that some query has leave the scan. They meet by cell, where scores are added up in place, and only
+        chunks that reach their query's floor are ordered.
+        """
         segments, n_chunks, n_words = self._manifest()
         average = n_words / n_chunks if n_chunks and n_words else 1.0
         weighted = self.weights(queries, segments, n_chunks)
-        opened = self.open_cells(weighted, segments, average, k, k1, b).filter("open").select("query_id", "segment", "cell")
-        asked = opened.join(weighted, "query_id")
+        floors = self.floors(weighted, segments, average, k, k1, b)
+        opened = self.open_cells(weighted, segments, average, k, k1, b, floors).filter("open")
+        openers = opened.groupBy("segment", "cell").agg(F.collect_list("query_id").alias("_open"))
+        least = self.spark.sparkContext.defaultParallelism
+        tasks = lexical.tasks_for(max(0, n_chunks), weighted.select("query_id").distinct().count(), least)
         blocks = self._of("blocks", segments, self._buckets(weighted)).filter("n > 0").select("segment", "cell", "term", "postings")
-        met = blocks.join(asked, ["segment", "cell", "term"]).select("query_id", "segment", "idf", F.explode("postings").alias("_p"))
-        postings = self._alive(met.select("query_id", "segment", "idf", "_p.*").filter("tf > 0"), segments)
-        scored = postings.groupBy("query_id", "chunk_id").agg(
-            F.sum(F.col("idf") * _share(F.col("tf"), F.col("len"), average, k1, b)).alias("score")
+        needed = blocks.join(sent(weighted.select("term").distinct()), "term", "left_semi").repartition(tasks, "segment", "cell")
+        met = needed.join(openers, ["segment", "cell"]).join(sent(weighted), "term").filter(F.array_contains("_open", F.col("query_id")))
+        postings = met.select("segment", "cell", "query_id", "idf", F.explode("postings").alias("_p")).filter("_p.tf > 0")
+        scored = postings.groupBy("segment", "cell", "query_id", "_p.chunk_id").agg(
+            F.sum(F.col("idf") * _share(F.col("_p.tf"), F.col("_p.len"), average, k1, b)).alias("score")
         )
-        return first_rows(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")], k, "rank")
+        high = scored.join(sent(floors), "query_id", "left").filter(F.col("score") >= F.coalesce("floor", F.lit(0.0)) - SLACK)
+        alive = self._alive(high.select("query_id", "segment", "chunk_id", "score"), segments).drop("segment")
+        return first_rows(alive, ["query_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")], k, "rank")
 
     def matches(self, terms: DataFrame) -> DataFrame:
         """``(query_id, alt, chunk_id, occurrences)`` as ``lexical.lexical_matches``.
@@ -221,12 +282,13 @@ class PostingsIndex:
         """
         segments, _, _ = self._manifest()
         terms = cut_lineage(lexical.distinct_operands(terms))
-        required = terms.filter(~F.col("negate")).select("query_id", "alt", "term").distinct()
+        required = cut_lineage(terms.filter(~F.col("negate")).select("query_id", "alt", "term").distinct())
         needed = required.groupBy("query_id", "alt").agg(F.count("*").alias("_needed"))
-        blocks = self._of("blocks", segments, self._buckets(terms))
+        asked = sent(cut_lineage(terms.select("term").distinct()))
+        blocks = self._of("blocks", segments, self._buckets(terms)).join(asked, "term", "left_semi")
         cell = ["query_id", "alt", "segment", "cell"]
         full = (
-            blocks.select("segment", "cell", "term").join(required, "term").groupBy(*cell).agg(F.count("*").alias("_have"))
+            blocks.select("segment", "cell", "term").join(sent(required), "term").groupBy(*cell).agg(F.count("*").alias("_have"))
             .join(needed, ["query_id", "alt"]).filter("_have = _needed").select(*cell)
         )
         lists = blocks.select("segment", "cell", "term", F.col("postings.chunk_id").alias("_ids")).join(
