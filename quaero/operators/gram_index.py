@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaero.operators.keyed import first_rows, substrings, unfold
+from quaero.operators.keyed import first_rows, sent
 from quaero.session import cut_lineage
 
 LONGEST, CELL = 3, 1024
@@ -25,8 +27,48 @@ AHEAD = 8
 SCHEMA = "gram string, cell int, n int, ids array<bigint>, segment long, bucket int"
 
 
-def _pieces(text: Column) -> Column:
-    return F.array_distinct(F.concat(*[substrings(text, n) for n in range(1, LONGEST + 1)]))
+# Characters of a text that are cut into pieces at a time, and bits of a character.
+BLOCK, BITS = 1 << 20, 21
+
+
+def _pieces(needle: Column, size: Column) -> Column:
+    """The distinct pieces of ``size`` characters of a needle that has as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(needle) - size + 1), lambda i: F.substr(needle, i, size)))
+
+
+def _grams(text: bytes, n: int) -> np.ndarray:
+    """The distinct pieces of ``n`` characters of a text (UTF-8), each as a number."""
+    codes = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.int64)
+    found = []
+    for at in range(0, max(0, len(codes) - n + 1), BLOCK):
+        some = codes[at : at + BLOCK + n - 1]
+        key = np.zeros(len(some) - n + 1, dtype=np.int64)
+        for i in range(n):
+            key = key << BITS | some[i : i + len(key)]
+        found.append(np.unique(key))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+
+
+def _cell_blocks(cell: pa.Table) -> pa.Table:
+    """The blocks of one cell, from the texts of its chunks."""
+    cell = cell.sort_by("chunk_id")
+    ids = cell.column("chunk_id").to_numpy()
+    texts = [t or b"" for t in cell.column("_low").cast(pa.large_binary()).to_pylist()]
+    number, parts = cell.column("cell")[0].as_py(), []
+    for n in range(1, LONGEST + 1):
+        grams = [_grams(t, n) for t in texts]
+        key = np.concatenate(grams)
+        owner = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
+        order = np.argsort(key, kind="stable")
+        known, first, counts = np.unique(key[order], return_index=True, return_counts=True)
+        codes = np.stack([known >> BITS * (n - 1 - i) & (1 << BITS) - 1 for i in range(n)], axis=1).astype("<u4")
+        joined = codes.tobytes().decode("utf-32-le")
+        parts.append(pa.table({
+            "gram": pa.array([joined[i : i + n] for i in range(0, len(joined), n)], pa.string()),
+            "cell": pa.array(np.full(len(known), number), pa.int32()), "n": pa.array(counts, pa.int32()),
+            "ids": pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(ids[owner[order]], pa.int64())),
+        }))
+    return pa.concat_tables(parts)
 
 
 @dataclass
@@ -44,8 +86,9 @@ class GramIndex:
         """Index ``chunks`` as one segment; writing it again replaces it."""
         cells = max(1, -(-chunks.count() // CELL))
         cell = F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int").alias("cell")
-        grams = unfold(chunks.select("chunk_id", cell, _pieces(F.lower("content")).alias("_all")), ["chunk_id", "cell"], "_all", "_at", "gram")
-        blocks = grams.groupBy("cell", "gram").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list("chunk_id")).alias("ids"))
+        # Texts go to the task of their cell, which lays out its blocks in place: a shuffled row is a text or a block, never a piece.
+        dealt = chunks.select("chunk_id", cell, F.lower("content").alias("_low"))
+        blocks = dealt.groupBy("cell").applyInArrow(_cell_blocks, "gram string, cell int, n int, ids array<bigint>")
         placed = blocks.select("gram", "cell", "n", "ids", self._bucket())
         ordered = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "cell")
         ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segment={segment}")
@@ -67,17 +110,19 @@ class GramIndex:
         ``needles`` has distinct (needle), in lower case; an empty one stands in no text.
         """
         size = F.least(F.length("needle"), F.lit(LONGEST))
-        pieces = F.when(size == 1, substrings(F.col("needle"), 1)).when(size == 2, substrings(F.col("needle"), 2)).otherwise(substrings(F.col("needle"), 3))
-        asked = cut_lineage(needles.filter(size > 0).select("needle", F.explode(F.array_distinct(pieces)).alias("gram")))
-        blocks = self._blocks(asked)
-        counts = blocks.select("gram", "n").join(asked.select("gram").distinct(), "gram").groupBy("gram").agg(F.sum("n").alias("n"))
+        some = needles.filter(F.length("needle") > 0)
+        asked = cut_lineage(some.select("needle", F.explode(_pieces(F.col("needle"), size)).alias("gram")))
+        blocks = self._blocks(asked).join(sent(asked.select("gram").distinct()), "gram", "left_semi")
+        counts = blocks.select("gram", "n").groupBy("gram").agg(F.sum("n").alias("n"))
         # A piece that no chunk has is the rarest, and leaves the needle without a full cell.
         known = asked.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         rarest = cut_lineage(first_rows(known, ["needle"], [F.asc("n"), F.asc("gram")], LISTS).select("needle", "gram"))
         needed = rarest.groupBy("needle").agg(F.count("*").alias("_needed"))
         cell = ["needle", "segment", "cell"]
+        few = sent(rarest)
+        blocks = self._blocks(rarest).join(sent(rarest.select("gram").distinct()), "gram", "left_semi")
         full = (
-            blocks.select("segment", "cell", "gram").join(rarest, "gram").groupBy(*cell).agg(F.count("*").alias("_have"))
+            blocks.select("segment", "cell", "gram").join(few, "gram").groupBy(*cell).agg(F.count("*").alias("_have"))
             .join(needed, "needle").filter("_have = _needed").select(*cell)
         )
         lists = blocks.select("segment", "cell", "gram", "ids").join(full.join(rarest, "needle"), ["segment", "cell", "gram"])
@@ -95,8 +140,8 @@ class GramIndex:
         texts = chunks.select("chunk_id", F.lower("content").alias("_low"))
 
         def holding(some: DataFrame) -> DataFrame:
-            wanted = texts.join(some.select("chunk_id").distinct(), "chunk_id", "left_semi")
-            return some.join(wanted, "chunk_id").filter(F.contains("_low", F.col("needle"))).select("needle", "chunk_id")
+            wanted = cut_lineage(some.select("chunk_id").distinct())
+            return some.join(texts.join(sent(wanted), "chunk_id", "left_semi"), "chunk_id").filter(F.contains("_low", F.col("needle"))).select("needle", "chunk_id")
 
         ahead = cut_lineage(first_rows(long, ["needle"], order, k * AHEAD, "_place"))
         held = cut_lineage(holding(ahead))

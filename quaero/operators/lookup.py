@@ -11,7 +11,8 @@ from quaero.functions import text as T
 from quaero.functions import urls as U
 from quaero.operators import facts
 from quaero.operators.gram_index import GramIndex
-from quaero.operators.keyed import contains_join, first_rows
+from quaero.operators.keyed import contains_join, first_rows, sent
+from quaero.session import cut_lineage
 from quaero.values import patterns
 
 FIRST_CHUNKS = 12
@@ -54,10 +55,16 @@ def exact_phrase(phrases: DataFrame, chunks: DataFrame, documents: DataFrame, li
         texts = chunks.select("chunk_id", F.lower("content").alias("_low"))
         found = contains_join(texts, "_low", distinct, "needle").select("needle", "chunk_id")
         first = first_rows(found, ["needle"], _chunk_order(), limit, "pos")
-    few = needles.join(first, "needle").drop("needle")
-    return few.join(chunks.select("chunk_id", "document_id", "content"), "chunk_id").join(
-        documents.select("document_id", "title", "url"), "document_id"
-    ).select("query_id", "pos", "chunk_id", "document_id", "title", "url",
+    few = cut_lineage(needles.join(first, "needle").drop("needle"))
+    # Numbers go to the texts, not these to them.
+    held = chunks.select("chunk_id", "document_id", F.substring("content", 1, 280).alias("content")).join(
+        sent(cut_lineage(few.select("chunk_id").distinct())), "chunk_id", "left_semi"
+    )
+    placed = cut_lineage(few.join(held, "chunk_id"))
+    titles = documents.select("document_id", "title", "url").join(
+        sent(cut_lineage(placed.select("document_id").distinct())), "document_id", "left_semi"
+    )
+    return placed.join(titles, "document_id").select("query_id", "pos", "chunk_id", "document_id", "title", "url",
              F.substring("content", 1, 280).alias("snippet"))
 
 
