@@ -18,8 +18,8 @@ import numpy as np
 CACHED = 500_000
 # Longer words are encoded but not kept.
 LONGEST = 64
-# Bytes of text that are parted at a time.
-BLOCK = 1 << 21
+# Bytes of text that are parted at a time; a worker holds some hundred bytes for each of them.
+BLOCK = 1 << 18
 # Texts of these characters alone are parted by their bytes: ASCII and Latin letters that have one lower-case letter each.
 LATIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-įı-ſ]*")
 # What the tokenizer's pattern tells apart: white space, letters (all bytes beyond ASCII here), digits, others.
