@@ -219,8 +219,8 @@ def related_chunks(hits: DataFrame, chunks: DataFrame, documents: DataFrame, per
                    max_extra: int = 12, max_docs: int = 8) -> DataFrame:
     """More chunks of the documents already hit, without those hit themselves."""
     docs = hits.groupBy("query_id", "document_id").agg(F.min("pos").alias("_doc_pos"))
-    docs = first_rows(docs, ["query_id"], [F.asc("_doc_pos"), F.asc("document_id")], max_docs)
-    needed = docs.select("document_id").distinct()
+    docs = cut_lineage(first_rows(docs, ["query_id"], [F.asc("_doc_pos"), F.asc("document_id")], max_docs))
+    needed = sent(cut_lineage(docs.select("document_id").distinct()))
     openings = first_chunks(chunks.join(needed, "document_id", "left_semi"), per_doc + 2)
     more = docs.join(openings, "document_id").join(
         hits.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti"
@@ -229,7 +229,7 @@ def related_chunks(hits: DataFrame, chunks: DataFrame, documents: DataFrame, per
     titles = documents.select(
         "document_id", F.col("title").alias("document_title"), F.col("url").alias("document_url")
     )
-    rows = few.join(titles, "document_id").select(
+    rows = few.join(titles.join(needed, "document_id", "left_semi"), "document_id").select(
         "query_id", "pos", "chunk_id", "document_id", "document_title", "document_url", "content", "page", "section"
     )
     return as_hits(rows, 0.5, 0.5, 0.45)
