@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaero.llm import decontamination, jaccard, packing, pii, quality
+from quaero.llm.arrow import BATCH, ROWS, small_batches
 from quaero.llm.common import new_folder, read_documents, read_labels
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned ones reject go."""
+    """Documents that the base rules or the learned ones reject go.
+
+    Their texts go to Python ROWS at a time. That is settled when the result is written, so the session keeps the setting;
+    ``run`` gives the former one back.
+    """
+    spark.conf.set(BATCH, str(ROWS))
     return quality.keep_good(docs, read_labels(spark, sf_dir))
 
 
@@ -56,6 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     for name, stage in STAGES:
         folder = new_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
+        with small_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
     return docs

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.arrow import ROWS, map_batches, slices, texts_of
+from quaero.llm.arrow import ROWS, give_back, map_batches, slices, texts_of
 from quaero.llm.common import small
 from quaero.llm.encoding import BLOCK, KINDS, SPACE, blocks, hashes
 
@@ -132,13 +132,15 @@ def with_statistics(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with the counts as a structure ``name``; the other columns do not pass through Python."""
 
     @F.pandas_udf(", ".join(f"{c} bigint" for c in BASE + MORE))
-    def measure(texts: pd.Series) -> pd.DataFrame:
-        parts = []
-        for at in range(0, len(texts), ROWS):
-            plain = [t or "" for t in texts.iloc[at : at + ROWS]]
-            counts = _measured([t.encode() for t in plain], [len(t) for t in plain])
-            parts.append(pd.DataFrame(dict(zip(BASE + MORE, counts, strict=True))))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=BASE + MORE, dtype="int64")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            parts = []
+            for at in range(0, len(texts), ROWS):
+                plain = [t or "" for t in texts.iloc[at : at + ROWS]]
+                counts = _measured([t.encode() for t in plain], [len(t) for t in plain])
+                parts.append(pd.DataFrame(dict(zip(BASE + MORE, counts, strict=True))))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=BASE + MORE, dtype="int64")
+        give_back()
 
     return docs.withColumn(name, measure("text"))
 
