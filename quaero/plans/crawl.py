@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quaero.functions import urls as U
 from quaero.operators import links as L
+from quaero.operators.keyed import sent
 from quaero.session import cut_lineage
 
 # Pages that are fetched in a round, and parts that a host's rows are dealt to before they are ranked.
@@ -65,12 +66,15 @@ def crawl_job(pages: DataFrame, links: DataFrame, seeds: DataFrame, hosts: DataF
         if not taken:
             break
         left, turn = left - taken, turn + 1
-        answered = cut_lineage(now.join(pages.select("url", "status"), "url", "left"))
+        # The few addresses of a round go to the large tables, which are neither sorted out nor shuffled as a whole.
+        asked = pages.select("url", "status").join(sent(now.select("url")), "url", "left_semi")
+        answered = cut_lineage(now.join(asked, "url", "left"))
         lines = answered.select("url", "host", "depth", F.lit(turn).alias("round"), "place", "status")
         visited = lines if visited is None else visited.unionByName(lines)
         # From a page, one step down; the sitemap of a host that is met for the first time lies at depth 1.
         good = answered.filter("status < 400").select(F.col("url").alias("page_url"), (F.col("depth") + 1).alias("depth"))
-        found = L.admit(links.join(good, "page_url").select("url", "depth"), hosts)
+        read = links.join(sent(good.select("page_url")), "page_url", "left_semi")
+        found = L.admit(read.join(good, "page_url").select("url", "depth"), hosts)
         if sitemaps is not None:
             first_met = now.select("host").distinct().join(fetched.select("host"), "host", "left_anti")
             listed = L.allowed(sitemaps.join(first_met, "host").select("url"), hosts).withColumn("depth", F.lit(1))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quaero.operators import lookup
+from quaero.plans import crawl
 
 
 def plan_of(df):
@@ -21,3 +22,17 @@ def test_texts_are_not_shuffled_for_the_few_that_are_shown(spark):
     assert [(r.pos, r.chunk_id) for r in more.collect()] == [(1, 70)]
     plan = plan_of(more)
     assert plan.count("BroadcastHashJoin [document_id") >= 2 and "LeftSemi" in plan
+
+
+def test_a_crawl_does_not_sort_out_all_links_in_every_round(spark, monkeypatch):
+    plans, cut = [], crawl.cut_lineage
+    monkeypatch.setattr(crawl, "cut_lineage", lambda df: (plans.append(plan_of(df)), cut(df))[1])
+    page = lambda c: F.concat(F.lit("https://x.org/p"), c.cast("string"))
+    links = spark.range(3000).select(page(F.col("id")).alias("page_url"), page(F.col("id") + 1).alias("url")).distinct()
+    pages = spark.range(3000).select(page(F.col("id")).alias("url"), F.lit(200).alias("status")).distinct()
+    one = lambda value, name: spark.createDataFrame([(value,)], f"{name} string")
+    found = crawl.crawl_job(pages, links, one("https://x.org/p0", "url"), one("x.org", "host"), max_depth=2)
+    assert [r.url for r in found.orderBy("depth").collect()] == [f"https://x.org/p{i}" for i in range(3)]
+    read = [p for p in plans if "Range" in p]
+    # What is not asked for goes before the rest is made distinct.
+    assert len(read) == 6 and all("LeftSemi" in p and p.rindex("LeftSemi") > p.rindex("HashAggregate") for p in read)
