@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaero.functions import text as T
-from quaero.operators.keyed import first_rows, unfold
+from quaero.operators.keyed import first_rows, sent, unfold
+from quaero.session import cut_lineage
 from quaero.values import patterns, words
 
 MONTH_NAMES = "|".join(words.MONTHS)
@@ -281,10 +282,13 @@ def claims(title: Column, content: Column, field: Column, roots: Column) -> Colu
 
 
 def clear_claims(hits: DataFrame) -> DataFrame:
-    """One claim per (question, document): documents with two different ones are left out."""
-    asked = hits.withColumn("field", claim_field("question")).filter("field is not null").withColumn(
-        "_roots", subject_roots("question")
-    ).filter(F.size("_roots") >= 2)
+    """One claim per (question, document): documents with two different ones are left out.
+
+    What a question asks for is worked out once, however many hits it has.
+    """
+    questions = hits.select("question").distinct().withColumn("field", claim_field("question")).filter("field is not null")
+    questions = cut_lineage(questions.withColumn("_roots", subject_roots("question")).filter(F.size("_roots") >= 2))
+    asked = hits.join(sent(questions), "question")
     read = asked.withColumn(
         "_claims", claims(F.col("document_title"), F.col("content"), F.col("field"), F.col("_roots"))
     )
@@ -333,11 +337,10 @@ def conflicts(hits: DataFrame, limit: int = 3) -> DataFrame:
     few = first_rows(told, [*kind, "year", "amount", "document_url"], place, alike)
     same_value = 2 * (limit - 1) + 2 * alike + 2
     few = first_rows(few, [*kind, "year", "amount"], place, same_value)
-    same_url = few.withColumn("_url", F.coalesce("document_url", F.lit("")))
-    bounded_url = first_rows(
-        same_url.filter("_url != ''"), [*kind, "year", "_url"], place, same_value
-    ).unionByName(same_url.filter("_url = ''"))
-    few = first_rows(bounded_url, [*kind, "year"], place, 2 * (limit - 1) + 2 * same_value + 2).drop("_url")
+    # A document without an address shares it with none. Rows take one way only, so that claims are not read once for each.
+    own = F.when(F.coalesce("document_url", F.lit("")) == "", F.col("document_id"))
+    few = first_rows(few.withColumn("_own", own), [*kind, "year", "document_url", "_own"], place, same_value)
+    few = first_rows(few, [*kind, "year"], place, 2 * (limit - 1) + 2 * same_value + 2).drop("_own")
     side = lambda name: few.select(
         "query_id", "field", "qualifier",
         F.struct("pos", "document_id", F.col("document_title").alias("document"), "amount", "quote",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quaero.operators import lookup
+from quaero.operators import facts, lookup
 from quaero.plans import crawl
 
 
@@ -36,3 +36,20 @@ def test_a_crawl_does_not_sort_out_all_links_in_every_round(spark, monkeypatch):
     read = [p for p in plans if "Range" in p]
     # What is not asked for goes before the rest is made distinct.
     assert len(read) == 6 and all("LeftSemi" in p and p.rindex("LeftSemi") > p.rindex("HashAggregate") for p in read)
+
+
+def test_claims_are_read_once_for_each_side_and_questions_once_in_all(spark):
+    hits = spark.range(2000).select(
+        (F.col("id") % 3).alias("query_id"), F.lit("Ce termen are autorizația de demolare?").alias("question"), F.lit(1).alias("pos"),
+        F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), F.lit("Autorizația de demolare").alias("document_title"),
+        F.when(F.col("id") % 5 > 1, F.concat(F.lit("u"), F.col("id").cast("string"))).when(F.col("id") % 5 == 1, "").alias("document_url"),
+        F.concat(F.lit("Se emite autorizația de demolare în termen de "), (F.col("id") % 7 + 2).cast("string"), F.lit(" zile.")).alias("content"),
+        F.lit(1).alias("page"),
+    )
+    found = facts.conflicts(hits)
+    assert sorted((r.query_id, r.pair, r.left.document_id, r.right.document_id) for r in found.collect()) == [
+        (q, k, q, q + 3 * k) for q in range(3) for k in (1, 2, 3)
+    ]
+    plan = plan_of(found)
+    plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert plan.count("Generate posexplode") <= 2 and "Union" not in plan and "concurs" not in plan
