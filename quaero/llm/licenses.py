@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaero.functions.text import let
-from quaero.llm.common import ascii_lower, ascii_words, numbered
+from quaero.llm.common import ascii_lower, numbered
+
+# What separates words: all of ASCII but letters and digits.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The phrases of the base labels and sentences of public license notices.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -50,10 +53,18 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
+def lowered(text: Column) -> Column:
+    return ascii_lower(F.coalesce(text, F.lit("")))
+
+
+def words_of(text: Column) -> Column:
+    """The words of ``lowered`` text, cut at what lies between them: ``regexp_extract_all`` makes an object for each word."""
+    return F.array_remove(F.split(text, BETWEEN), "")
+
+
 def line_words(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, lines (the words of each line), words (of the whole text)."""
-    text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    lines = F.transform(F.split(text, "\n"), ascii_words)
+    lines = F.transform(F.split(lowered(F.col("text")), "\n"), words_of)
     return (
         numbered(docs.select("doc_id", "text"))
         .select("row_id", "doc_id", lines.alias("lines"))
@@ -66,7 +77,7 @@ def token_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     spark = docs.sparkSession
     terms = spark.createDataFrame([(t,) for t in vocabulary], "token string")
     counted = (
-        docs.select(F.explode_outer(ascii_words(F.col("text"))).alias("token"))
+        docs.select(F.explode_outer(words_of(lowered(F.col("text")))).alias("token"))
         .join(F.broadcast(terms), "token")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -292,6 +292,15 @@ def test_license_notices_over_several_lines(spark, width):
     assert [(found[i].labels, found[i].score) for i in (len(texts), len(texts) + 1)] == [("", 0), ("", 0)]
 
 
+def test_license_words_are_cut_without_matches(spark, capsys):
+    texts = [*[t for _, t in TEXTS], "\x00a\x7fb\x80c Ünï-cödé 漢字_x9 🙂z\r\n--", "A\n\nB", "..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n_words for r in licenses.scan(docs).collect()}
+    assert found == {i: len(licenses.template_words(t or "")) for i, t in enumerate(texts)}
+    licenses.scan(docs).explain("extended")
+    assert "regexp_extract_all" not in capsys.readouterr().out
+
+
 def repeated(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
