@@ -2,7 +2,8 @@
 
 The tokenizer of word_bpe_49k.json drops white space, parts texts by a fixed pattern and never joins what that parts, so a
 text's ids are those of its words, one after the other. Texts of Latin letters are parted here by the same pattern, many at a
-time, others at ASCII white space. Words unknown to a bounded cache of the Python worker are encoded, many at once.
+time, others at ASCII white space. Words unknown to bounded caches of the Python worker are encoded, many at once. Words of Latin
+letters are looked up in arrays, a block's words at a time, by their hash and their first bytes.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 # Words that a worker keeps; beyond it starts afresh, so its memory stays bounded.
 CACHED = 500_000
+# Two to this power words of Latin letters are kept, of at most so many ids each; a newer word takes an older one's place.
+SLOTS, WIDEST = 20, 8
 # Longer words are encoded but not kept.
 LONGEST = 64
 # Bytes of text that are parted at a time; a worker holds some hundred bytes for each of them.
@@ -90,6 +94,20 @@ def hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value first stands, and the number among these of every value."""
+    which = pa.array(values).dictionary_encode().indices.to_numpy()
+    most = np.maximum.accumulate(which)
+    return np.flatnonzero(np.diff(most, prepend=np.int32(-1))), which
+
+
+def heads(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each word as a number."""
+    at = np.arange(8)
+    held = at < (ends - starts)[:, None]
+    return np.where(held, text[np.minimum(starts[:, None] + at, len(text) - 1)], np.uint8(0)).view(np.uint64).reshape(-1)
+
+
 def blocks(text: bytes) -> list[bytes]:
     """``text`` cut at white space into parts of BLOCK bytes or so."""
     parts, at = [], 0
@@ -104,33 +122,45 @@ def blocks(text: bytes) -> list[bytes]:
 
 @dataclass
 class Parted:
-    """Texts as words: ``which`` is the number in ``words`` of each word in a row, ``ends`` where each text's words end.
+    """Texts as words: ``which`` is the number of each word in a row among the distinct ones, ``ends`` where each text's words end.
 
-    ``words`` of ``latin`` texts are such that the tokenizer does not part them further. ``open``: the only text goes on in
-    the next group.
+    The distinct words are the ``pieces``, or stand in ``latin`` (lower-case bytes) from ``starts`` to ``stops``, with their
+    ``hashes``; those the tokenizer does not part further. ``open``: the only text goes on in the next group.
     """
 
-    words: list[bytes]
     which: np.ndarray
     ends: np.ndarray
-    latin: bool
     open: bool = False
+    pieces: list[bytes] | None = None
+    latin: bytes | None = None
+    starts: np.ndarray | None = None
+    stops: np.ndarray | None = None
+    hashes: np.ndarray | None = None
+
+    @property
+    def words(self) -> list[bytes]:
+        return self.cut(slice(None)) if self.pieces is None else self.pieces
+
+    def cut(self, some) -> list[bytes]:
+        """The words of ``latin`` that have the numbers ``some``."""
+        return [self.latin[a:b] for a, b in zip(self.starts[some].tolist(), self.stops[some].tolist(), strict=True)]
 
 
 def _latin(texts: list[bytes], more: bool = False) -> Parted:
     joined = b"\n".join(texts).lower()
     text = np.frombuffer(joined, dtype=np.uint8)
     starts, ends = part(text)
-    _, first, which = np.unique(hashes(text, starts, ends), return_index=True, return_inverse=True)
-    words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    return Parted(words, which, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), True, more)
+    hashed = hashes(text, starts, ends)
+    first, which = distinct(hashed)
+    ends_of = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    return Parted(which, ends_of, more, None, joined, starts[first], ends[first], hashed[first])
 
 
 def _other(text: bytes, more: bool) -> Parted:
     pieces = text.split()
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(p, len(number)) for p in pieces], dtype=np.int64)
-    return Parted(list(number), which, np.array([len(pieces)]), False, more)
+    return Parted(which, np.array([len(pieces)]), more, list(number))
 
 
 def parted(texts: list[bytes]) -> Iterator[Parted]:
@@ -169,44 +199,88 @@ class WordEncoder:
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        # The words of Latin letters: hash, first bytes, number of ids (0: none here) and ids of the one in each slot.
+        self.hashes, self.heads = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.uint64)
+        self.sizes, self.ids = np.zeros(1 << SLOTS, np.uint8), np.zeros((1 << SLOTS, WIDEST), self.kind)
+        self.shift = np.uint64(64 - SLOTS)
+
+    def learn_latin(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and where each word's end."""
+        found, stops, n = [], [], 0
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            # The fast way gives the same ids without their places in the text.
+            (done,) = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(done.ids, dtype=self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer parts words in another way")
+            found.append(ids)
+            stops.append(ends + n)
+            n += len(ids)
+        return np.concatenate(found), np.concatenate(stops)
 
     def learn(self, words: list[bytes], latin: bool) -> list[bytes]:
         """The ids of each word."""
         if not latin:
             done = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
             return [np.array(d.ids, dtype=self.kind).tobytes() for d in done]
-        found = []
-        for at in range(0, len(words), 500):
-            some = words[at : at + 500]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype=self.kind)
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
-            raw = ids.tobytes()
-            if len(stops) != len(some):
-                raise ValueError("the tokenizer parts words in another way")
-            found += [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-        return found
-
-    def look_up(self, words: list[bytes], latin: bool) -> list[bytes]:
-        """The ids of distinct words, from the cache where it has them."""
+        if not words:
+            return []
+        ids, stops = self.learn_latin(words)
+        raw, ends = ids.tobytes(), (stops * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each of the distinct words has its own: from the cache where it has them."""
         known = self.known
         unknown = [w for w in words if w not in known]
-        fresh = dict(zip(unknown, self.learn(unknown, latin), strict=True))
+        fresh = dict(zip(unknown, self.learn(unknown, False), strict=True))
         found = [known[w] if w in known else fresh[w] for w in words]
         if len(known) + len(fresh) > CACHED:
             known.clear()
         known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
-        return found
+        sizes = np.array([len(f) for f in found], dtype=np.int64) // self.width
+        return np.frombuffer(b"".join(found), dtype=self.kind), np.cumsum(sizes) - sizes, sizes
+
+    def look_up_latin(self, group: Parted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``look_up``, for the words of a group of Latin letters."""
+        slot = (group.hashes * np.uint64(_FACTOR)) >> self.shift
+        head = heads(np.frombuffer(group.latin, np.uint8), group.starts, group.stops)
+        sizes = self.sizes[slot].astype(np.int64)
+        sizes[(self.hashes[slot] != group.hashes) | (self.heads[slot] != head)] = 0
+        unknown = np.flatnonzero(sizes == 0)
+        rows = self.ids[slot]
+        within = np.arange(WIDEST)
+        more, begin, wide = np.zeros(0, self.kind), np.zeros(0, np.int64), unknown[:0]
+        if len(unknown):
+            more, stops = self.learn_latin(group.cut(unknown))
+            made = np.diff(stops, prepend=0)
+            begin = stops - made
+            short = made <= WIDEST
+            fits, held = unknown[short], within < made[short, None]
+            rows[fits] = np.where(held, more[np.minimum(begin[short, None] + within, len(more) - 1)], 0)
+            sizes[fits] = made[short]
+            place = slot[fits]
+            # Of several words for one slot the last stays, in all arrays.
+            self.hashes[place], self.heads[place] = group.hashes[fits], head[fits]
+            self.sizes[place], self.ids[place] = made[short], rows[fits]
+            wide, begin, made = unknown[~short], begin[~short], made[~short]
+        flat = rows[within < sizes[:, None]]
+        starts = np.cumsum(sizes) - sizes
+        if len(wide):
+            starts[wide], sizes[wide] = begin + len(flat), made
+            flat = np.concatenate([flat, more])
+        return flat, starts, sizes
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         begun = []
         for group in parted(texts):
-            found = self.look_up(group.words, group.latin)
-            flat = np.frombuffer(b"".join(found), dtype=self.kind)
-            sizes = np.array([len(f) for f in found], dtype=np.int64) // self.width
+            flat, starts, sizes = self.look_up_latin(group) if group.pieces is None else self.look_up(group.pieces)
             counts = sizes[group.which]
             stops = np.cumsum(counts)
-            shift = (np.cumsum(sizes) - sizes)[group.which] - (stops - counts)
+            shift = starts[group.which] - (stops - counts)
             ids = flat[np.arange(counts.sum()) + np.repeat(shift, counts)]
             ends = np.concatenate([[0], stops])[group.ends]
             if group.open:

@@ -70,7 +70,7 @@ class LengthCounter:
     def counts(self, texts: list[bytes]) -> list[int]:
         done, begun = [], 0
         for group in parted(texts):
-            sums = np.concatenate([[0], np.cumsum(self.look_up(group.words, group.latin)[group.which])])
+            sums = np.concatenate([[0], np.cumsum(self.look_up(group.words, group.latin is not None)[group.which])])
             each = np.diff(sums[group.ends], prepend=0).tolist()
             each[0] += begun
             begun = each[0] if group.open else 0
