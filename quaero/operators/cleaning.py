@@ -37,8 +37,10 @@ def cut_after_end(c: Column | str) -> Column:
     """The text before the first line that ends the page's own content."""
 
     def cut(text: Column) -> Column:
+        # Few texts have such a line at all: one look tells them from the others.
+        ends = F.least(_first_of(text, patterns.EARLY_END_LINES), _first_late(text))
         return T.let(
-            F.least(_first_of(text, patterns.EARLY_END_LINES), _first_late(text)),
+            F.when(_first_of(text, [*patterns.EARLY_END_LINES, *patterns.LATE_END_LINES]).isNotNull(), ends),
             lambda at: T.strip(F.when(at.isNotNull(), F.substring(text, F.lit(1), at - 1)).otherwise(text)),
         )
 
@@ -66,7 +68,7 @@ def scrub(c: Column | str) -> Column:
         return (
             ((F.length(s) <= 42) & s.rlike(T.uni(patterns.MENU_LINE)))
             | ((F.length(s) < 120) & s.rlike(T.uni(patterns.MENU_BLOB)))
-            | s.rlike("(?U)" + patterns.NUMBER_LINE)
+            | ((F.length(s) <= 7) & s.rlike("(?U)" + patterns.NUMBER_LINE))
         )
 
     kept = cut_after_end(_keep_lines(T.text_or_empty(c), drop))

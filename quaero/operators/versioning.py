@@ -28,10 +28,12 @@ def prepare(fetched: DataFrame) -> DataFrame:
 
     ``fetched`` has (url, title, content, seq).
     """
-    cleaned = fetched.withColumn("content", scrub(T.strip(T.text_or_empty("content")))).filter(
+    rest = [c for c in fetched.columns if c != "url"]
+    # Unfolded first: a filter on the text itself would clean it a second time.
+    once = F.explode_outer(F.array(scrub(T.strip(T.text_or_empty("content")))))
+    cleaned = fetched.select(*[c for c in fetched.columns if c != "content"], once.alias("content")).filter(
         F.length("content") >= MIN_CHARS
     )
-    rest = [c for c in fetched.columns if c != "url"]
     latest = cleaned.groupBy("url").agg(F.max_by(F.struct(*rest), "seq").alias("_row"))
     return latest.select("url", "_row.*").withColumn("content_hash", T.content_hash("content")).withColumn(
         "title", F.substring("title", 1, TITLE_CHARS)
