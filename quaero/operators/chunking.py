@@ -124,17 +124,31 @@ def chunk_table(documents: DataFrame, size: int = CHUNK_TOKENS, overlap: int = O
 
 EmbedFn = Callable[[list[str]], np.ndarray]
 QUERY_PREFIX = "query: "
+# Words whose hash a task keeps, and the longest of them: its memory stays bounded.
+WORDS_KEPT, LONGEST_KEPT = 200_000, 64
 
 
 def hashed_words(dims: int = 64) -> EmbedFn:
-    """A model-free embedder: every word adds a sign at a place given by its hash."""
+    """A model-free embedder: every word adds a sign at a place given by its hash. Words are hashed once while they are kept."""
+    kept: dict[str, int] = {}
+
+    def place(word: str) -> int:
+        """Twice the word's place, one more if its sign is plus."""
+        digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
+        at = int.from_bytes(digest[:4], "big") % dims * 2 + (digest[4] & 1)
+        if len(word) <= LONGEST_KEPT:
+            if len(kept) >= WORDS_KEPT:
+                kept.clear()
+            kept[word] = at
+        return at
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims))
         for row, text in zip(out, texts):
-            for word in text.lower().split():
-                digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
-                row[int.from_bytes(digest[:4], "big") % dims] += 1 if digest[4] & 1 else -1
+            words = text.lower().split()
+            found = [place(w) if at is None else at for w, at in zip(words, map(kept.get, words))]
+            times = np.bincount(np.array(found, dtype=np.int64), minlength=2 * dims)
+            row += times[1::2] - times[::2]
         return out
 
     return embed

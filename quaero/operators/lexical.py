@@ -11,7 +11,7 @@ from quaero.functions.text import fold, string_array
 from quaero.operators.keyed import first_rows, unfold
 from quaero.session import cut_lineage
 
-WORD = "[\\p{L}\\p{N}]+"
+WORD, BETWEEN = "[\\p{L}\\p{N}]+", "[^\\p{L}\\p{N}]+"
 # Weights of the section and of the content.
 WEIGHTS = {"A": 1.0, "B": 0.4}
 # Pairs of a query and a chunk that a task adds up and orders at the most, as long as the tasks are not too many.
@@ -21,8 +21,8 @@ SENT = 200_000
 
 
 def words_of(c: Column | str) -> Column:
-    """Folded words of a text in order."""
-    return F.regexp_extract_all(fold(c), F.lit(WORD), F.lit(0))
+    """Folded words of a text in order, cut at what lies between them: matching makes an object for each word."""
+    return F.array_remove(F.split(fold(c), BETWEEN), "")
 
 
 def word_positions(chunks: DataFrame, id_column: str = "chunk_id") -> DataFrame:
