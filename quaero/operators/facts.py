@@ -6,9 +6,10 @@ import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quaero.functions import text as T
-from quaero.operators.keyed import first_rows, sent, unfold
+from quaero.operators.keyed import first_rows, sent
 from quaero.session import cut_lineage
 from quaero.values import patterns, words
 
@@ -20,6 +21,9 @@ DATE_SHAPE = (
     r"(?<!\d)(?:\d{1,2})\s*(?:de\s*)?(?:" + MONTH_NAMES + r")\s*(?:anul\s*)?(?:20\d{2})(?!\d)"
 )
 CUE_WINDOW = 120
+# Parts that the documents of one question are laid out in, and hits from which on a question is.
+PARTS = 64
+CROWDED = 50_000
 
 
 # --- contacts and mentions -------------------------------------------------------------
@@ -281,58 +285,65 @@ def claims(title: Column, content: Column, field: Column, roots: Column) -> Colu
     )
 
 
-def clear_claims(hits: DataFrame) -> DataFrame:
-    """One claim per (question, document): documents with two different ones are left out.
+def _hit_claim(found: Column) -> Column:
+    """The first claim of a hit, and whether it states different ones."""
+    values = F.transform(found, lambda c: F.struct(c["amount"], c["qualifier"]))
+    return F.struct(F.coalesce(F.size(F.array_distinct(values)) > 1, F.lit(False)).alias("mixed"), F.get(found, F.lit(0)).alias("claim"))
+
 
-    What a question asks for is worked out once, however many hits it has.
+def _document_claims(hits: DataFrame, spread: bool) -> DataFrame:
+    """``clear_claims``, laid out by question or, ``spread``, by question and ``_part`` of its documents.
+
+    Hits are laid out once, a column for each value so that what nobody asks
+    for stays behind; hits without one claim are sent without their texts. What
+    a question asks for is worked out once, however many hits it has.
     """
     questions = hits.select("question").distinct().withColumn("field", claim_field("question")).filter("field is not null")
     questions = cut_lineage(questions.withColumn("_roots", subject_roots("question")).filter(F.size("_roots") >= 2))
-    asked = hits.join(sent(questions), "question")
-    read = asked.withColumn(
-        "_claims", claims(F.col("document_title"), F.col("content"), F.col("field"), F.col("_roots"))
-    )
-    told = unfold(
-        read.withColumn("source", F.struct("document_title", "document_url", "page")),
-        ["query_id", "document_id", "field", "pos", "chunk_id", "source"], "_claims", "_at", "claim",
+    # Hits of other questions have a say in a document's place alone.
+    asked = hits.filter("query_id is not null and document_id is not null").join(sent(questions), "question", "left")
+    read = claims(F.col("document_title"), F.col("content"), F.col("field"), F.col("_roots"))
+    told = asked.withColumn("_said", T.let(read, _hit_claim))
+    claim = F.col("_said.claim")
+    alone = lambda c: F.when(~F.col("_said.mixed") & claim.isNotNull(), c)
+    part = F.pmod(F.xxhash64("document_id"), F.lit(PARTS)).cast("int").alias("_part")
+    place = ["query_id", *(["_part"] if spread else [])]
+    rows = told.select(
+        "query_id", *([part] if spread else []), "document_id", "pos", F.when(claim.isNotNull(), F.col("field")).alias("field"),
+        # An amount is of digits, points and commas. A field without a value stands for different ones.
+        alone(F.concat(claim["amount"], F.lit("|"), claim["qualifier"])).alias("value"), alone(claim["quote"]).alias("quote"),
+        *[alone(F.col(c)).alias(c) for c in ("chunk_id", "document_title", "document_url", "page")],
+        alone(T.latest_year_alone("document_title", "document_url")).alias("year"),
+    ).repartition(*place)
+    document = [*place, "document_id"]
+    first = F.when(F.col("value").isNotNull(), F.struct("pos", "chunk_id"))
+    per_field = rows.groupBy(*document, "field").agg(
+        F.min("pos").alias("_pos"), F.min("value").alias("_low"), F.max("value").alias("_high"), F.bool_or(F.isnull("value")).alias("_mixed"),
+        *[F.min_by(c, first).alias(c) for c in ("quote", "document_title", "document_url", "page", "year")],
     )
-    value = F.struct("claim.amount", "claim.qualifier")
-    first = F.struct("pos", "chunk_id", "_at")
-    per_document = told.groupBy("query_id", "document_id", "field").agg(
-        F.min(value).alias("_low"), F.max(value).alias("_high"),
-        F.min_by(F.struct("source", "claim"), first).alias("_first"),
-    )
-    places = hits.groupBy("query_id", "document_id").agg(F.min("pos").alias("pos"))
-    return (
-        per_document.filter("_low = _high").join(places, ["query_id", "document_id"])
-        .select(
-            "query_id", "document_id", "field", "pos",
-            F.col("_first.claim.amount").alias("amount"),
-            F.col("_first.claim.qualifier").alias("qualifier"),
-            F.col("_first.claim.quote").alias("quote"),
-            F.col("_first.source.document_title").alias("document_title"),
-            F.col("_first.source.document_url").alias("document_url"),
-            F.col("_first.source.page").alias("page"),
-            T.latest_year_alone(
-                F.col("_first.source.document_title"), F.col("_first.source.document_url")
-            ).alias("year"),
-        )
+    placed = per_field.withColumn("pos", F.min("_pos").over(Window.partitionBy(*document)))
+    return placed.filter("field is not null and not _mixed and _low = _high").select(
+        *document, "field", "pos", F.substring_index("_low", "|", 1).alias("amount"),
+        F.expr("substring(_low, locate('|', _low) + 1)").alias("qualifier"),
+        "quote", "document_title", "document_url", "page", "year",
     )
 
 
-def conflicts(hits: DataFrame, limit: int = 3) -> DataFrame:
-    """The first ``limit`` pairs of documents per question that state different values.
+def clear_claims(hits: DataFrame) -> DataFrame:
+    """One claim per (question, document): documents with two different ones are left out."""
+    return _document_claims(hits, spread=True).drop("_part")
 
-    ``hits`` has (query_id, question, pos, chunk_id, document_id,
-    document_title, document_url, content, page). Pairs are never formed over a
-    whole group. Documents alike in value, year and URL can replace one
-    another, so only the first of each kind can be part of the first pairs; the
-    bounds below follow from counting how many later documents a rightful pair
-    can still skip, and lose nothing.
+
+def _first_of_each_kind(told: DataFrame, kind: list[str], limit: int) -> DataFrame:
+    """What the first ``limit`` pairs of a kind can be made of.
+
+    Documents alike in value, year and URL can replace one another, so only the
+    first of each can be part of the first pairs; the bounds follow from counting
+    how many later documents a rightful pair can still skip, and lose nothing.
+    The documents counted stand in the same group, so a part of a kind can be
+    bounded by itself before the whole.
     """
-    told = clear_claims(hits)
     place = [F.asc("pos"), F.asc("document_id")]
-    kind = ["query_id", "field", "qualifier"]
     alike = 2 * limit - 1
     few = first_rows(told, [*kind, "year", "amount", "document_url"], place, alike)
     same_value = 2 * (limit - 1) + 2 * alike + 2
@@ -340,29 +351,55 @@ def conflicts(hits: DataFrame, limit: int = 3) -> DataFrame:
     # A document without an address shares it with none. Rows take one way only, so that claims are not read once for each.
     own = F.when(F.coalesce("document_url", F.lit("")) == "", F.col("document_id"))
     few = first_rows(few.withColumn("_own", own), [*kind, "year", "document_url", "_own"], place, same_value)
-    few = first_rows(few, [*kind, "year"], place, 2 * (limit - 1) + 2 * same_value + 2).drop("_own")
-    side = lambda name: few.select(
-        "query_id", "field", "qualifier",
-        F.struct("pos", "document_id", F.col("document_title").alias("document"), "amount", "quote",
-                 F.col("document_url").alias("url"), "page", "year").alias(name),
-    )
-    left, right = side("l"), side("r")
-    later = (F.col("l.pos") < F.col("r.pos")) | (
-        (F.col("l.pos") == F.col("r.pos")) & (F.col("l.document_id") < F.col("r.document_id"))
-    )
-    same_address = (F.coalesce("l.url", F.lit("")) != "") & F.col("l.url").eqNullSafe(F.col("r.url"))
-    other_years = F.coalesce(F.col("l.year") != F.col("r.year"), F.lit(False))
-    pairs = left.join(right, kind).filter(
-        later & (F.col("l.amount") != F.col("r.amount")) & ~same_address & ~other_years
+    return first_rows(few, [*kind, "year"], place, 2 * (limit - 1) + 2 * same_value + 2).drop("_own")
+
+
+def _first_pairs(documents: Column, limit: int) -> Column:
+    """The first pairs ``(l, r)`` that differ, of documents in their order; no more are looked for once there are ``limit``."""
+
+    def differ(left: Column, right: Column) -> Column:
+        later = (left["pos"] < right["pos"]) | ((left["pos"] == right["pos"]) & (left["document_id"] < right["document_id"]))
+        same_address = (F.coalesce(left["url"], F.lit("")) != "") & left["url"].eqNullSafe(right["url"])
+        other_years = F.coalesce(left["year"] != right["year"], F.lit(False))
+        return later & (left["amount"] != right["amount"]) & ~same_address & ~other_years
+
+    pair = lambda left, right: F.struct(left.alias("l"), right.alias("r"))
+    more = lambda found, left: F.concat(found, F.transform(F.filter(documents, lambda right: differ(left, right)), lambda right: pair(left, right)))
+    none = F.slice(F.transform(documents, lambda d: pair(d, d)), 1, 0)
+    return F.slice(F.aggregate(documents, none, lambda found, left: F.when(F.size(found) >= limit, found).otherwise(more(found, left))), 1, limit)
+
+
+def conflicts(hits: DataFrame, limit: int = 3) -> DataFrame:
+    """The first ``limit`` pairs of documents per question that state different values.
+
+    ``hits`` has (query_id, question, pos, chunk_id, document_id,
+    document_title, document_url, content, page). Pairs are never formed over a
+    whole group. Hits go over the network once, by question; where a question
+    has more than ``CROWDED`` (counted before), they go by parts of its
+    documents, and what is left of each part by kind.
+    """
+    kind = ["query_id", "field", "qualifier"]
+    crowded = not hits.groupBy("query_id").count().filter((F.col("count") > CROWDED) & F.col("query_id").isNotNull()).isEmpty()
+    few = _document_claims(hits, spread=crowded)
+    if crowded:
+        few = _first_of_each_kind(few, ["_part", *kind], limit).drop("_part").repartition(*kind)
+    few = _first_of_each_kind(few, kind, limit)
+    # Texts have a list of their own, which goes where nobody asks for them.
+    listed = few.groupBy(*kind).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "document_id", "amount", F.col("document_url").alias("url"), "year"))).alias("_documents"),
+        F.collect_list(F.struct("document_id", "document_title", "quote", "page")).alias("_texts"),
     )
+    pairs = listed.withColumn("_pair", F.explode(_first_pairs(F.col("_documents"), limit)))
+    text = lambda s: F.get(F.filter("_texts", lambda t: t["document_id"] == F.col(f"_pair.{s}.document_id")), F.lit(0))
+    pairs = pairs.select("query_id", "field", F.col("_pair.l").alias("l"), F.col("_pair.r").alias("r"), text("l").alias("l_text"), text("r").alias("r_text"))
     unit = F.when(F.col("field") == "fee", " lei").otherwise(" zile")
     shown = lambda s: F.struct(
-        F.col(f"{s}.document").alias("document"),
+        F.col(f"{s}_text.document_title").alias("document"),
         F.concat(F.col(f"{s}.amount"), unit).alias("value"),
         F.when(F.col("field") == "duration_days", F.array(F.col(f"{s}.amount").cast("int")))
         .otherwise(F.array().cast("array<int>")).alias("days"),
-        F.col(f"{s}.quote").alias("quote"), F.col(f"{s}.url").alias("url"),
-        F.col(f"{s}.page").cast("string").alias("page"),
+        F.col(f"{s}_text.quote").alias("quote"), F.col(f"{s}.url").alias("url"),
+        F.col(f"{s}_text.page").cast("string").alias("page"),
         F.col(f"{s}.document_id").alias("document_id"),
     )
     ordered = [F.asc("l.pos"), F.asc("l.document_id"), F.asc("r.pos"), F.asc("r.document_id")]

@@ -183,3 +183,45 @@ def test_intent_of_the_examples(spark):
     for question in ("Există vreun concurs anunțat acum?", "Есть конкурсы на службу сейчас?",
                      "dar posturi vacante la sectorul Botanica?"):
         assert one(spark, question, questions.wants_current("x")), question
+
+
+@pytest.mark.parametrize("crowded", [50_000, 60])
+def test_first_pairs_of_many_hits(spark, monkeypatch, crowded):
+    """Documents of several hits, some unclear, some under several questions of one id; laid out by question and by parts."""
+    import itertools
+    import random
+
+    monkeypatch.setattr(facts, "CROWDED", crowded)
+    monkeypatch.setattr(facts, "PARTS", 3)
+    rng = random.Random(7)
+    fee = "Ce taxă are autorizația de demolare?"
+    rows, stated, place = [], {}, {}
+    for i in range(1200):
+        query, doc = rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *range(1, 300)])
+        question, unit = rng.choice([(PERMIT_QUESTION, "zile"), (PERMIT_QUESTION, "zile"), (fee, "lei"), ("Cine?", "zile"), (None, "zile")])
+        n = (doc or 0) % 3 + 20 + (rng.random() < 0.05)
+        year, url = ["", " 2024", " 2025"][(doc or 0) % 7 % 3], [f"u{doc}", "same", "", None][(doc or 0) % 5 % 4]
+        said = rng.random() < 0.8
+        pos = rng.randrange(40)
+        rows.append((query, question, pos, i, doc, PERMIT + year, url, f"Autorizația de demolare: emitere, taxă, termen {n} {unit}." if said else "Altele.", i))
+        if query and doc:
+            place[query, doc] = min(pos, place.get((query, doc), 99))
+            if said and question in (PERMIT_QUESTION, fee):
+                stated.setdefault((query, doc, unit), []).append((n, pos, i, year, url))
+    clear = {k: min(v, key=lambda s: s[1:3]) for k, v in stated.items() if len({s[0] for s in v}) == 1}
+    expected = []
+    for query in (1, 2, 3):
+        pairs = []
+        for ((q, a, u), x), ((r, b, v), y) in itertools.permutations([c for c in clear.items() if c[0][0] == query], 2):
+            left, right = (place[q, a], a), (place[r, b], b)
+            if u == v and left < right and x[0] != y[0] and not (x[4] and x[4] == y[4]) and not (x[3] and y[3] and x[3] != y[3]):
+                pairs.append((*left, *right, f"{x[0]} {u}", f"{y[0]} {v}", str(x[2]), str(y[2])))
+        expected += [(query, k, p[1], p[3], *p[4:]) for k, p in enumerate(sorted(pairs)[:3], 1)]
+    found = facts.conflicts(spark.createDataFrame(rows, HIT)).collect()
+    assert sorted(
+        (r.query_id, r.pair, r.left.document_id, r.right.document_id, r.left.value, r.right.value, r.left.page, r.right.page) for r in found
+    ) == expected and len(expected) == 9
+    told = facts.clear_claims(spark.createDataFrame(rows, HIT)).collect()
+    assert {(t.query_id, t.document_id, "lei" if t.field == "fee" else "zile"): (t.amount, t.pos, t.page) for t in told} == {
+        k: (str(v[0]), place[k[:2]], v[2]) for k, v in clear.items()
+    }

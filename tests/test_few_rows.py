@@ -53,3 +53,21 @@ def test_claims_are_read_once_for_each_side_and_questions_once_in_all(spark):
     plan = plan_of(found)
     plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
     assert plan.count("Generate posexplode") <= 2 and "Union" not in plan and "concurs" not in plan
+
+
+def test_hits_are_laid_out_once_and_without_texts_that_nobody_asks_for(spark):
+    hits = spark.range(400).select(
+        (F.col("id") % 40).alias("query_id"), F.lit("Ce termen are autorizația de demolare?").alias("question"), F.lit(1).alias("pos"),
+        F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), F.lit("Autorizația de demolare").alias("document_title"),
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("document_url"),
+        F.concat(F.lit("Se emite autorizația de demolare în termen de "), (F.col("id") % 7 + 2).cast("string"), F.lit(" zile.")).alias("content"),
+        F.col("id").cast("int").alias("page"),
+    )
+    found = facts.conflicts(hits)
+    assert plan_of(found).count("Exchange hashpartitioning") == 1
+    values = plan_of(found.select("query_id", "left.value"))
+    sent = [line for line in values[values.index("Exchange hashpartitioning"):].split("\n") if "Project [" in line][0]
+    assert values.count("Exchange hashpartitioning") == 1 and "document_url#" in sent
+    assert not any(f"AS {c}#" in sent for c in ("quote", "document_title", "page"))
+    first = found.filter("query_id = 3 and pair = 1").first()
+    assert (first.left.document, first.left.page, first.left.quote[:8], first.right.page) == ("Autorizația de demolare", "3", "Se emite", "43")
