@@ -365,7 +365,7 @@ def _first_pairs(documents: Column, limit: int) -> Column:
 
     pair = lambda left, right: F.struct(left.alias("l"), right.alias("r"))
     more = lambda found, left: F.concat(found, F.transform(F.filter(documents, lambda right: differ(left, right)), lambda right: pair(left, right)))
-    none = F.slice(F.transform(documents, lambda d: pair(d, d)), 1, 0)
+    none = F.transform(F.slice(documents, 1, 0), lambda d: pair(d, d))
     return F.slice(F.aggregate(documents, none, lambda found, left: F.when(F.size(found) >= limit, found).otherwise(more(found, left))), 1, limit)
 
 
@@ -386,7 +386,7 @@ def conflicts(hits: DataFrame, limit: int = 3) -> DataFrame:
     few = _first_of_each_kind(few, kind, limit)
     # Texts have a list of their own, which goes where nobody asks for them.
     listed = few.groupBy(*kind).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "document_id", "amount", F.col("document_url").alias("url"), "year"))).alias("_documents"),
+        F.sort_array(F.collect_list(F.struct("pos", "document_id", "amount", F.col("document_url").alias("url"), "year"))).alias("_documents"),
         F.collect_list(F.struct("document_id", "document_title", "quote", "page")).alias("_texts"),
     )
     pairs = listed.withColumn("_pair", F.explode(_first_pairs(F.col("_documents"), limit)))
